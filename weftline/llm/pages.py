@@ -245,9 +245,10 @@ def _positions(t: Trees, first: int) -> None:
             f.append(F_["late"])
 
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|([^<]+|<)", re.S)
+_TOKEN = re.compile(
+    r"(<!--.*?(?:-->|\Z)|<(script|style|template|textarea)\b[^>]*>.*?(?:</\2\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|<[!?][^>]*>|([^<]+|<))", re.S | re.I
+)
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(\S+))", re.I)
-_RAW_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "template", "textarea")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a b i em strong u s code span small sub sup mark abbr cite q time kbd samp var font label big tt del ins bdi bdo data dfn".split())
 _CONTAINERS = frozenset("html body div td th section article main nav footer aside header ul ol table tbody thead tfoot tr dl form figure details center fieldset noscript menu dialog".split())
@@ -286,11 +287,13 @@ def add_html_page(t: Trees, page: int, text: str) -> None:
     spans: list[tuple[int, int]] = []
     linked = 0
     title, in_head, in_title, in_link, in_pre, quoted = "", False, False, 0, 0, False
-    no = 0
+    no, was_br = 0, False
     counts: dict[int, list[int]] = {}
 
     def flush() -> None:
         nonlocal parts, spans, linked
+        if not parts:
+            return
         if spans:
             whole = html.unescape("".join(parts))
             if _WORD.search(whole):
@@ -323,36 +326,35 @@ def add_html_page(t: Trees, page: int, text: str) -> None:
                     c = t.parent[c]
         parts, spans, linked = [], [], 0
 
-    pos, end = 0, len(text)
-    while pos < end:
-        m = _TOKEN.match(text, pos)
-        if m is None:  # an unfinished tag shows nothing
-            break
-        begin, pos = pos, m.end()
-        chunk = m.group(4)
-        if chunk is not None:
+    for whole, raw, slash, tag, attributes, chunk in _TOKEN.findall(text):
+        after_br, was_br = was_br, tag == "br" or tag == "BR"
+        if chunk:
             if in_title:
                 title += html.unescape(chunk)
-            elif not in_head:
-                if _WORD.search(chunk):
+            elif in_head:
+                pass
+            elif chunk.isspace():
+                if parts:
                     parts.append(chunk)
-                    at = no
-                    for piece in chunk.split("\n"):
-                        if _WORD.search(piece) and (not spans or spans[-1][0] != at) and _WORD.search(html.unescape(piece) if "&" in piece else piece):
+            elif _WORD.search(chunk):
+                parts.append(chunk)
+                if "\n" in chunk or "&" in chunk:
+                    for at, piece in enumerate(chunk.split("\n"), no):
+                        if _WORD.search(html.unescape(piece)) and (not spans or spans[-1][0] != at):
                             spans.append((at, 0))
-                        at += 1
-                    if in_link:
-                        linked += len(chunk)
-                else:
-                    parts.append(chunk)
+                elif not spans or spans[-1][0] != no:
+                    spans.append((no, 0))
+                if in_link:
+                    linked += len(chunk)
+            else:
+                parts.append(chunk)
             no += chunk.count("\n")
             continue
-        tag = m.group(2)
-        if tag is None:
-            no += text.count("\n", begin, pos)
+        if not tag:  # comments, scripts and the like show nothing
+            no += whole.count("\n")
             continue
         tag = tag.lower()
-        if m.group(1):  # an end tag
+        if slash:
             if tag == "head":
                 in_head = False
             elif tag == "title":
@@ -360,8 +362,9 @@ def add_html_page(t: Trees, page: int, text: str) -> None:
                 title = " ".join(title.lower().split())
             elif tag == "a":
                 in_link = max(0, in_link - 1)
+                continue
             if tag in _INLINE:
-                if leaf_tag == tag and tag in ("span", "small") and not any(x[0] not in _INLINE and x[0] not in _CONTAINERS for x in stack[-1:]):
+                if leaf_tag == tag and tag in ("span", "small") and (not stack or stack[-1][0] in _CONTAINERS):
                     flush()
                     leaf_tag = ""
             else:
@@ -378,12 +381,6 @@ def add_html_page(t: Trees, page: int, text: str) -> None:
                 current = stack[-1][1] if stack else root
                 leaf_tag = stack[-1][0] if stack and stack[-1][0] not in _CONTAINERS else ""
         else:
-            if tag in _RAW_END:
-                e = _RAW_END[tag].search(text, pos)
-                stop = e.end() if e else end
-                no += text.count("\n", begin, stop)
-                pos = stop
-                continue
             if tag == "head":
                 in_head = True
             elif tag == "body":
@@ -393,10 +390,9 @@ def add_html_page(t: Trees, page: int, text: str) -> None:
             elif tag == "a":
                 in_link += 1
             elif tag == "br":
-                flush_here = "".join(parts).strip()
-                if flush_here and text[pos : pos + 4].lower() == "<br>":
+                if after_br:
                     flush()
-                else:
+                elif parts:
                     parts.append(" ")
             if tag not in _VOID:
                 if tag in _INLINE:
@@ -415,7 +411,7 @@ def add_html_page(t: Trees, page: int, text: str) -> None:
                                 break
                         current = stack[-1][1] if stack else root
                     if tag in _CONTAINERS:
-                        fs = [F_["bias"], F_["container"], *_name_features(m.group(3))]
+                        fs = [F_["bias"], F_["container"], *_name_features(attributes)]
                         if tag in fu.FURNITURE_TAGS:
                             fs.append(F_["tag_furniture"])
                         elif tag in fu.BODY_TAGS:
@@ -432,7 +428,8 @@ def add_html_page(t: Trees, page: int, text: str) -> None:
                         if tag == "blockquote":
                             quoted = True
                     stack.append((tag, current))
-        no += text.count("\n", begin, pos)
+        if "\n" in attributes:
+            no += attributes.count("\n")
     flush()
     for c, (words, links) in counts.items():
         share = links / max(1, words)

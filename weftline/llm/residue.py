@@ -25,7 +25,7 @@ from weftline.llm.pages import EDGE
 from weftline.llm.pages import FEATURE as F_
 from weftline.llm.pages import Trees
 
-SAMPLE_RECORDS = 10_000
+SAMPLE_RECORDS = 8_000
 SAMPLE_PASSAGES = 6
 EM_STEPS = 8
 CLIP = 4.0
@@ -36,13 +36,15 @@ _SLOT = re.compile(
     r"\{\{[^{}]{1,60}\}\}|\$\{[^{}]{1,60}\}|#\{[^{}]{1,60}\}|<%=?[^<>]{1,60}%>|__[A-Z][A-Z0-9_]*?__|@@[A-Za-z_]{2,40}@@|\*\|[A-Z0-9_:]{2,40}\|\*|%%[A-Za-z_]{2,40}%%|%[A-Z][A-Z_]{2,40}%|\[\[[^\[\]]{1,60}\]\]"
     r"|\[(?:your|insert|enter|add|my) [^\[\]]{1,50}\]|\[[A-Z][A-Z _]{2,40}\]|(?<![\w{$#])\{[A-Za-z][A-Za-z0-9_.]{1,40}\}(?!\})|\$[A-Za-z_]{3,40}\$|«[A-Z_ ]{3,40}»|<<[A-Za-z_ ]{2,40}>>|:[a-z]+_[a-z_]+:"
 )
-_FILLER = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim".split())
+#: One of these is in every placeholder.
+_SLOT_SIGNS = ("{", "[", "%", "__", "@@", "*|", "$", "«", "<<", ":")
+_FILLER = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim mollis varius purus justo vero porta fusce proin augue risus massa cursus quam vestibulum pellentesque habitant morbi tristique malesuada egestas curabitur donec vivamus aliquam nunc felis orci tellus".split())
 _SEED = re.compile(
     "|".join(
         (
             # status lines and pages that are not there
             r"^(?:http )?(?:error |fehler |erreur )?[45]\d\d\b(?! (?:days|notes|explained|tage|notas|jours))", r"^(?:access denied|forbidden|page not found|not found|bad gateway|service unavailable|internal server error|gateway time-?out|too many requests|unauthorized|under maintenance)\b.{0,60}$",
-            r"^(?:oops|sorry)\b.{0,60}$", r"the (?:page|address|article|entry)\b.{0,40}(?:isn't here|does not exist|has gone|could not be found|has moved)", r"can't find that page", r"^nothing here$", r"seite nicht gefunden|página no encontrada|page introuvable|zugriff verweigert|acceso denegado|accès refusé",
+            r"^(?:oops|sorry)\b.{0,60}$", r"the (?:page|address|article|entry)\b.{0,40}(?:isn't here|does not exist|has gone|could not be found|has moved)", r"can't find that page", r"^nothing here$", r"n'existe plus|no existe|existiert nicht|beispieltext|texte d'exemple|texto de ejemplo", r"seite nicht gefunden|página no encontrada|page introuvable|zugriff verweigert|acceso denegado|accès refusé",
             # failures
             r"^something went wrong", r"could not (?:load|connect)", r"unexpected error", r"(?:try again|come back) (?:later|in \d)", r"session has expired", r"carrying out maintenance", r"^traceback \(most recent", r"^warning: ", r"später erneut|más tarde|réessayer|plus tard",
             # scripts
@@ -62,28 +64,32 @@ _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d+")
 _RUN = re.compile(r"(.)\1{4,}")
 
 
-def tokens(passage: str, few: bool) -> list[str]:
+def tokens(passage: str, few: bool) -> set[str]:
     """The passage as a set of tokens: words, numbers as one, and signs of its shape. few: the page's main region is short."""
-    filled, slots = _SLOT.subn(" ", passage)
+    filled, slots = _SLOT.subn(" ", passage) if any(c in passage for c in _SLOT_SIGNS) else (passage, 0)
     words = _WORDS.findall(filled.lower())
-    out = {"#" if w.isdigit() and not (len(w) == 3 and w[0] in "45") else w for w in words}
+    out = set(words)
+    if any(w[0] <= "9" for w in out):
+        out = {"#" if w.isdigit() and not (len(w) == 3 and w[0] in "45") else w for w in out}
     if slots:
         out |= {"<slot>", "<slots>" if slots > 1 or len(words) <= 2 else "<slot+>"}
     if len(words) >= 4 and len(set(words)) <= 0.34 * len(words):
         out.add("<repeats>")
-    if len(words) >= 4 and sum(w in _FILLER for w in words) >= 0.5 * len(words):
+    if len(words) >= 4 and len(_FILLER.intersection(words)) >= 0.5 * len(set(words)):
         out.add("<filler>")
-    if len(words) >= 2 and sum(_MASH.fullmatch(w) is not None for w in words) >= 0.7 * len(words):
+    if few and len(words) >= 2 and sum(_MASH.fullmatch(w) is not None for w in words) >= 0.7 * len(words):
         out.add("<mash>")
     if not words and not slots:
         out.add("<nothing>")
-    if _RUN.search(passage):
+    if few and _RUN.search(passage):
         out.add("<run>")
     n = len(words)
     out.add("<1>" if n <= 1 else "<4>" if n <= 4 else "<12>" if n <= 12 else "<30>" if n <= 30 else "<many>")
     if few:
         out.add("<few>")
-    return sorted(out)
+        if _SEED.search(passage):
+            out.add("<seed>")
+    return out
 
 
 def json_words(text: str) -> tuple[list[str], bool] | None:
@@ -124,11 +130,16 @@ def passages(t: Trees, p: np.ndarray, n: int) -> list[list[tuple[str, bool]]]:
 
 
 def trusted(found: list[tuple[str, bool]], status: int | None) -> bool:
-    """Whether a record is residue for certain: a short main region with placeholders, filler, or plain notices."""
-    if not found or sum(len(x.split()) for x, _ in found) > SHORT_WORDS or len(found) > 6:
-        return False
-    seeds = sum(bool(_SLOT.search(x)) or _SEED.search(x) is not None or {"<filler>", "<repeats>", "<mash>"} & set(tokens(x, True)) != set() for x, _ in found)
-    return seeds >= 0.5 * len(found)
+    """Whether a record is residue for certain: filler or placeholders throughout, or a short main region of plain notices."""
+    few = sum(len(x.split()) for x, _ in found) <= SHORT_WORDS
+    shapes = [tokens(x, few) for x, _ in found]
+    formless = sum(not _SURE.isdisjoint(t) for t in shapes)
+    if found and formless >= 0.7 * len(found):
+        return True
+    return bool(found) and few and len(found) <= 6 and sum("<seed>" in t or not _SURE.isdisjoint(t) for t in shapes) >= 0.5 * len(found)
+
+
+_SURE = frozenset(("<filler>", "<repeats>", "<slot>"))
 
 
 @dataclass
@@ -136,9 +147,9 @@ class Residue:
     prior: float
     weights: dict[str, float]
 
-    def passage(self, toks: list[str]) -> float:
+    def passage(self, toks: list[str] | set[str]) -> float:
         w = self.weights
-        return max(-CLIP, min(CLIP, self.prior + sum(w.get(x, 0.0) for x in toks)))
+        return max(-CLIP, min(CLIP, self.prior + sum([w[x] for x in toks if x in w])))
 
 
 def fit(records: list[tuple[bool, list[list[str]]]]) -> Residue:
@@ -212,7 +223,7 @@ def learn(pages: DataFrame, sample: int = SAMPLE_RECORDS) -> Residue:
                     elif ps:
                         few = sum(len(x.split()) for x, _ in ps) <= SHORT_WORDS
                         sure.append(trusted(ps, statuses[begin + i]))
-                        toks.append("\n".join("\t".join(tokens(x, few)) for x, _ in ps[:SAMPLE_PASSAGES]))
+                        toks.append("\n".join("\t".join(sorted(tokens(x, few))) for x, _ in ps[:SAMPLE_PASSAGES]))
                 yield pa.RecordBatch.from_arrays([pa.array(sure, pa.bool_()), pa.array(toks, pa.string())], names=["sure", "tokens"])
 
     chosen = rows.where(F.pmod(F.xxhash64("tbl", "rec_id"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).select("text", F.col("status").cast("int"))
