@@ -26,8 +26,8 @@ _FUNCTION = {
 _SYLLABLES = "ba ko ri men tal so der vi na pel gru sha lo mi ter ce du fa no rel si ga tor".split()
 _LINES = {
     "en": {
-        "legal": ["© 2021 {S}. All rights reserved.", "Terms of use · Privacy · Imprint", "Registered office: {n} {W} Street, {P}", "{S} is not responsible for the content of linked pages.", "No part of this page may be reproduced without written consent of {S}."],
-        "consent": ["{S} uses cookies to make the page work.", "{S} values your privacy. Some data is kept to count visits; you may withdraw your consent whenever you like.", "Cookie settings: accept all / only what is needed", "By staying you accept our use of cookies.", "We and our partners store small files on your device. Read how before you go on."],
+        "legal": ["© 2021 {S}. All rights reserved.", "Terms of use · Privacy · Imprint", "Registered office: {n} {W} Street, {P}", "No part of this page may be reproduced without written consent of {S}. Prices and dates may change without notice. All rights reserved.", "{S} is not responsible for the content of linked pages.", "No part of this page may be reproduced without written consent of {S}."],
+        "consent": ["{S} uses cookies to make the page work.", "{S} values your privacy. Some data is kept to count visits; you may withdraw your consent whenever you like.", "{S} values your privacy. Some data is kept so that pages work, some to count visits, and some for our partners; you may withdraw your consent in the settings whenever you like.", "Your privacy matters. We store small files on your device, some of them to count visits. Read how {S} handles them before you go on, and withdraw your consent whenever you like.", "Cookie settings: accept all / only what is needed", "By staying you accept our use of cookies.", "We and our partners store small files on your device. Read how before you go on."],
         "share": ["Share this: mail · post · link", "Did you like this? Pass it on", "Send this page to a friend", "Print | Save | Share this"],
         "byline": ["By the {P} desk", "Written by {P} staff for {S}", "{P} team, {n} min read", "Reported by {P} · {n} March", "{P} no. {n}, supplement", "Published on {n} May 2023"],
         "letter": ["Get the {S} letter every morning", "Subscribe for updates. No spam.", "Enter your e-mail to receive our digest", "Members of {S} read this without interruptions"],
@@ -39,7 +39,7 @@ _LINES = {
     },
     "de": {
         "legal": ["© 2020 {S}. Alle Rechte vorbehalten.", "Impressum · Datenschutz"],
-        "consent": ["{S} verwendet Cookies, damit alles funktioniert.", "Mit der Nutzung stimmen Sie unseren Cookies zu."],
+        "consent": ["{S} verwendet Cookies, damit alles funktioniert.", "Mit der Nutzung stimmen Sie unseren Cookies zu.", "{S} achtet Ihre Privatsphäre. Manche Daten werden nur gespeichert, damit die Seite funktioniert; Ihre Einwilligung können Sie jederzeit widerrufen, auch für Cookies."],
         "share": ["Seite teilen", "An Freunde senden"],
         "byline": ["Von der Redaktion {P}", "{P}, Lesezeit {n} Minuten"],
         "letter": ["Der Brief von {S} jeden Morgen", "Newsletter abonnieren"],
@@ -51,7 +51,7 @@ _LINES = {
     },
     "fr": {
         "legal": ["© 2022 {S}, tous droits réservés.", "Mentions légales · Vie privée"],
-        "consent": ["{S} utilise des cookies pour votre confort.", "En poursuivant, vous acceptez nos cookies."],
+        "consent": ["{S} utilise des cookies pour votre confort.", "En poursuivant, vous acceptez nos cookies.", "{S} respecte votre vie privée. Certaines données sont gardées pour que la page marche; vous pouvez retirer votre consentement et refuser nos cookies quand vous voulez."],
         "share": ["Partager cette page", "Envoyer à un ami"],
         "byline": ["Par la rédaction {P}", "{P}, lecture : {n} min"],
         "letter": ["Recevez la lettre de {S} chaque matin"],
@@ -63,7 +63,7 @@ _LINES = {
     },
     "es": {
         "legal": ["© 2019 {S}. Todos los derechos reservados.", "Aviso legal · Privacidad"],
-        "consent": ["{S} usa cookies para recordar sus ajustes.", "Al seguir, acepta nuestras cookies."],
+        "consent": ["{S} usa cookies para recordar sus ajustes.", "Al seguir, acepta nuestras cookies.", "{S} cuida su privacidad. Algunos datos se guardan para que la página funcione; puede retirar su consentimiento y rechazar nuestras cookies cuando quiera."],
         "share": ["Compartir esta página", "Enviar a un amigo"],
         "byline": ["Por la redacción {P}", "{P}, {n} min de lectura"],
         "letter": ["Reciba la carta de {S} cada mañana"],
@@ -147,7 +147,7 @@ def _blocks(w: _Writer) -> tuple[list[Block], str]:
         tops.append(("menu", menu, 0))
     if r.random() < 0.4:
         tops.append(("path", [w.line("path", title)], 0))
-    if r.random() < 0.3:
+    if r.random() < 0.4:
         tops.append(("consent", [w.line("consent") for _ in range(r.randint(1, 2))], 0))
     if r.random() < 0.2:
         tops.append(("related", [w.line("related")] + [w.title() for _ in range(r.randint(2, 5))], 0))
@@ -187,7 +187,7 @@ def _blocks(w: _Writer) -> tuple[list[Block], str]:
         ends.append(("comments", [w.line("comments")] + [f"{r.choice('ABCDEFG')}. {w.word().capitalize()}: {w.sentence()}" for _ in range(r.randint(1, 4))], 0))
     for _ in range(r.choice([0, 1, 1, 2])):
         ends.append(("related", [w.line("related")] + [w.title() for _ in range(r.randint(2, 5))], 0))
-    if r.random() < 0.4:
+    if r.random() < 0.3:
         ends.append(("letter", [w.line("letter")], 0))
     if r.random() < 0.3:
         ends.append(("consent", [w.line("consent") for _ in range(r.randint(1, 2))], 0))

@@ -176,7 +176,7 @@ def add_text_page(t: Trees, page: int, text: str) -> None:
     """A page of plain text or Markdown."""
     root = t.add(page, -1, EDGE["root"], [F_["bias"], F_["page"]])
     widget, kind, group, fence = -1, "", -1, False
-    tail, path_before = "", False
+    tail, path_before, last = "", False, (False, False)
     first = len(t.page)
     for no, raw in enumerate(text.split("\n")):
         if not raw or raw.isspace():
@@ -213,7 +213,10 @@ def add_text_page(t: Trees, page: int, text: str) -> None:
         if widget >= 0:
             node = t.add(page, widget, EDGE["governed"], [*f, *extra])
         else:
-            if group < 0:
+            # a heading begins a group of its own, and so does a change between plain furniture and other lines
+            kinds = (F_["heading"] in f, not _FURNITURE_LINE.isdisjoint(f))
+            if group < 0 or kinds != last:
+                last = kinds
                 group = t.add(page, root, EDGE["group"], [F_["bias"], F_["container"]])
             node = t.add(page, group, EDGE["line"], [*f, *extra])
         if path_before:

@@ -124,7 +124,7 @@ def passages(t: Trees, p: np.ndarray, n: int) -> list[list[tuple[str, bool]]]:
             main[t.page[node]].append((text, heading in f))
         elif scripts in f:
             notices[t.page[node]].append((text, False))
-        elif _SLOT.search(text) or t.edge[node] != _GOVERNED and link not in f and not _PLAIN_FURNITURE.intersection(f):
+        elif _SLOT.search(text) or _SEED.search(text) or t.edge[node] != _GOVERNED and link not in f and not _PLAIN_FURNITURE.intersection(f):
             doubtful[t.page[node]].append((text, False))
     return [a or b or c for a, b, c in zip(main, doubtful, notices)]
 
