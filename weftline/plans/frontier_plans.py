@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from weftline.functions.urls import site_key
 from weftline.operators import frontier as fr
 from weftline.plans.skew_plans import HOST_SQL
 from weftline.session import table
 
-NO_URL = F.lit(None).cast("string")
-HOST = site_key(F.col("hostname"), NO_URL)
 LOG_HOST = r"nullif(regexp_replace(regexp_replace(regexp_replace(lower(hostname), '^\s+|\s+$', '', 'g'), ':[0-9]*$', ''), '\.$', ''), '')"
 
 
+def _host() -> Column:
+    return site_key(F.col("hostname"), F.lit(None).cast("string"))
+
+
 def frontier_visits(spark: SparkSession, folder: str) -> DataFrame:
     return fr.with_visits(table(spark, folder, "frontier"), table(spark, folder, "visited")).select("seq", "visit_etag", "visit_last_modified", "visit_fetched_at")
 
@@ -37,17 +39,17 @@ def log_distinct(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def log_totals(spark: SparkSession, folder: str) -> DataFrame:
-    t = fr.host_totals(log_distinct(spark, folder), HOST)
+    t = fr.host_totals(log_distinct(spark, folder), _host())
     return t.withColumn("seconds_spent", F.round("seconds_spent", 4))
 
 
 def log_ewma(spark: SparkSession, folder: str) -> DataFrame:
-    e = fr.ewma(log_distinct(spark, folder).where("ok"), HOST)
+    e = fr.ewma(log_distinct(spark, folder).where("ok"), _host())
     return e.select("hostname", F.round("ewma_ms", 4).alias("ewma_ms"), F.round(fr.delay_seconds(F.col("ewma_ms")), 6).alias("delay_s"))
 
 
 def log_fails_in_a_row(spark: SparkSession, folder: str) -> DataFrame:
-    return fr.failures_in_a_row(log_distinct(spark, folder), HOST).select("hostname", "consecutive_fails", (F.col("consecutive_fails") >= fr.SICK_AFTER).alias("sick"))
+    return fr.failures_in_a_row(log_distinct(spark, folder), _host()).select("hostname", "consecutive_fails", (F.col("consecutive_fails") >= fr.SICK_AFTER).alias("sick"))
 
 
 def log_by_hour(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,7 +60,7 @@ def stats_within_budget(spark: SparkSession, folder: str) -> DataFrame:
     """OP-44, 62: statistics of hosts with a budget. The budget table has a row a host (a fixed, small one)."""
     s, b = table(spark, folder, "domain_stats"), table(spark, folder, "domain_budget")
     under = lambda used, cap: F.col(cap).isNull() | (F.col(used) < F.col(cap))
-    s = s.groupBy(HOST.alias("hostname")).agg(F.sum("urls_fetched").alias("urls"), F.sum("bytes_fetched").alias("bytes"), F.round(F.sum("seconds_spent"), 3).alias("seconds"))
+    s = s.groupBy(_host().alias("hostname")).agg(F.sum("urls_fetched").alias("urls"), F.sum("bytes_fetched").alias("bytes"), F.round(F.sum("seconds_spent"), 3).alias("seconds"))
     return b.join(s, "hostname", "left").select(
         "hostname", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("urls", "bytes", "seconds")],
         (F.coalesce(under("urls", "max_urls"), F.lit(True)) & F.coalesce(under("bytes", "max_bytes"), F.lit(True)) & F.coalesce(under("seconds", "max_seconds"), F.lit(True))).alias("within"),

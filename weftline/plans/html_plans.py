@@ -7,31 +7,28 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from weftline.functions import html as hx
 from weftline.session import table
 
-HTML, URL = F.col("text"), F.col("url")
-
-
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "responses").where("text IS NOT NULL")
 
 
 def html_head(spark: SparkSession, folder: str) -> DataFrame:
-    return _pages(spark, folder).select("response_id", hx.title(HTML).alias("title"), hx.language(HTML).alias("lang"), F.size(hx.tags(HTML, "p")).alias("paragraphs"))
+    return _pages(spark, folder).select("response_id", hx.title(F.col("text")).alias("title"), hx.language(F.col("text")).alias("lang"), F.size(hx.tags(F.col("text"), "p")).alias("paragraphs"))
 
 
 def html_links(spark: SparkSession, folder: str) -> DataFrame:
-    return _pages(spark, folder).select("response_id", F.posexplode(hx.links(HTML, URL)).alias("pos", "link"))
+    return _pages(spark, folder).select("response_id", F.posexplode(hx.links(F.col("text"), F.col("url"))).alias("pos", "link"))
 
 
 def html_comments(spark: SparkSession, folder: str) -> DataFrame:
-    return _pages(spark, folder).select("response_id", F.array_join(hx.comments(HTML), "\n").alias("comments"), F.length(hx.without_comments(HTML)).alias("rest"))
+    return _pages(spark, folder).select("response_id", F.array_join(hx.comments(F.col("text")), "\n").alias("comments"), F.length(hx.without_comments(F.col("text"))).alias("rest"))
 
 
 def html_scripts(spark: SparkSession, folder: str) -> DataFrame:
-    return _pages(spark, folder).select("response_id", F.size(hx.tags(HTML, "script")).alias("scripts"), F.size(hx.script_sources(HTML)).alias("with_source"), F.size(hx.tags(HTML, "meta")).alias("metas"))
+    return _pages(spark, folder).select("response_id", F.size(hx.tags(F.col("text"), "script")).alias("scripts"), F.size(hx.script_sources(F.col("text"))).alias("with_source"), F.size(hx.tags(F.col("text"), "meta")).alias("metas"))
 
 
 def html_icons(spark: SparkSession, folder: str) -> DataFrame:
-    return _pages(spark, folder).select("response_id", hx.icons(HTML, URL)[0]["url"].alias("icon"))
+    return _pages(spark, folder).select("response_id", hx.icons(F.col("text"), F.col("url"))[0]["url"].alias("icon"))
 
 
 def link_indegree(spark: SparkSession, folder: str) -> DataFrame:
