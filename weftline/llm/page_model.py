@@ -39,34 +39,30 @@ class Flat:
         self.levels = np.split(order, cut) if self.n else []
 
 
-def _lse(x: np.ndarray) -> np.ndarray:
-    m = x.max(-1, keepdims=True)
-    return (m + np.log(np.exp(x - m).sum(-1, keepdims=True)))[..., 0]
-
-
 def marginals(m: Model, f: Flat) -> tuple[np.ndarray, np.ndarray, float]:
     """Of each node: P(label), P(parent's label, own label); and the log of the partition function over all trees."""
-    node = np.zeros((f.n, 2))
-    node[:, 1] = np.bincount(f.owner, m.weights[f.active], f.n)
-    up = node.copy()  # belief of the subtree
+    up = np.zeros((f.n, 2))  # belief of the subtree, at first the node's own potential
+    up[:, 1] = np.bincount(f.owner, m.weights[f.active], f.n)
     sent = np.zeros((f.n, 2))  # message to the parent, by the parent's label
     for level in f.levels[:0:-1]:
-        sent[level] = _lse(m.edges[f.edge[level]] + up[level][:, None, :])
-        np.add.at(up, f.parent[level], sent[level])
+        x = m.edges[f.edge[level]] + up[level][:, None, :]
+        sent[level] = np.logaddexp(x[:, :, 0], x[:, :, 1])
+        for label in (0, 1):
+            up[:, label] += np.bincount(f.parent[level], sent[level, label], f.n)
     full = up.copy()  # belief of the whole tree
     pair = np.zeros((f.n, 2, 2))
     z = 0.0
     for k, level in enumerate(f.levels):
         if k == 0:
-            z = float(_lse(up[level]).sum())
+            z = float(np.logaddexp(up[level, 0], up[level, 1]).sum())
             continue
         rest = full[f.parent[level]] - sent[level]  # the parent's belief without this child
         joint = rest[:, :, None] + m.edges[f.edge[level]] + up[level][:, None, :]
-        top = joint.reshape(len(level), 4)
-        full[level] = _lse(np.swapaxes(joint, 1, 2))
-        pair[level] = np.exp(joint - _lse(top)[:, None, None])
-    p = np.exp(full - _lse(full)[:, None])
-    return p, pair, z
+        both = np.logaddexp(joint[:, 0], joint[:, 1])
+        full[level] = both
+        pair[level] = np.exp(joint - np.logaddexp(both[:, 0], both[:, 1])[:, None, None])
+    p = 1 / (1 + np.exp(np.clip(full[:, 0] - full[:, 1], -500, 500)))
+    return np.stack([1 - p, p], 1), pair, z
 
 
 def train(t: Trees, labels: np.ndarray, steps: int = 150, rate: float = 0.15, decay: float = 2e-3) -> Model:

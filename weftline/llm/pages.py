@@ -230,22 +230,29 @@ def add_text_page(t: Trees, page: int, text: str) -> None:
 _BODYISH = {F_["sentences"], F_["very_long"], F_["code"]}
 
 
+_SENTENCE, _LONG = F_["sentence"], F_["long"]
+
+
 def _positions(t: Trees, first: int) -> None:
     """Where leaves stand: before the first and after the last passage of running text, early and late."""
+    features = t.features
     leaves = [i for i in range(first, len(t.page)) if i in t.text]
-    body = [j for j, i in enumerate(leaves) if _BODYISH.intersection(t.features[i]) or (F_["sentence"] in t.features[i] and F_["long"] in t.features[i] and not _FURNITURE_LINE.intersection(t.features[i]))]
-    lo, hi = (body[0], body[-1]) if body else (len(leaves), -1)
+    n = len(leaves)
+    lo, hi = n, -1
+    for j, i in enumerate(leaves):
+        f = features[i]
+        if not _BODYISH.isdisjoint(f) or (_SENTENCE in f and _LONG in f and _FURNITURE_LINE.isdisjoint(f)):
+            lo, hi = min(lo, j), j
+    if hi >= 0:
+        for i in leaves[:lo]:
+            features[i].append(F_["before_body"])
+        for i in leaves[hi + 1 :]:
+            features[i].append(F_["after_body"])
     for j, i in enumerate(leaves):
-        f = t.features[i]
-        if body:
-            if j < lo:
-                f.append(F_["before_body"])
-            elif j > hi:
-                f.append(F_["after_body"])
-        if j < 0.15 * len(leaves):
-            f.append(F_["early"])
-        elif j > 0.85 * len(leaves):
-            f.append(F_["late"])
+        if j < 0.15 * n:
+            features[i].append(F_["early"])
+        elif j > 0.85 * n:
+            features[i].append(F_["late"])
 
 
 _TOKEN = re.compile(
@@ -320,13 +327,10 @@ def add_html_page(t: Trees, page: int, text: str) -> None:
                 t.text[node] = plain
                 for a, _ in spans:
                     t.lines.append((page, a, node))
-                c = current
                 words = plain.count(" ") + 1
-                while c >= first:
-                    k = counts.setdefault(c, [0, 0])
-                    k[0] += words
-                    k[1] += words if linked else 0
-                    c = t.parent[c]
+                k = counts.setdefault(current, [0, 0])
+                k[0] += words
+                k[1] += words if linked else 0
         parts, spans, linked = [], [], 0
 
     for whole, raw, slash, tag, attributes, chunk in _TOKEN.findall(text):
@@ -434,6 +438,12 @@ def add_html_page(t: Trees, page: int, text: str) -> None:
         if "\n" in attributes:
             no += attributes.count("\n")
     flush()
+    for c in range(len(t.page) - 1, first - 1, -1):  # from the inner containers outwards
+        if c in counts and t.parent[c] >= first:
+            k = counts.setdefault(t.parent[c], [0, 0])
+            k[0] += counts[c][0]
+            k[1] += counts[c][1]
+    counts.pop(root, None)
     for c, (words, links) in counts.items():
         share = links / max(1, words)
         t.features[c] += [F_["links_many"] if share > 0.6 else F_["links_some"] if share > 0.2 else F_["links_none"], F_["words_many"] if words >= 60 else F_["words_few"]]

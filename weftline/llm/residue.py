@@ -31,6 +31,8 @@ EM_STEPS = 8
 CLIP = 4.0
 #: Words of the main region up to which a record can be trusted to be nothing but residue.
 SHORT_WORDS = 90
+#: A notice is no longer than this.
+NOTICE_CHARS = 160
 
 _SLOT = re.compile(
     r"\{\{[^{}]{1,60}\}\}|\$\{[^{}]{1,60}\}|#\{[^{}]{1,60}\}|<%=?[^<>]{1,60}%>|__[A-Z][A-Z0-9_]*?__|@@[A-Za-z_]{2,40}@@|\*\|[A-Z0-9_:]{2,40}\|\*|%%[A-Za-z_]{2,40}%%|%[A-Z][A-Z_]{2,40}%|\[\[[^\[\]]{1,60}\]\]"
@@ -87,7 +89,7 @@ def tokens(passage: str, few: bool) -> set[str]:
     out.add("<1>" if n <= 1 else "<4>" if n <= 4 else "<12>" if n <= 12 else "<30>" if n <= 30 else "<many>")
     if few:
         out.add("<few>")
-        if _SEED.search(passage):
+        if len(passage) <= NOTICE_CHARS and _SEED.search(passage):
             out.add("<seed>")
     return out
 
@@ -115,17 +117,23 @@ def passages(t: Trees, p: np.ndarray, n: int) -> list[list[tuple[str, bool]]]:
     """Of each page: the passages of its main region, and whether each is a heading. Where nothing is in the main region, what is not plainly
     furniture stands for it, else notices about scripts."""
     main: list[list[tuple[str, bool]]] = [[] for _ in range(n)]
+    heading, page = F_["heading"], t.page
+    for node, text in t.text.items():
+        if p[node] > 0.5:
+            main[page[node]].append((text, heading in t.features[node]))
+    if all(main):
+        return main
     doubtful: list[list[tuple[str, bool]]] = [[] for _ in range(n)]
     notices: list[list[tuple[str, bool]]] = [[] for _ in range(n)]
-    scripts, heading, link = F_["has_scripts"], F_["heading"], F_["all_link"]
+    scripts, link = F_["has_scripts"], F_["all_link"]
     for node, text in t.text.items():
+        if main[page[node]]:
+            continue
         f = t.features[node]
-        if p[node] > 0.5:
-            main[t.page[node]].append((text, heading in f))
-        elif scripts in f:
-            notices[t.page[node]].append((text, False))
+        if scripts in f:
+            notices[page[node]].append((text, False))
         elif _SLOT.search(text) or _SEED.search(text) or t.edge[node] != _GOVERNED and link not in f and not _PLAIN_FURNITURE.intersection(f):
-            doubtful[t.page[node]].append((text, False))
+            doubtful[page[node]].append((text, False))
     return [a or b or c for a, b, c in zip(main, doubtful, notices)]
 
 
@@ -182,7 +190,9 @@ def record_scores(model: Residue, t: Trees, p: np.ndarray, texts: list[str | Non
         if i in t.data:
             words = json_words(text or "")
             if words is not None:
-                out[i] = model.passage(words[0]) if not words[1] else CLIP
+                score = CLIP if words[1] else model.passage(words[0])
+                own_keys = "<plain keys>" in words[0] and not any(x.startswith("k:") for x in words[0])
+                out[i] = min(score, -1.0) if own_keys else score  # data under keys of its own is content
             continue
         ps = found[i]
         if not ps:
