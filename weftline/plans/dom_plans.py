@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.functions.dom import read_pages
-from weftline.session import table
+from weftline.session import spread, table
 
 
 def dom_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Main text, Markdown and sizes of every response."""
-    return read_pages(table(spark, folder, "responses"), "response_id", "text").select("response_id", "main_text", "markdown", "precise_chars", "wide_chars", "clean_chars", "nodes")
+    return read_pages(spread(table(spark, folder, "responses").select("response_id", "text")), "response_id", "text").select("response_id", "main_text", "markdown", "precise_chars", "wide_chars", "clean_chars", "nodes")
 
 
 def dom_headings(spark: SparkSession, folder: str) -> DataFrame:
     """First-level headings, which patterns can find too."""
-    pages = table(spark, folder, "responses").where("text LIKE '<%'")
+    pages = spread(table(spark, folder, "responses").where("text LIKE '<%'").select("response_id", "text"))
     return read_pages(pages, "response_id", "text").select("response_id", F.posexplode("headings").alias("pos", "heading"))
 
 
