@@ -228,6 +228,23 @@ def test_subjects(spark):
     assert subjects.subjects_of(d.limit(0), "doc_id", "text", labels.limit(0), codes).count() == 0
 
 
+def test_subject_terms_are_learnt_from_all_documents(spark):
+    plain, rare = "The weather was mild on that day.", "The tribunal saw quillivant there."
+    d = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 5000 == 7, rare).otherwise(plain).alias("text"))
+    labels = spark.createDataFrame([], "doc_id long, subject string")
+    lexicon = subjects.learn(d, "doc_id", "text", labels, ["food", "law"])[0]
+    assert any("quillivant" in t and s == 1 for t, (s, _) in lexicon.weights.items())  # six sentences in all
+
+
+def test_term_counts_equal_brute_force():
+    rng = random.Random(5)
+    lines = [[rng.choice(("a", "bc", "def", "ghij", "été", "o'er")) for _ in range(rng.randint(2, 7))] for _ in range(300)]
+    of = [rng.randint(-1, 2) for _ in lines]
+    want = Counter((t, s) for x, s in zip(lines, of) for t in {w for w in x if len(w) > 2} | {f"{a} {b}" for a, b in zip(x, x[1:])})
+    got = subjects._term_counts([subjects._joined(x) for x in lines], of, 3)
+    assert {(r["term"], r["subject"]): r["n"] for r in got.to_pylist()} == want
+
+
 def test_mending():
     assert subjects.mend("mÃ¼de zero​width") == "müde zerowidth" and subjects.mend("plain") == "plain"
     assert [len(s) for s in subjects.sentences('Asked by E. Smith today. "No." He left.\n| a b | c d |')] == [5, 2, 2, 2]

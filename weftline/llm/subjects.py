@@ -1,9 +1,8 @@
 """Subject area of each document (problem 8).
 
 A lexicon of weighted terms, matched by one automaton (longest match first) in every sentence. The curated terms are its core; around it
-grows what stands in the same sentences: terms of one or two words that occur with one subject alone, learnt from a bounded sample of documents
-(``SAMPLE_DOCUMENTS``, the labelled ones first) in two rounds. Terms that several subjects share are dropped, whoever named them. Rarity is
-counted over all documents. A sentence treats a subject if its terms' weights, times their rarity and normalised by the sentence's
+grows what stands in the same sentences: terms of one or two words that occur with one subject alone, learnt from all documents in two
+rounds. Terms that several subjects share are dropped, whoever named them. Rarity is counted over all documents. A sentence treats a subject if its terms' weights, times their rarity and normalised by the sentence's
 length, exceed a threshold; a document has every subject whose share of sentences exceeds another, which is calibrated on the labels.
 """
 
@@ -12,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 from weftline.llm.subject_terms import TERMS, terms
 from weftline.session import cut_lineage
 
-SAMPLE_DOCUMENTS = 10_000
+#: Words of sentences that are counted at once.
+BLOCK_WORDS = 1_000_000
 MAX_TERMS = 20_000
 LEAST_SUPPORT = 5
 LEAST_PURITY = 0.75
@@ -129,46 +130,73 @@ def treats(found: list[tuple[int, float]], words: int, score: float = SENTENCE_S
     return [s for s, w in sums.items() if w / norm >= score and w >= 0.5 * best]
 
 
-def treated(a: ahocorasick.Automaton, words: list[str], score: float = SENTENCE_SCORE) -> list[int]:
-    return treats([(s, w) for _, (_, s, w) in a.iter_long(_joined(words))], len(words), score)
+def prepared(docs: DataFrame) -> DataFrame:
+    """k, labels, words: each document's sentences, joined for the matcher, a line each, compressed. The only pass over the texts; it costs more than all others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [zlib.compress("\n".join([_joined(x) for x in sentences(text)]).encode(), 1) for text in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.binary())], names=["k", "labels", "words"])
+
+    return docs.select("k", "labels", "text").mapInArrow(run, f"k {docs.schema['k'].dataType.simpleString()}, labels array<string>, words binary")
 
 
-def _candidates(words: list[str]) -> Iterator[str]:
-    n = len(words)
-    for i in range(n):
-        if len(words[i]) > 2:
-            yield words[i]
-        if i + 1 < n:
-            yield f"{words[i]} {words[i + 1]}"
+def _lines(words: bytes) -> list[str]:
+    """The joined sentences of a document."""
+    text = zlib.decompress(words).decode()
+    return text.split("\n") if text else []
+
+
+def _term_counts(lines: list[str], subject: list[int], n_subjects: int) -> pa.RecordBatch:
+    """term, subject, n: in how many of the joined sentences each word of three letters or more and each two words in a row occur, by the sentences' subjects."""
+    split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pa.array(lines, pa.large_string())))
+    coded = split.flatten().dictionary_encode()
+    vocabulary, w = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    v, sentence = len(vocabulary), np.repeat(np.arange(len(lines)), pc.list_value_length(split).to_numpy())
+    single = np.array([len(x) > 2 for x in vocabulary], bool)[w]
+    pair = np.flatnonzero(sentence[1:] == sentence[:-1])
+    terms_, at = np.unique(np.concatenate([w[single], v + w[pair] * v + w[pair + 1]]), return_inverse=True)
+    once = np.unique(np.concatenate([sentence[single], sentence[pair]]) * max(1, len(terms_)) + at)
+    i, of = once % max(1, len(terms_)), np.array(subject, np.int64)[once // max(1, len(terms_))]
+    both, n = np.unique(i * (n_subjects + 1) + of + 1, return_counts=True)
+    kept = terms_[both // (n_subjects + 1)]
+    names = [vocabulary[c] if c < v else f"{vocabulary[(c - v) // v]} {vocabulary[(c - v) % v]}" for c in kept.tolist()]
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(both % (n_subjects + 1) - 1, pa.int32()), pa.array(n, pa.int64())], names=["term", "subject", "n"])
 
 
 def _count_terms(docs: DataFrame, lexicon: Lexicon) -> tuple[list[tuple[str, int, int, int]], set[str]]:
-    """Of each term that occurs mostly with one subject, over a sample: term, subject, sentences with it, sentences in all; and the common words, which
-    occur with any. A sentence belongs to the only subject of its terms; without terms, to the only label of its document."""
+    """Of each term that occurs mostly with one subject, over all prepared documents: term, subject, sentences with it, sentences in all; and the common words,
+    which occur with any. A sentence belongs to the only subject of its terms; without terms, to the only label of its document."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
         a = lex.automaton()
         number = {s: i for i, s in enumerate(lex.subjects)}
+        lines: list[str] = []
+        subject: list[int] = []
+        size = 0
         for b in batches:
-            counts: Counter[tuple[str, int]] = Counter()
-            for text, labels in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for words, labels in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 only = number.get(labels[0], -1) if labels and len(labels) == 1 else -1
-                each = [(words, treated(a, words, 0.0)) for words in sentences(text)]
-                named = Counter(x[0] for _, x in each if len(x) == 1)
+                own = _lines(words)
+                each = [treats([(s, w) for _, (_, s, w) in a.iter_long(x)], 1, 0.0) for x in own]
+                named = Counter(t[0] for t in each if len(t) == 1)
                 if only not in named:  # labels can be wrong; one counts where some sentence agrees
                     only = -1
                 plain = only if only >= 0 else next(iter(named)) if len(named) == 1 and named.total() >= max(2, 0.4 * len(each)) else -1
-                for words, t in each:
-                    s = t[0] if len(t) == 1 else plain if not t else -1
-                    counts.update((c, s) for c in set(_candidates(words)))
-            kept = [(t, s, n) for (t, s), n in counts.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], ty) for i, ty in enumerate((pa.string(), pa.int32(), pa.int64()))], names=["term", "subject", "n"])
-
-    counted = docs.select("text", "labels").mapInArrow(run, "term string, subject int, n long").groupBy("term", "subject").agg(F.sum("n").alias("n"))
+                lines += own
+                subject += [t[0] if len(t) == 1 else plain if not t else -1 for t in each]
+                size += sum(map(len, own)) // 6
+                if size >= BLOCK_WORDS:
+                    yield _term_counts(lines, subject, len(number))
+                    lines, subject, size = [], [], 0
+        if lines:
+            yield _term_counts(lines, subject, len(number))
+
+    counted = docs.select("words", "labels").mapInArrow(run, "term string, subject int, n long").groupBy("term", "subject").agg(F.sum("n").alias("n"))
     # what can become a term: enough sentences of one subject
-    total = counted.groupBy("term").agg(F.sum("n").alias("seen"), F.sum(F.when(F.col("subject") >= 0, F.col("n"))).alias("all"), F.max(F.when(F.col("subject") >= 0, F.struct("n", "subject"))).alias("top"))
+    total = cut_lineage(counted.groupBy("term").agg(F.sum("n").alias("seen"), F.sum(F.when(F.col("subject") >= 0, F.col("n"))).alias("all"), F.max(F.when(F.col("subject") >= 0, F.struct("n", "subject"))).alias("top")))  # read twice below
     good = total.where((F.col("top.n") >= LEAST_SUPPORT) & (F.col("top.n") >= LEAST_PURITY * F.col("all")) & (F.col("all") >= LEAST_ASSIGNED * F.col("seen"))).orderBy(F.desc("top.n"), "term").limit(MAX_TERMS)
     common = total.where(~F.col("term").contains(" ") & (F.col("all") >= 10 * LEAST_SUPPORT) & (F.coalesce(F.col("top.n"), F.lit(0)) < 0.5 * F.col("all"))).orderBy(F.desc("all"), "term").limit(MAX_TERMS)
     return [(r.term, r.top.subject, r.top.n, r["all"]) for r in good.collect()], {r.term for r in common.select("term").collect()}
@@ -203,10 +231,9 @@ def grown(lexicon: Lexicon, counts: list[tuple[str, int, int, int]], common: set
     return Lexicon(lexicon.subjects, weights)
 
 
-def term_hits(docs: DataFrame, key: str, text: str, lexicon: Lexicon) -> DataFrame:
-    """key, n_sentences, hits: for each sentence with terms, its number of words and the numbers of its terms. The only pass over the texts."""
+def term_hits(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """k, n_sentences, hits of prepared documents: for each sentence with terms, its number of words and the numbers of its terms."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    key_type = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
@@ -219,12 +246,12 @@ def term_hits(docs: DataFrame, key: str, text: str, lexicon: Lexicon) -> DataFra
         for b in batches:
             size, hits = [], []
             for x in b.column(1).to_pylist():
-                ss = sentences(x) if x else []
+                ss = _lines(x)
                 size.append(len(ss))
-                hits.append([[len(words), *found] for words in ss if (found := [i for _, i in a.iter_long(_joined(words))])])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int32()), pa.array(hits, pa.list_(pa.list_(pa.int32())))], names=[key, "n_sentences", "hits"])
+                hits.append([[s.count("  ") + 1, *found] for s in ss if (found := [i for _, i in a.iter_long(s)])])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int32()), pa.array(hits, pa.list_(pa.list_(pa.int32())))], names=["k", "n_sentences", "hits"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {key_type}, n_sentences int, hits array<array<int>>")
+    return docs.select("k", "words").mapInArrow(run, f"k {docs.schema['k'].dataType.simpleString()}, n_sentences int, hits array<array<int>>")
 
 
 def rarity(hits: DataFrame, lexicon: Lexicon) -> dict[str, float]:
@@ -271,22 +298,19 @@ def sentence_shares(hits: DataFrame, key: str, lexicon: Lexicon) -> DataFrame:
     return hits.select(key, "n_sentences", "hits").mapInArrow(run, f"{key} {key_type}, subject string, share double, n_sentences int")
 
 
-def learn(docs: DataFrame, key: str, text: str, labels: DataFrame, subjects: list[str], sample: int = SAMPLE_DOCUMENTS) -> tuple[Lexicon, float, DataFrame]:
+def learn(docs: DataFrame, key: str, text: str, labels: DataFrame, subjects: list[str]) -> tuple[Lexicon, float, DataFrame]:
     """The lexicon, the share threshold, and all documents' hits (k, n_sentences, hits). labels: key, subject (in any letter case; repeats and unknown subjects don't matter)."""
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("text"))
     given = labels.where(F.lower(F.trim("subject")).isin(*subjects)).groupBy(F.col(key).alias("k")).agg(F.sort_array(F.collect_set(F.lower(F.trim("subject")))).alias("labels"))
-    total, n_given = rows.count(), given.count()
-    pick = lambda n, of: F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < int(min(1.0, n / max(1, of)) * (1 << 20)) + 1
-    given = given.where(pick(sample // 2, n_given))
-    chosen = rows.join(F.broadcast(given), "k", "left").where(F.col("labels").isNotNull() | pick(sample // 2, total))  # given: at most about sample // 2 rows
+    read = cut_lineage(prepared(rows.join(given, "k", "left")))
     lexicon = start = curated(subjects)
     for _ in range(2):
-        lexicon = grown(start, *_count_terms(chosen, lexicon))
-    hits = cut_lineage(term_hits(rows, "k", "text", lexicon))
+        lexicon = grown(start, *_count_terms(read, lexicon))
+    hits = cut_lineage(term_hits(read, lexicon))
     lexicon.rarity = rarity(hits, lexicon)
     # calibration: the share that agrees best with the labels, the nominal one on ties
-    labelled = sentence_shares(hits.join(F.broadcast(given), "k", "left_semi"), "k", lexicon)
-    pairs = labelled.select("k", "subject", "share").join(F.broadcast(given), "k").select("share", F.array_contains("labels", F.col("subject")).alias("right"))
+    labelled = sentence_shares(hits.join(given, "k", "left_semi"), "k", lexicon)
+    pairs = labelled.select("k", "subject", "share").join(given, "k").select("share", F.array_contains("labels", F.col("subject")).alias("right"))
     grid = pairs.agg(*[F.count_if((F.col("share") >= x) & F.col("right")).alias(f"t{i}") for i, x in enumerate(SHARE_RANGE)], *[F.count_if(F.col("share") >= x).alias(f"a{i}") for i, x in enumerate(SHARE_RANGE)]).first()
     n_labels = given.agg(F.sum(F.size("labels"))).first()[0] or 0
     f1 = lambda i: 2 * grid[f"t{i}"] / max(1, grid[f"a{i}"] + n_labels)
