@@ -1,6 +1,7 @@
 """The training-data operators: brute force, round trips and held-out accuracy; nulls, empties, very long texts, repeats, empty tables, clashing columns."""
 
 import base64
+import math
 import os
 import random
 from collections import Counter
@@ -200,6 +201,19 @@ def test_body_and_residue(spark):
     assert residue.residue_scores(empty).count() == 0 and body.body_lines(empty, residue.learn(empty)).count() == 0
 
 
+def test_residue_is_learnt_from_all_passages_of_all_records(spark):
+    body = "\n\n".join(f"The {w} mill was built beside the river and has ground corn for the valley ever since." for w in ("first", "second", "third", "fourth", "fifth", "sixth", "seventh"))
+    body += "\n\nIts zanquel wheel still turns on feast days when the miller opens the sluice for visitors."
+    notice = "Page not found. Error 404 vorblitz."
+    rows = [("t", i, body if i % 20 else notice, 200) for i in range(200)]
+    model = residue.learn(spark.createDataFrame(rows, "tbl string, rec_id long, text string, status int"))
+    assert "zanquel" in model.weights  # in the eighth passage
+    few = F.when(F.col("id") % 3000 == 5, notice).otherwise("A short note about the weather in spring.")
+    model = residue.learn(spark.range(24_000).select(F.lit("t").alias("tbl"), F.col("id").alias("rec_id"), few.alias("text"), F.lit(200).alias("status")))
+    residues = 24_000 / (1 + math.exp(-model.prior))
+    assert model.weights["vorblitz"] > 3 and round(residues) >= 8  # all eight records
+
+
 def test_broken_pages_do_not_fail():
     t = pages.Trees()
     for i, x in enumerate(["<div", "<div><p>a", "</p></div></html>", "<table><tr><td>x<td>y</table>", "<script>if (a<b) {", "<!-- open", "{", "[", "{}", "```\ncode", "<html><title>x", "<p>" * 3000 + "deep"]):

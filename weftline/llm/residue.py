@@ -5,7 +5,7 @@ shows unfilled placeholders, filler, or a plain error or script notice; everythi
 unlabelled as negatives, then expectation and maximisation move the unlabelled passages to where they belong. Every record is then
 scored: the clipped log-odds of its passages, weighted by their length, are added up, so that a real body outweighs a quoted notice.
 
-The classifier is fitted on a bounded sample of records (``SAMPLE_RECORDS``, chosen by hash); all records are scored.
+The classifier is fitted on all passages of all records, by counts of tokens that are added up over the table; all records are scored.
 """
 
 from __future__ import annotations
@@ -19,14 +19,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from weftline.llm.pages import EDGE
 from weftline.llm.pages import FEATURE as F_
 from weftline.llm.pages import Trees
+from weftline.session import cut_lineage
 
-SAMPLE_RECORDS = 8_000
-SAMPLE_PASSAGES = 6
 EM_STEPS = 8
 CLIP = 4.0
 #: Words of the main region up to which a record can be trusted to be nothing but residue.
@@ -160,26 +160,43 @@ class Residue:
         return max(-CLIP, min(CLIP, self.prior + sum([w[x] for x in toks if x in w])))
 
 
-def fit(records: list[tuple[bool, list[list[str]]]]) -> Residue:
-    """Naive Bayes (presence of tokens) of trusted and unlabelled passages, by expectation-maximisation."""
-    sure = np.array([s for s, ps in records for _ in ps], bool)
-    docs = [p for _, ps in records for p in ps]
-    if not sure.any() or sure.all():
-        return Residue(-math.log(99.0), {"<slot>": 5.0, "<slots>": 3.0, "<filler>": 5.0, "<repeats>": 4.0})
-    seen = Counter(x for d in docs for x in d)
-    vocabulary = {x: i for i, x in enumerate(sorted(k for k, c in seen.items() if c >= 2))}
-    rows = np.repeat(np.arange(len(docs)), [sum(x in vocabulary for x in d) for d in docs])
-    cols = np.array([vocabulary[x] for d in docs for x in d if x in vocabulary], np.int64)
-    q = sure.astype(float)
-    prior, weights = 0.0, np.zeros(len(vocabulary))
+def _token_counts(passages: DataFrame, model: Residue | None) -> DataFrame:
+    """token, pos, n: of each token, the passages that hold it and their probabilities of residue, added up; token "" stands for all passages. passages:
+    sure, tokens, n. Without a model only what is trusted is residue."""
+    shared = passages.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for b in batches:
+            split = pc.split_pattern(b.column(1), "\t")
+            coded = split.flatten().dictionary_encode()
+            names, cols = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            rows = np.repeat(np.arange(len(b)), pc.list_value_length(split).to_numpy())
+            q, n = b.column(0).to_numpy(zero_copy_only=False).astype(float), b.column(2).to_numpy().astype(float)
+            if model is not None:
+                w = np.array([model.weights.get(x, 0.0) for x in names])
+                score = model.prior + np.bincount(rows, w[cols], len(b))
+                q = np.where(q > 0, 1.0, 1 / (1 + np.exp(-np.clip(score, -30, 30))))
+            pos, seen = np.bincount(cols, (q * n)[rows], len(names)), np.bincount(cols, n[rows], len(names))
+            yield pa.RecordBatch.from_arrays([pa.array([*names, ""], pa.string()), pa.array([*pos, (q * n).sum()]), pa.array([*seen, n.sum()])], names=["token", "pos", "n"])
+
+    counted = passages.select("sure", "tokens", "n").mapInArrow(run, "token string, pos double, n double")
+    return counted.groupBy("token").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+
+
+def fit(passages: DataFrame) -> Residue:
+    """Naive Bayes (presence of tokens) of trusted and unlabelled passages, by expectation-maximisation. passages: sure, tokens (joined by tabs), n (how
+    often); only counts a token come to the driver."""
+    model = None
     for _ in range(EM_STEPS):
-        pos, neg = np.bincount(cols, q[rows], len(vocabulary)), np.bincount(cols, 1 - q[rows], len(vocabulary))
-        a, b = q.sum(), (1 - q).sum()
-        weights = np.log((pos + 0.3) / (a + 0.6)) - np.log((neg + 0.3) / (b + 0.6))
-        prior = math.log(a / b)
-        score = prior + np.bincount(rows, weights[cols], len(docs))
-        q = np.where(sure, 1.0, 1 / (1 + np.exp(-np.clip(score, -30, 30))))
-    return Residue(prior, {x: float(weights[i]) for x, i in vocabulary.items()})
+        counts = {r.token: (r.pos, r.n) for r in _token_counts(passages, model).where("n >= 2 OR token = ''").collect()}
+        a, total = counts.pop("", (0.0, 0.0))
+        b = total - a
+        if a <= 0 or b <= 0:
+            return Residue(-math.log(99.0), {"<slot>": 5.0, "<slots>": 3.0, "<filler>": 5.0, "<repeats>": 4.0})
+        weights = {x: math.log((pos + 0.3) / (a + 0.6)) - math.log((n - pos + 0.3) / (b + 0.6)) for x, (pos, n) in counts.items()}
+        model = Residue(math.log(a / b), weights)
+    return model
 
 
 def record_scores(model: Residue, t: Trees, p: np.ndarray, texts: list[str | None], statuses: list[int | None]) -> np.ndarray:
@@ -205,16 +222,11 @@ def record_scores(model: Residue, t: Trees, p: np.ndarray, texts: list[str | Non
     return out
 
 
-def learn(pages: DataFrame, sample: int = SAMPLE_RECORDS) -> Residue:
-    """The classifier for a table of pages (tbl, rec_id, text, status), from a sample of at most about ``sample`` records."""
+def learn(pages: DataFrame) -> Residue:
+    """The classifier for a table of pages (tbl, rec_id, text, status), from all passages of all records. Equal passages are kept once with their number."""
     from weftline.llm.body import blocks, read_pages
     from weftline.llm.page_model import trained
 
-    rows = pages.where("text IS NOT NULL")
-    total = rows.count()
-    if not total:
-        return fit([])
-    part = min(1.0, sample / total)
     shared = pages.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,22 +235,21 @@ def learn(pages: DataFrame, sample: int = SAMPLE_RECORDS) -> Residue:
             for begin, end in blocks(texts):
                 t, p = read_pages(shared.value, texts[begin:end])
                 found = passages(t, p, end - begin)
-                sure, toks = [], []
+                count: Counter[tuple[bool, str]] = Counter()
                 for i, ps in enumerate(found):
                     if i in t.data:
                         words = json_words(texts[begin + i])
                         if words is not None:
-                            sure.append(words[1])
-                            toks.append("\t".join(words[0]))
+                            count[words[1], "\t".join(words[0])] += 1
                     elif ps:
                         few = sum(len(x.split()) for x, _ in ps) <= SHORT_WORDS
-                        sure.append(trusted(ps, statuses[begin + i]))
-                        toks.append("\n".join("\t".join(sorted(tokens(x, few))) for x, _ in ps[:SAMPLE_PASSAGES]))
-                yield pa.RecordBatch.from_arrays([pa.array(sure, pa.bool_()), pa.array(toks, pa.string())], names=["sure", "tokens"])
+                        sure = trusted(ps, statuses[begin + i])
+                        count.update((sure, "\t".join(sorted(tokens(x, few)))) for x, _ in ps)
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in count], pa.bool_()), pa.array([x for _, x in count], pa.string()), pa.array(list(count.values()), pa.int64())], names=["sure", "tokens", "n"])
 
-    chosen = rows.where(F.pmod(F.xxhash64("tbl", "rec_id"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).select("text", F.col("status").cast("int"))
-    got = sorted((r.sure, r.tokens) for r in chosen.mapInArrow(run, "sure boolean, tokens string").collect())
-    return fit([(s, [p.split("\t") for p in x.split("\n")]) for s, x in got])
+    rows = pages.where("text IS NOT NULL").select("text", F.col("status").cast("int"))
+    read = rows.mapInArrow(run, "sure boolean, tokens string, n long").groupBy("sure", "tokens").agg(F.sum("n").alias("n"))
+    return fit(cut_lineage(read))
 
 
 def residue_scores(pages: DataFrame, model: Residue | None = None) -> DataFrame:
