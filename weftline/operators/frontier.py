@@ -1,4 +1,4 @@
-"""The crawl's tables as relations: joins of frontier, visited, host statistics and budgets; folds of the fetch log; scheduling by windows (OP-41..62, 78..80, 89, 175)."""
+"""The crawl's tables as relations: joins of frontier, visited, host statistics and budgets; folds of the fetch log; scheduling by windows (OP-41, 44..46, 56..58, 60, 62, 78..80, 90, 175)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""A log of network events joined to one row a request (OP-38, 50, 166, 167)."""
+"""A log of network events joined to one row a request (OP-38, 50, 167)."""
 
 from __future__ import annotations
 
