@@ -138,6 +138,14 @@ def test_tech_closure():
     assert tech.overlay([("a", 1), ("b", 2)], [("a", 1), ("c", 3)], {"b"}) == [("a", 1), ("c", 3)]
 
 
+def test_tech_signals(spark):
+    page = spark.createDataFrame([(1, "<p class=shop>", {"Set-Cookie": "sid=abc"})], "id int, html string, headers map<string,string>")
+    for signal, key in (("url", ""), ("dom", ""), ("js", "x"), ("scripts", ""), ("css", ""), ("cookies", "s*")):
+        with pytest.raises(ValueError):
+            tech.detect(page, "id", "html", "headers", [("T", "C", signal, key, "shop")], [])
+    assert [r.tech for r in tech.detect(page, "id", "html", "headers", [("T", "C", "cookies", "sid", "^9$")], []).collect()] == ["T"]
+
+
 def test_unseen_and_one_per_host(spark):
     f = spark.createDataFrame([(b"1", 1, "h", 0, 5.0), (b"1", 2, "h", 9, 4.0), (b"2", 3, "h", 9, 4.0), (None, 4, None, 1, None)], "fp binary, seq long, hostname string, priority int, added_at double")
     assert [r.seq for r in frontier.unseen(f, f.where("seq = 3")).collect()] == [1]

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 MAX_PATTERNS = 20_000
+#: What patterns can be tried on; those of url, scripts, css, js and dom can't.
+SIGNALS = ("headers", "cookies", "meta", "scriptSrc", "html")
 
 #: A pattern table of our own, to begin with: tech, categories, signal, key, pattern. Users add theirs.
 PATTERNS = [
@@ -93,15 +95,19 @@ def _hit(p: Pattern, html: Column, headers: Column, cookies: Column) -> tuple[Co
         value = F.nullif(F.array_join(F.regexp_extract_all(html, F.lit(r"(?i)<script[^>]+src=[\"']([^\"']+)"), F.lit(1)), "\n"), F.lit(""))
     else:
         value, flags = html, "(?is)"
-    hit = value.isNotNull() if p.regex == "" else F.coalesce(value.rlike(flags + p.regex), F.lit(False))
+    hit = value.isNotNull() if p.regex == "" or p.signal == "cookies" else F.coalesce(value.rlike(flags + p.regex), F.lit(False))
     m = re.fullmatch(r"\\(\d+)", p.version)
     version = F.nullif(F.regexp_extract(value, flags + p.regex, int(m.group(1))), F.lit("")) if m and p.regex else F.lit(None).cast("string")
     return hit, version
 
 
 def detect(pages: DataFrame, key: str, html: str, headers: str, patterns: list[tuple] | None = None, implies: list[tuple] | None = None) -> DataFrame:
-    """key, tech, category, confidence, version: a row for each technology of a page. Null pages and headers show nothing of their signal."""
+    """key, tech, category, confidence, version: a row for each technology of a page. Null pages and headers show nothing of their signal.
+    A cookie counts by its name alone, whatever its value. A pattern of a signal that isn't in ``SIGNALS``, or of a cookie name with *, raises a ValueError."""
     ps = [p for p in (parse_pattern(*r) for r in (PATTERNS if patterns is None else patterns)) if p]
+    for p in ps:
+        if p.signal not in SIGNALS or p.signal == "cookies" and "*" in p.key:
+            raise ValueError(f"{p.tech}: no pattern can be tried on {p.signal} {p.key}".rstrip())
     if len(ps) > MAX_PATTERNS:
         raise ValueError(f"{len(ps)} patterns; at most {MAX_PATTERNS}")
     lowered = F.transform_keys(F.coalesce(F.col(headers), F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k))
