@@ -112,6 +112,13 @@ def test_bfs(spark):
     assert got == {"a": 0, "b": 1, "c": 1, "d": 2}
 
 
+def test_sitemaps_of_any_depth(spark):
+    index = lambda x: f"<sitemapindex><sitemap><loc>{x}</loc></sitemap></sitemapindex>"
+    bodies = [(f"m{i}", index(f"m{i + 1}")) for i in range(7)] + [("m7", "<urlset><url><loc>https://s.example/deep</loc></url></urlset>")]
+    got = crawl.discover(spark.createDataFrame(bodies, "url string, body string"), spark.createDataFrame([("m0",)], "url string"))
+    assert [r.url for r in got.collect()] == ["https://s.example/deep"]
+
+
 PAGE = """<html><body><nav><a href=/x>Home</a></nav><main id=m class="a b"><h1>T &amp; U</h1><p>One <b>bold</b><p>Two <a href="/l">link</a> that is long enough to count as text.
 <ul><li>i<li>j</ul><pre>x
  y</pre><div style="display:none">ignore this text, it is hidden from view</div></main><footer>foot</footer></body></html>"""

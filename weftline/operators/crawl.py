@@ -24,13 +24,14 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return reached
 
 
-def discover(bodies: DataFrame, seeds: DataFrame, rounds: int = 5) -> DataFrame:
-    """OP-06: url of every page in the sitemaps reachable from the seeds. bodies: url, body (in place of a network); seeds: url."""
+def discover(bodies: DataFrame, seeds: DataFrame) -> DataFrame:
+    """OP-06: url of every page in the sitemaps reachable from the seeds. bodies: url, body (in place of a network); seeds: url.
+    Ends when no sitemap is found that wasn't seen."""
     from weftline.functions.html import sitemap_entries
 
     seen = cut_lineage(seeds.select("url").where("url IS NOT NULL").distinct())
     now, pages = seen, None
-    for _ in range(rounds):
+    while True:
         maps = bodies.join(now, "url").select("body", F.substring("body", 1, 200).contains("<sitemapindex").alias("is_index"))
         entries = cut_lineage(maps.select("is_index", F.explode(sitemap_entries(F.col("body"))).alias("e")).select("is_index", "e.loc"))
         found = entries.where("NOT is_index").select(F.col("loc").alias("url"))
