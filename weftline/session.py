@@ -66,3 +66,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the shared folder, so that a lost executor loses nothing."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_partitioned(df: DataFrame) -> DataFrame:
+    """``cut_lineage`` for a table that was just repartitioned by key: joins and aggregations by that key find it so and don't shuffle it again
+    (Spark keeps the partitioning of a checkpoint only where its plan is fixed, so adaptive planning pauses while it is written)."""
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut_lineage(df)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
