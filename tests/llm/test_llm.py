@@ -1,6 +1,7 @@
 """The training-data operators: brute force, round trips and held-out accuracy; nulls, empties, very long texts, repeats, empty tables, clashing columns."""
 
 import base64
+import json
 import math
 import os
 import random
@@ -185,12 +186,13 @@ STUBS = ["Page not found\n\nThe address /x does not exist on this server.", "Hel
 
 def _pages(spark):
     texts = [ARTICLE, HTML, '{"a": "text of a record", "b": 2}', *STUBS, *ODD] + [ARTICLE.replace("road", w) for w in ("river", "street", "bridge", "wall")] * 6 + STUBS * 4
+    texts += [json.dumps({"name": f"road {i}", "length": i, "text": "a text of the record"}) for i in range(12)]
     return texts, spark.createDataFrame([("t", i, x, None, "clash") for i, x in enumerate(texts)], "tbl string, rec_id long, text string, status int, score string")
 
 
 def test_body_and_residue(spark):
     texts, df = _pages(spark)
-    model = residue.learn(df)
+    model = residue.learn(residue.read_chunks(df))
     found = {r.rec_id for r in residue.residue_scores(df, model).where("score > 0").collect()}
     assert found >= set(range(3, 9)) and not found & {0, 1, 2, 9, 10, 11, 12}
     lines = {}
@@ -201,20 +203,41 @@ def test_body_and_residue(spark):
     texts_of = {r.rec_id: r.text for r in body.body_text(df, model).collect()}
     assert texts_of[1].startswith("T\nThe road was long") and len(texts_of) == len(texts)
     empty = df.limit(0)
-    assert residue.residue_scores(empty).count() == 0 and body.body_lines(empty, residue.learn(empty)).count() == 0
+    assert residue.residue_scores(empty).count() == 0 and body.body_lines(empty).count() == 0 and body.body_text(empty).count() == 0
+    assert residue.residue_scores(df.where("rec_id = 0")).where("score > 0").count() == 0  # nothing to trust
+    again = residue.Residue.from_bytes(model.to_bytes())
+    assert again.prior == model.prior and (again.weights == model.weights).all()
 
 
 def test_residue_is_learnt_from_all_passages_of_all_records(spark):
-    body = "\n\n".join(f"The {w} mill was built beside the river and has ground corn for the valley ever since." for w in ("first", "second", "third", "fourth", "fifth", "sixth", "seventh"))
-    body += "\n\nIts zanquel wheel still turns on feast days when the miller opens the sluice for visitors."
+    body_ = "\n\n".join(f"The {w} mill was built beside the river and has ground corn for the valley ever since." for w in ("first", "second", "third", "fourth", "fifth", "sixth", "seventh"))
+    body_ += "\n\nIts zanquel wheel still turns on feast days when the miller opens the sluice for visitors."
     notice = "Page not found. Error 404 vorblitz."
-    rows = [("t", i, body if i % 20 else notice, 200) for i in range(200)]
-    model = residue.learn(spark.createDataFrame(rows, "tbl string, rec_id long, text string, status int"))
-    assert "zanquel" in model.weights  # in the eighth passage
+    rows = [("t", i, body_ if i % 20 else notice) for i in range(200)]
+    learn = lambda df: residue.learn(residue.read_chunks(df))
+    model = learn(spark.createDataFrame(rows, "tbl string, rec_id long, text string"))
+    assert model.weights[residue.number("zanquel")] < 0 < model.weights[residue.number("vorblitz")]  # in the eighth passage
     few = F.when(F.col("id") % 3000 == 5, notice).otherwise("A short note about the weather in spring.")
-    model = residue.learn(spark.range(24_000).select(F.lit("t").alias("tbl"), F.col("id").alias("rec_id"), few.alias("text"), F.lit(200).alias("status")))
+    model = learn(spark.range(24_000).select(F.lit("t").alias("tbl"), F.col("id").alias("rec_id"), few.alias("text")))
     residues = 24_000 / (1 + math.exp(-model.prior))
-    assert model.weights["vorblitz"] > 3 and round(residues) >= 8  # all eight records
+    assert model.weights[residue.number("vorblitz")] > 3 and round(residues) >= 8  # all eight records
+
+
+def test_forms_of_pages_and_signs_of_passages():
+    form = lambda x: (lambda t: "data" if t.data else "html" if any(t.edge[n] == pages.EDGE["leaf"] for n in t.text) else "text")(_added(x))
+    assert form("\ufeff<section><p>words of a page</p></section>") == form("<article>words here</article>") == form("Some words\n<div><p>a b</p>\n<p>c d</p></div>") == "html"
+    assert form("# Title\n\nA tag like <div> is text.") == form("a < b and c > d") == "text" and form(' {"a": 1}') == "data"
+    long = "We keep small files on your device and our cookies. " * 12
+    assert pages.FEATURE["has_consent"] in pages.line_features(long)[0]
+    has = lambda x, sign: residue.NUMBER[sign] in residue.token_numbers(x)[0]
+    assert has("Please enable JavaScript.", "<notice 3>") and not has("Unforbidden words", "<notice 1>") and has("word " * 60 + "page not found", "<notice 1>")
+    assert has("asdfgh jklasd", "<mash>") and has("Hello {{name}}", "<slot>") and has("", "<nothing>")
+
+
+def _added(x):
+    t = pages.Trees()
+    pages.add_page(t, 0, x)
+    return t
 
 
 def test_broken_pages_do_not_fail():

@@ -11,11 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from weftline.llm.page_model import Flat, Model, marginals, trained
+from weftline.llm.page_model import Flat, Model, marginals
 from weftline.llm.pages import Trees, add_page
-from weftline.llm.residue import Residue, record_scores
+from weftline.llm.residue import Residue, chunk_scores, learn, read_chunks, unpacked
 
 #: Pages whose trees are worked on at once, and characters of text.
 BLOCK_PAGES, BLOCK_CHARS = 400, 2_000_000
@@ -43,46 +43,56 @@ def read_pages(model: Model, texts: list[str | None]) -> tuple[Trees, np.ndarray
     return t, p[:, 1] if len(p) else np.zeros(0)
 
 
-def body_lines(pages: DataFrame, residue: Residue | None = None, least: float = 0.5) -> DataFrame:
+def lines_of(t: Trees, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pages and numbers of the lines that show a leaf of a main body, in order, each once."""
+    if not t.lines:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    page, no, node = np.array(t.lines, np.int64).T
+    found = np.unique((page[p[node] > 0.5] << 32) + no[p[node] > 0.5])
+    return found >> 32, found & 0xFFFFFFFF
+
+
+def body_of(t: Trees, p: np.ndarray, n: int) -> list[str]:
+    """The plain text of each of n pages' main body, passages separated by a line end."""
+    parts: list[list[str]] = [[] for _ in range(n)]
+    for node, passage in t.text.items():
+        if p[node] > 0.5:
+            parts[t.page[node]].append(passage)
+    return ["\n".join(x) for x in parts]
+
+
+def body_lines(pages: DataFrame, residue: Residue | bool = True) -> DataFrame:
     """tbl, rec_id, line_no of every line that shows visible letters or digits of the main body. Lines are counted from 0 by "\\n".
 
-    pages: tbl, rec_id, text, status. Null, empty and blank texts and JSON have no lines; with ``residue``, neither have records that the
-    residue model finds to hold no content. Equal rows have equal results. Other columns are not read.
+    pages: tbl, rec_id, text. Null, empty and blank texts and JSON have no lines; neither have records that the residue model (the given one, or
+    with True one learnt from these pages) finds to hold no content. Equal rows have equal results. Other columns are not read.
     """
-    shared = pages.sparkSession.sparkContext.broadcast((trained(), residue))
+    chunks = read_chunks(pages, lines=True)
+    shared = pages.sparkSession.sparkContext.broadcast(learn(chunks) if residue is True else residue or None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, judge = shared.value
-        for b in batches:
-            tbl, rec, text, status = (b.column(i) for i in range(4))
-            texts, statuses = text.to_pylist(), status.to_pylist()
-            for begin, end in blocks(texts):
-                t, p = read_pages(model, texts[begin:end])
-                gone = record_scores(judge, t, p, texts[begin:end], statuses[begin:end]) > 0 if judge else np.zeros(end - begin, bool)
-                keep = sorted({(page, no) for page, no, node in t.lines if p[node] > least and not gone[page]})
-                at = pa.array([begin + page for page, _ in keep], pa.int64())
-                yield pa.RecordBatch.from_arrays([tbl.take(at), rec.take(at), pa.array([no for _, no in keep], pa.int32())], names=["tbl", "rec_id", "line_no"])
+        for data in unpacked(batches):
+            of, no = data[6], data[7]
+            if shared.value is not None:
+                _, score = chunk_scores(shared.value, data)
+                kept = ~(score[of] > 0)
+                of, no = of[kept], no[kept]
+            at = pa.array(of)
+            tbl, rec = pa.array([k for k, _ in data[0]], pa.string()), pa.array([k for _, k in data[0]], pa.int64())
+            yield pa.RecordBatch.from_arrays([tbl.take(at), rec.take(at), pa.array(no, pa.int32())], names=["tbl", "rec_id", "line_no"])
 
-    return pages.select("tbl", F.col("rec_id").cast("long").alias("rec_id"), "text", F.col("status").cast("int").alias("status")).mapInArrow(run, "tbl string, rec_id long, line_no int")
+    return chunks.mapInArrow(run, "tbl string, rec_id long, line_no int")
 
 
-def body_text(pages: DataFrame, residue: Residue | None = None) -> DataFrame:
-    """tbl, rec_id, text: the plain text of each page's main body, passages separated by a line end; empty where there is none."""
-    shared = pages.sparkSession.sparkContext.broadcast((trained(), residue))
+def body_text(pages: DataFrame, residue: Residue | bool = True) -> DataFrame:
+    """tbl, rec_id, text: the plain text of each page's main body, passages separated by a line end; empty where there is none. Rows as in ``body_lines``."""
+    chunks = read_chunks(pages, texts=True)
+    shared = pages.sparkSession.sparkContext.broadcast(learn(chunks) if residue is True else residue or None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, judge = shared.value
-        for b in batches:
-            texts, statuses = b.column(2).to_pylist(), b.column(3).to_pylist()
-            out: list[str] = []
-            for begin, end in blocks(texts):
-                t, p = read_pages(model, texts[begin:end])
-                gone = record_scores(judge, t, p, texts[begin:end], statuses[begin:end]) > 0 if judge else np.zeros(end - begin, bool)
-                parts: list[list[str]] = [[] for _ in range(end - begin)]
-                for node, passage in t.text.items():
-                    if p[node] > 0.5 and not gone[t.page[node]]:
-                        parts[t.page[node]].append(passage)
-                out += ["\n".join(x) for x in parts]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["tbl", "rec_id", "text"])
-
-    return pages.select("tbl", F.col("rec_id").cast("long").alias("rec_id"), "text", F.col("status").cast("int").alias("status")).mapInArrow(run, "tbl string, rec_id long, text string")
+        for data in unpacked(batches):
+            gone = chunk_scores(shared.value, data)[1] > 0 if shared.value is not None else np.zeros(len(data[0]), bool)
+            out = ["" if g else x for g, x in zip(gone, data[8])]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in data[0]], pa.string()), pa.array([k for _, k in data[0]], pa.int64()), pa.array(out, pa.string())], names=["tbl", "rec_id", "text"])
+
+    return chunks.mapInArrow(run, "tbl string, rec_id long, text string")

@@ -44,7 +44,7 @@ def _automaton() -> ahocorasick.Automaton:
 
 
 _FIND = _automaton()
-_MENU = frozenset(fu.phrases("menu"))
+_MENU, _MENU_KIND = frozenset(fu.phrases("menu")), KINDS.index("menu")
 _COMMENT = re.compile(r"(?:[^\W\d_]\.\s?){0,2}[^\W\d_][\w'’-]{1,20}(?: [^\W\d_][\w'’-]{1,20})? ?: \S")
 _LINK = re.compile(r"!?\[([^\]]*)\]\([^)\s]*\)")
 _MARK = re.compile(r"\s*(?:(#{1,6})\s|([*•+])\s+|(-)\s+|(\d{1,3}[.)])\s+|(>)|(\|))")
@@ -107,13 +107,12 @@ def line_features(raw: str) -> tuple[tuple[int, ...], str]:
     words = low.count(" ") + 1
     hits: dict[int, int] = {}
     times: dict[int, int] = {}
-    if n <= 260:
-        for _, (size, kinds) in _FIND.iter(low):
-            for k in kinds:
-                hits[k] = hits.get(k, 0) + size
-                times[k] = times.get(k, 0) + 1
-    menu_parts = [p for p in _SPLIT_MENU.split(low) if p] if n < 200 else []
-    menu = sum(p in _MENU for p in menu_parts)
+    for _, (size, kinds) in _FIND.iter(low):
+        for k in kinds:
+            hits[k] = hits.get(k, 0) + size
+            times[k] = times.get(k, 0) + 1
+    menu_parts = [p for p in _SPLIT_MENU.split(low) if p]
+    menu = sum(p in _MENU for p in menu_parts) if _MENU_KIND in hits else 0
     for k, size in hits.items():
         kind = KINDS[k]
         if kind == "menu" or kind == "byline" and words > 10:
@@ -141,7 +140,7 @@ def line_features(raw: str) -> tuple[tuple[int, ...], str]:
         out.append(F_["title_like"])
     if m and m.lastindex == 6:
         pass
-    elif len(_SEPARATED.findall(plain)) >= 2 or (len(menu_parts) > 2 and n < 120):
+    elif len(_SEPARATED.findall(plain)) >= 2 or (len(menu_parts) > 2 and n < 40 * len(menu_parts)):
         out.append(F_["separators"])
     if words <= 40 and _COMMENT.match(plain):
         out.append(F_["comment_like"])
@@ -452,17 +451,28 @@ def add_html_page(t: Trees, page: int, text: str) -> None:
 
 def add_page(t: Trees, page: int, text: str) -> None:
     """Adds a page in the form its text shows: JSON, HTML, or text."""
-    head = text.lstrip()[:200].lower()
-    if not head:
+    if text[:1] == "\ufeff":  # a byte order mark is no text, but keeps its line
+        text = text[1:]
+    if not text or text.isspace():
         return
-    if head[:1] in "{[" and _looks_like_json(text):
+    if text.lstrip()[0] in "{[" and _looks_like_json(text):
         t.data.add(page)
-    elif head.startswith(("<!doctype", "<html", "<head", "<body", "<!--", "<div", "<p>", "<table", "<main")):
+    elif "<" in text and _looks_like_html(text):
         add_html_page(t, page, text)
     else:
         add_text_page(t, page, text)
 
 
+_TAGS = "html|head|body|div|p|section|article|main|nav|footer|header|aside|ul|ol|li|dl|table|tr|td|th|h[1-6]|span|a|form|title|meta|link|style|script|noscript|blockquote|pre|img|br|hr|iframe"
+_BEGINS_WITH_TAG = re.compile(rf"\s*<(?:!doctype\b|!--|\?xml\b|(?:{_TAGS})(?=[\s/>]))", re.I)
+_PAIRED = re.compile(rf"</(?:{_TAGS.replace('|meta|link', '').replace('|img|br|hr', '')})\s*>", re.I)
+
+
+def _looks_like_html(text: str) -> bool:
+    """The text begins with a tag, or holds as many closing tags, wherever, as half its lines."""
+    return _BEGINS_WITH_TAG.match(text) is not None or len(_PAIRED.findall(text)) >= max(2, 0.5 * (text.count("\n") + 1))
+
+
 def _looks_like_json(text: str) -> bool:
     s = text.strip()
     return (s[0] == "{" and s[-1] == "}" and re.match(r"\{\s*(?:\"|\})", s) is not None) or (s[0] == "[" and s[-1] == "]" and re.match(r"\[\s*[\"\[{\d\-tfn\]]", s) is not None and "](" not in s)

@@ -1,112 +1,191 @@
 """Template residue and error-page text (problem 1): positive-unlabelled naive Bayes by expectation-maximisation.
 
-Passages are the leaves that the page model places in a page's main region. Trusted positives are records with a short main region that
-shows unfilled placeholders, filler, or a plain error or script notice; everything else is unlabelled. Naive Bayes starts with the
-unlabelled as negatives, then expectation and maximisation move the unlabelled passages to where they belong. Every record is then
-scored: the clipped log-odds of its passages, weighted by their length, are added up, so that a real body outweighs a quoted notice.
-
-The classifier is fitted on all passages of all records, by counts of tokens that are added up over the table; all records are scored.
+Passages are the leaves that the page model places in a page's main region. Trusted positives are records whose main region shows unfilled
+placeholders or filler throughout, is a short one of plain notices, or is data under error keys; everything else is unlabelled. Naive Bayes starts
+with the unlabelled as negatives, then expectation and maximisation move the unlabelled passages to where they belong. Every record is then
+scored: the clipped log-odds of its passages, weighted by their length, are added up, so that a real body outweighs a quoted notice. Nothing
+but this score decides; that a page is short, that it is data or holds nothing but signs are tokens like any other.
+
+All passages of all records are fitted on and scored. Pages are read once (``read_chunks``); the passages go on as numbers of tokens. The model has a
+fixed size (``BUCKETS`` weights): words beyond the signs of shape share buckets by hash.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import pickle
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from weftline.llm import notices
 from weftline.llm.pages import EDGE
 from weftline.llm.pages import FEATURE as F_
 from weftline.llm.pages import Trees
 from weftline.session import cut_lineage
 
+BUCKETS = 1 << 18
 EM_STEPS = 8
+#: EM ends when the expected number of residue passages changes by less than this share.
+SETTLED = 0.002
 CLIP = 4.0
-#: Words of the main region up to which a record can be trusted to be nothing but residue.
-SHORT_WORDS = 90
-#: A notice is no longer than this.
-NOTICE_CHARS = 160
+#: A record is trusted to be a notice if its main region has at most so many words, and passages.
+TRUSTED_WORDS, TRUSTED_PASSAGES = 90, 6
+#: Tokens of a chunk of passages.
+CHUNK_TOKENS = 500_000
 
 _SLOT = re.compile(
     r"\{\{[^{}]{1,60}\}\}|\$\{[^{}]{1,60}\}|#\{[^{}]{1,60}\}|<%=?[^<>]{1,60}%>|__[A-Z][A-Z0-9_]*?__|@@[A-Za-z_]{2,40}@@|\*\|[A-Z0-9_:]{2,40}\|\*|%%[A-Za-z_]{2,40}%%|%[A-Z][A-Z_]{2,40}%|\[\[[^\[\]]{1,60}\]\]"
-    r"|\[(?:your|insert|enter|add|my) [^\[\]]{1,50}\]|\[[A-Z][A-Z _]{2,40}\]|(?<![\w{$#])\{[A-Za-z][A-Za-z0-9_.]{1,40}\}(?!\})|\$[A-Za-z_]{3,40}\$|«[A-Z_ ]{3,40}»|<<[A-Za-z_ ]{2,40}>>|:[a-z]+_[a-z_]+:"
+    r"|\[(?:your|insert|enter|add|my) [^\[\]]{1,50}\]|\[[A-Z][A-Z _]{2,40}\]|(?<![\w{$#])\{[A-Za-z][A-Za-z0-9_.|]{1,40}\}(?!\})|\$[A-Za-z_]{3,40}\$|«[A-Z_ ]{3,40}»|<<[A-Za-z_ ]{2,40}>>|:[a-z]+_[a-z_]+:"
 )
 #: One of these is in every placeholder.
 _SLOT_SIGNS = ("{", "[", "%", "__", "@@", "*|", "$", "«", "<<", ":")
 _FILLER = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim mollis varius purus justo vero porta fusce proin augue risus massa cursus quam vestibulum pellentesque habitant morbi tristique malesuada egestas curabitur donec vivamus aliquam nunc felis orci tellus".split())
-_SEED = re.compile(
-    "|".join(
-        (
-            # status lines and pages that are not there
-            r"^(?:http )?(?:error |fehler |erreur )?[45]\d\d\b(?! (?:days|notes|explained|tage|notas|jours))", r"^(?:access denied|forbidden|page not found|not found|bad gateway|service unavailable|internal server error|gateway time-?out|too many requests|unauthorized|under maintenance)\b.{0,60}$",
-            r"^(?:oops|sorry)\b.{0,60}$", r"the (?:page|address|article|entry)\b.{0,40}(?:isn't here|does not exist|has gone|could not be found|has moved)", r"can't find that page", r"^nothing here$", r"n'existe plus|no existe|existiert nicht|beispieltext|texte d'exemple|texto de ejemplo", r"seite nicht gefunden|página no encontrada|page introuvable|zugriff verweigert|acceso denegado|accès refusé",
-            # failures
-            r"^something went wrong", r"could not (?:load|connect)", r"unexpected error", r"(?:try again|come back) (?:later|in \d)", r"session has expired", r"carrying out maintenance", r"^traceback \(most recent", r"^warning: ", r"später erneut|más tarde|réessayer|plus tard",
-            # scripts
-            r"^(?:please )?(?:enable|turn on|allow|activate) javascript\b.{0,40}$", r"(?:needs|requires) javascript", r"scripting is required", r"browser with scripting", r"^loading\.{2,3}$", r"aktivieren sie javascript|activez javascript|active javascript|eingeschalteten skripten|besoin de scripts|no ejecuta scripts",
-            # challenges
-            r"(?:checking|check|verifying) your (?:browser|connection)", r"(?:are you|not) (?:a )?(?:human|robot)\b", r"that you are a (?:person|human)", r"^security check", r"unusual traffic", r"automated (?:visits|traffic|access)", r"prüfen ihren browser|vérification de votre navigateur|comprobando su navegador|comprobamos su navegador",
-            # filler
-            r"^lorem ipsum dolor", r"^untitled\b.{0,20}$", r"(?:title|text|content|copy) goes here", r"replace (?:it|this) with your", r"dummy (?:copy|text)", r"(?:copy|text) to follow", r"^tbd\b", r"^(?:insert|enter|describe) (?:your|a|an)\b.{0,50}$", r"double-click to edit", r"^(?:sub)?heading text", r"^test(?:ing)?(?: test| page|\b.{0,12}$)",
-        )
-    ),
-    re.I,
-)
-_MASH = re.compile(r"[asdfghjklöä]{3,}|[qwertyuiop]{5,}|[^\W\daeiouyáéíóúäöüàèùâêîôû_]{4,}", re.I)
+#: Words of one row of keys, or without a vowel.
+_MASH = re.compile(r"[asdfghjklöä]{3,}|[qwertyuiop]{5,}|[^\W\daeiouyáéíóúäöüàèùâêîôû_]{4,}")
 _DOTS = re.compile(r"(?:^|>|\n)[ \t]*(?:([.\-*_=~#])\1{3,}[ \t]+)+([.\-*_=~#])\2{3,}[ \t]*(?:$|<|\n)")
 _ERROR_KEYS = frozenset("error errors code message status detail details fault exception trace reason title type path timestamp request_id requestid ok success".split())
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d+")
-_RUN = re.compile(r"(.)\1{4,}")
+_LETTER_RUN = re.compile(r"(.)\1{4,}")
+_SIGN_RUNS = tuple(c * 5 for c in ".-_=*~#?!")
+
+KINDS = list(notices.PHRASES)
+SIZES = 12
+#: The signs of shape; they have numbers of their own.
+SIGNS = (
+    ["<slot>", "<slots>", "<slot+>", "<repeats>", "<filler>", "<mash>", "<nothing>", "<run>", "<dots>", "<json>", "<plain keys>", "<error keys>", "<own keys>"]
+    + [f"<words {i}>" for i in range(SIZES)] + [f"<page {i}>" for i in range(SIZES)]
+    + [f"<notice {i}>" for i in range(1, 4)] + [f"<{k}>" for k in KINDS] + [f"<key {k}>" for k in sorted(_ERROR_KEYS)]
+)
+NUMBER = {s: i for i, s in enumerate(SIGNS)}
+_FIRST_WORD = 256
 
 
-def tokens(passage: str, few: bool) -> set[str]:
-    """The passage as a set of tokens: words, numbers as one, and signs of its shape. few: the page's main region is short."""
-    filled, slots = _SLOT.subn(" ", passage) if any(c in passage for c in _SLOT_SIGNS) else (passage, 0)
-    words = _WORDS.findall(filled.lower())
-    out = set(words)
-    if any(w[0] <= "9" for w in out):
-        out = {"#" if w.isdigit() and not (len(w) == 3 and w[0] in "45") else w for w in out}
-    if slots:
-        out |= {"<slot>", "<slots>" if slots > 1 or len(words) <= 2 else "<slot+>"}
-    if len(words) >= 4 and len(set(words)) <= 0.34 * len(words):
-        out.add("<repeats>")
-    if len(words) >= 4 and len(_FILLER.intersection(words)) >= 0.5 * len(set(words)):
-        out.add("<filler>")
-    if few and len(words) >= 2 and sum(_MASH.fullmatch(w) is not None for w in words) >= 0.7 * len(words):
-        out.add("<mash>")
-    if not words and not slots:
-        out.add("<nothing>")
-    if few and _RUN.search(passage):
-        out.add("<run>")
-    n = len(words)
-    out.add("<1>" if n <= 1 else "<4>" if n <= 4 else "<12>" if n <= 12 else "<30>" if n <= 30 else "<many>")
-    if few:
-        out.add("<few>")
-        if len(passage) <= NOTICE_CHARS and _SEED.search(passage):
-            out.add("<seed>")
-    return out
+def number(token: str) -> int:
+    """The bucket of a token."""
+    n = NUMBER.get(token)
+    return n if n is not None else _FIRST_WORD + zlib.crc32(token.encode()) % (BUCKETS - _FIRST_WORD)
+
+
+def _automaton() -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for k, kind in enumerate(KINDS):
+        for p in notices.phrases(kind):
+            a.add_word(p, (len(p), k))
+    a.make_automaton()
+    return a
+
+
+_FIND = _automaton()
+
+
+def notice_signs(low: str) -> tuple[int, set[str]]:
+    """How much of a passage (in lower case) phrases of notices cover, from 0 (none) to 3 (a third or more), and their kinds."""
+    covered, kinds, last = 0, set(), -1
+    n = len(low)
+    for end, (size, k) in _FIND.iter(low):
+        begin = end - size + 1
+        if (begin and low[begin - 1].isalnum()) or (end + 1 < n and low[end + 1].isalpha() and low[end].isalnum()):
+            continue
+        covered += end - max(last, begin - 1)
+        last = max(last, end)
+        kinds.add(f"<{KINDS[k]}>")
+    return (0 if not kinds else 3 if covered >= 0.33 * n else 2 if covered >= 0.12 * n else 1), kinds
 
 
-def json_words(text: str) -> tuple[list[str], bool] | None:
-    """Tokens of a JSON body, and whether its keys are those of an error."""
+# of a word: its bucket, whether it is filler, and whether it was mashed from keys
+_word_memo: dict[str, tuple[int, bool, bool]] = {}
+
+
+def _word(w: str) -> tuple[int, bool, bool]:
+    known = _word_memo.get(w)
+    if known is None:
+        as_number = w[0] <= "9" and not (len(w) == 3 and w[0] in "45")
+        known = number("#" if as_number else w), w in _FILLER, _MASH.fullmatch(w) is not None
+        if len(_word_memo) > 200_000:
+            _word_memo.clear()
+        _word_memo[w] = known
+    return known
+
+
+def grade(n: int) -> int:
+    """The size class of a number of words."""
+    return min(SIZES - 1, n.bit_length())
+
+
+_SLOTS = {True: (NUMBER["<slot>"], NUMBER["<slots>"]), False: (NUMBER["<slot>"], NUMBER["<slot+>"])}
+
+
+def token_numbers(passage: str) -> tuple[list[int], int]:
+    """The buckets of a passage's tokens (its words, and signs of its shape), and its number of words."""
+    filled, slots = _SLOT.subn(" ", passage) if any(c in passage for c in _SLOT_SIGNS) else (passage, 0)
+    low = filled.lower()
+    words = _WORDS.findall(low)
+    n = len(words)
+    told = [_word(w) for w in words]
+    out = {x[0] for x in told}
+    distinct = len(out)
+    if slots:
+        out.update(_SLOTS[slots > 1 or n <= 2])
+    if n >= 4:
+        if distinct <= 0.34 * n:
+            out.add(NUMBER["<repeats>"])
+        if len({x[0] for x in told if x[1]}) >= 0.5 * distinct:
+            out.add(NUMBER["<filler>"])
+    if n >= 2 and sum([x[2] for x in told]) >= 0.7 * n:
+        out.add(NUMBER["<mash>"])
+    if not n and not slots:
+        out.add(NUMBER["<nothing>"])
+    if any(x in passage for x in _SIGN_RUNS) or any(len(w) > 4 and _LETTER_RUN.search(w) for w in words):
+        out.add(NUMBER["<run>"])
+    out.add(NUMBER[f"<words {grade(n)}>"])
+    cover, kinds = notice_signs(low)
+    if cover:
+        out.add(NUMBER[f"<notice {cover}>"])
+        out.update([NUMBER[k] for k in kinds])
+    return list(out), n
+
+
+_passage_memo: dict[str, tuple[list[int], int]] = {}
+
+
+def _tokens(passage: str) -> tuple[list[int], int]:
+    if len(passage) > 200:  # long ones seldom recur
+        return token_numbers(passage)
+    known = _passage_memo.get(passage)
+    if known is None:
+        known = token_numbers(passage)
+        if len(_passage_memo) > 50_000:
+            _passage_memo.clear()
+        _passage_memo[passage] = known
+    return known
+
+
+def json_tokens(text: str) -> tuple[list[int], bool] | None:
+    """Tokens of a JSON body, and whether all its keys are those of errors and say so; None if it is no JSON."""
+    pairs: list[tuple[str, object]] = []
     try:
-        pairs: list[tuple[str, object]] = []
         json.loads(text, object_pairs_hook=lambda p: pairs.extend(p) or dict(p))
     except (ValueError, RecursionError):
         return None
     keys = [k.lower() for k, _ in pairs]
-    out = {"k:" + k for k in keys if k in _ERROR_KEYS} | ({"<plain keys>"} if any(k not in _ERROR_KEYS for k in keys) else set())
-    for _, v in pairs:
-        if isinstance(v, str):
-            out |= {"#" if w.isdigit() else w for w in _WORDS.findall(v.lower())}
-    return sorted(out | {"<json>"}), bool(keys) and all(k in _ERROR_KEYS for k in keys) and any(k in ("error", "errors", "fault", "exception") or "fail" in str(v).lower() for k, v in pairs)
+    errors = [k for k in keys if k in _ERROR_KEYS]
+    out = {"<json>", *(f"<key {k}>" for k in errors)}
+    if len(errors) < len(keys):
+        out.add("<plain keys>" if errors else "<own keys>")
+    told = bool(keys) and len(errors) == len(keys) and any(k in ("error", "errors", "fault", "exception") or "fail" in str(v).lower() for k, v in pairs)
+    if told:
+        out.add("<error keys>")
+    told_of = [k for k in keys if k not in _ERROR_KEYS] + [v.lower() for _, v in pairs if isinstance(v, str)]
+    words = {_word(w)[0] for x in told_of for w in _WORDS.findall(x)}
+    return sorted({NUMBER[x] for x in out} | words), told
 
 
 _PLAIN_FURNITURE = frozenset(F_["is_" + k] for k in ("legal", "consent", "share", "byline", "letter", "comments", "related", "path", "notice", "menu"))
@@ -124,151 +203,207 @@ def passages(t: Trees, p: np.ndarray, n: int) -> list[list[tuple[str, bool]]]:
     if all(main):
         return main
     doubtful: list[list[tuple[str, bool]]] = [[] for _ in range(n)]
-    notices: list[list[tuple[str, bool]]] = [[] for _ in range(n)]
+    scripted: list[list[tuple[str, bool]]] = [[] for _ in range(n)]
     scripts, link = F_["has_scripts"], F_["all_link"]
     for node, text in t.text.items():
         if main[page[node]]:
             continue
         f = t.features[node]
         if scripts in f:
-            notices[page[node]].append((text, False))
-        elif _SLOT.search(text) or _SEED.search(text) or t.edge[node] != _GOVERNED and link not in f and not _PLAIN_FURNITURE.intersection(f):
+            scripted[page[node]].append((text, False))
+        elif _SLOT.search(text) or notice_signs(text.lower())[0] >= 2 or t.edge[node] != _GOVERNED and link not in f and not _PLAIN_FURNITURE.intersection(f):
             doubtful[page[node]].append((text, False))
-    return [a or b or c for a, b, c in zip(main, doubtful, notices)]
+    return [a or b or c for a, b, c in zip(main, doubtful, scripted)]
 
 
-def trusted(found: list[tuple[str, bool]], status: int | None) -> bool:
-    """Whether a record is residue for certain: filler or placeholders throughout, or a short main region of plain notices."""
-    few = sum(len(x.split()) for x, _ in found) <= SHORT_WORDS
-    shapes = [tokens(x, few) for x, _ in found]
-    formless = sum(not _SURE.isdisjoint(t) for t in shapes)
-    if found and formless >= 0.7 * len(found):
-        return True
-    return bool(found) and few and len(found) <= 6 and sum("<seed>" in t or not _SURE.isdisjoint(t) for t in shapes) >= 0.5 * len(found)
+_SURE = frozenset((NUMBER["<filler>"], NUMBER["<repeats>"], NUMBER["<slot>"], NUMBER["<dots>"]))
+_NOTICE = frozenset((NUMBER["<notice 2>"], NUMBER["<notice 3>"]))
 
 
-_SURE = frozenset(("<filler>", "<repeats>", "<slot>"))
+def trusted(found: list[tuple[list[int], int]]) -> bool:
+    """Whether a record is residue for certain: filler or placeholders throughout, or a short main region of plain notices. found: tokens and words of
+    its passages."""
+    formless = [not _SURE.isdisjoint(x) for x, _ in found]
+    if not found:
+        return False
+    if sum(formless) >= 0.7 * len(found):
+        return True
+    plain = sum(a or not _NOTICE.isdisjoint(x) for a, (x, _) in zip(formless, found))
+    return plain >= 0.5 * len(found) and len(found) <= TRUSTED_PASSAGES and sum(n for _, n in found) <= TRUSTED_WORDS
 
 
 @dataclass
 class Residue:
-    prior: float
-    weights: dict[str, float]
+    """The log-odds of residue: before anything is known of a passage, and what each bucket of tokens adds."""
 
-    def passage(self, toks: list[str] | set[str]) -> float:
-        w = self.weights
-        return max(-CLIP, min(CLIP, self.prior + sum([w[x] for x in toks if x in w])))
+    prior: float = -CLIP
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS))
 
+    def to_bytes(self) -> bytes:
+        return np.float64(self.prior).tobytes() + self.weights.astype(np.float64).tobytes()
 
-def _token_counts(passages: DataFrame, model: Residue | None) -> DataFrame:
-    """token, pos, n: of each token, the passages that hold it and their probabilities of residue, added up; token "" stands for all passages. passages:
-    sure, tokens, n. Without a model only what is trusted is residue."""
-    shared = passages.sparkSession.sparkContext.broadcast(model)
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Residue:
+        x = np.frombuffer(data, np.float64)
+        return cls(float(x[0]), x[1:].copy())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for b in batches:
-            split = pc.split_pattern(b.column(1), "\t")
-            coded = split.flatten().dictionary_encode()
-            names, cols = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-            rows = np.repeat(np.arange(len(b)), pc.list_value_length(split).to_numpy())
-            q, n = b.column(0).to_numpy(zero_copy_only=False).astype(float), b.column(2).to_numpy().astype(float)
-            if model is not None:
-                w = np.array([model.weights.get(x, 0.0) for x in names])
-                score = model.prior + np.bincount(rows, w[cols], len(b))
-                q = np.where(q > 0, 1.0, 1 / (1 + np.exp(-np.clip(score, -30, 30))))
-            pos, seen = np.bincount(cols, (q * n)[rows], len(names)), np.bincount(cols, n[rows], len(names))
-            yield pa.RecordBatch.from_arrays([pa.array([*names, ""], pa.string()), pa.array([*pos, (q * n).sum()]), pa.array([*seen, n.sum()])], names=["token", "pos", "n"])
 
-    counted = passages.select("sure", "tokens", "n").mapInArrow(run, "token string, pos double, n double")
-    return counted.groupBy("token").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+@dataclass
+class Chunk:
+    """Passages of some records as flat arrays: of each record its key, of each passage its record, whether that is trusted, its weight in the
+    record's score (0: a heading, told only where there is nothing else) and its tokens; and what else was asked for of each record."""
+
+    keys: list[tuple[str | None, int | None]] = field(default_factory=list)
+    record: list[int] = field(default_factory=list)
+    sure: list[bool] = field(default_factory=list)
+    weight: list[float] = field(default_factory=list)
+    sizes: list[int] = field(default_factory=list)
+    tokens: list[int] = field(default_factory=list)
+    line_of: list[int] = field(default_factory=list)
+    lines: list[int] = field(default_factory=list)
+    texts: list[str] = field(default_factory=list)
+
+    def add(self, found: list[tuple[list[int], int]], headings: list[bool], sure: bool) -> None:
+        alone = all(headings)
+        r = len(self.keys)
+        for (toks, n), heading in zip(found, headings):
+            self.record.append(r)
+            self.sure.append(sure)
+            self.weight.append(1 + math.log2(1 + n) if alone or not heading else 0.0)
+            self.sizes.append(len(toks))
+            self.tokens += toks
+
+    def packed(self) -> bytes:
+        i = lambda x: np.array(x, np.int32)
+        data = (self.keys, i(self.record), np.array(self.sure, bool), np.array(self.weight, np.float32), i(self.sizes), i(self.tokens), i(self.line_of), i(self.lines), self.texts)
+        return zlib.compress(pickle.dumps(data, protocol=5), 1)
+
+
+def read_chunks(pages: DataFrame, lines: bool = False, texts: bool = False) -> DataFrame:
+    """Chunks of all pages (tbl, rec_id, text), read once and written to the shared folder; with the lines of their main bodies, or the bodies' texts.
+    Null, empty and blank texts have no passages and no lines, and empty texts."""
+    from weftline.llm.body import blocks, body_of, lines_of, read_pages
+    from weftline.llm.page_model import trained
 
+    shared = pages.sparkSession.sparkContext.broadcast(trained())
 
-def fit(passages: DataFrame) -> Residue:
-    """Naive Bayes (presence of tokens) of trusted and unlabelled passages, by expectation-maximisation. passages: sure, tokens (joined by tabs), n (how
-    often); only counts a token come to the driver."""
-    model = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda c: pa.RecordBatch.from_arrays([pa.array([c.packed()], pa.binary())], names=["chunk"])
+        chunk = Chunk()
+        for b in batches:
+            keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            own = b.column(2).to_pylist()
+            for begin, end in blocks(own):
+                t, p = read_pages(shared.value, own[begin:end])
+                first = len(chunk.keys)
+                for i, ps in enumerate(passages(t, p, end - begin)):
+                    if i in t.data and (told := json_tokens(own[begin + i])) is not None:
+                        chunk.add([(told[0], len(told[0]))], [False], told[1])
+                    elif ps:
+                        found = [_tokens(x) for x, _ in ps]
+                        size = NUMBER[f"<page {grade(sum(n for _, n in found))}>"]
+                        chunk.add([([*x, size], n) for x, n in found], [h for _, h in ps], trusted(found))
+                    elif own[begin + i] and _DOTS.search(own[begin + i]):  # nothing but furniture and lines of filler signs
+                        chunk.add([([NUMBER["<dots>"], NUMBER["<nothing>"], NUMBER["<page 0>"]], 0)], [False], True)
+                    chunk.keys.append(keys[begin + i])
+                if lines:
+                    of, no = lines_of(t, p)
+                    chunk.line_of += (of + first).tolist()
+                    chunk.lines += no.tolist()
+                if texts:
+                    chunk.texts += body_of(t, p, end - begin)
+                if len(chunk.tokens) >= CHUNK_TOKENS:
+                    yield out(chunk)
+                    chunk = Chunk()
+        if chunk.keys:
+            yield out(chunk)
+
+    return cut_lineage(pages.select("tbl", F.col("rec_id").cast("long").alias("rec_id"), "text").mapInArrow(run, "chunk binary"))
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        for c in b.column(0):
+            yield pickle.loads(zlib.decompress(c.as_py()))
+
+
+def _odds(model: Residue, record: np.ndarray, sizes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """The log-odds of each passage."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    return model.prior + np.bincount(of, model.weights[tokens], len(sizes))
+
+
+def _expected(chunks: DataFrame, model: Residue | None) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Of each bucket, the expected residue passages and all passages that hold it; and both over all passages. Without a model only what is trusted is residue."""
+    shared = chunks.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        pos, seen = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        total = [0.0, 0.0]
+        for _, record, sure, _, sizes, tokens, *_ in unpacked(batches):
+            q = sure.astype(float)
+            if model is not None:
+                q = np.where(sure, 1.0, 1 / (1 + np.exp(-np.clip(_odds(model, record, sizes, tokens), -30, 30))))
+            pos += np.bincount(tokens, np.repeat(q, sizes), BUCKETS)
+            seen += np.bincount(tokens, minlength=BUCKETS)
+            total[0] += q.sum()
+            total[1] += len(q)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(pos[at], total[0])), pa.array(np.append(seen[at], total[1]))], names=["bucket", "pos", "n"])
+
+    width = chunks.sparkSession.sparkContext.defaultParallelism
+    counted = chunks.coalesce(4 * width).mapInArrow(run, "bucket int, pos double, n double").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    rows = counted.toArrow()  # at most BUCKETS + 1 rows
+    bucket, p, n = (rows.column(i).to_numpy() for i in range(3))
+    pos, seen = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
+    pos[bucket], seen[bucket] = p, n
+    return pos[:-1], seen[:-1], float(pos[-1]), float(seen[-1])
+
+
+def learn(chunks: DataFrame) -> Residue:
+    """Naive Bayes (presence of tokens) of trusted and unlabelled passages, by expectation-maximisation over all chunks. Where no record is trusted, or all
+    are, nothing can be learnt and no record is residue."""
+    model, before = None, 0.0
     for _ in range(EM_STEPS):
-        counts = {r.token: (r.pos, r.n) for r in _token_counts(passages, model).where("n >= 2 OR token = ''").collect()}
-        a, total = counts.pop("", (0.0, 0.0))
+        pos, n, a, total = _expected(chunks, model)
         b = total - a
         if a <= 0 or b <= 0:
-            return Residue(-math.log(99.0), {"<slot>": 5.0, "<slots>": 3.0, "<filler>": 5.0, "<repeats>": 4.0})
-        weights = {x: math.log((pos + 0.3) / (a + 0.6)) - math.log((n - pos + 0.3) / (b + 0.6)) for x, (pos, n) in counts.items()}
-        model = Residue(math.log(a / b), weights)
+            return Residue()
+        weights = np.log((pos + 0.3) / (a + 0.6)) - np.log((n - pos + 0.3) / (b + 0.6))
+        model = Residue(math.log(a / b), np.where(n >= 2, weights, 0.0))
+        if abs(a - before) <= SETTLED * a:
+            break
+        before = a
     return model
 
 
-def record_scores(model: Residue, t: Trees, p: np.ndarray, texts: list[str | None], statuses: list[int | None]) -> np.ndarray:
-    """Above 0: the record holds residue in place of content."""
-    out = np.full(len(texts), -1.0)
-    found = passages(t, p, len(texts))
-    for i, text in enumerate(texts):
-        if i in t.data:
-            words = json_words(text or "")
-            if words is not None:
-                score = CLIP if words[1] else model.passage(words[0])
-                own_keys = "<plain keys>" in words[0] and not any(x.startswith("k:") for x in words[0])
-                out[i] = min(score, -1.0) if own_keys else score  # data under keys of its own is content
-            continue
-        ps = found[i]
-        if not ps:
-            if _DOTS.search(text or ""):  # nothing but furniture and a line of filler signs
-                out[i] = CLIP
-            continue
-        few = sum(len(x.split()) for x, _ in ps) <= SHORT_WORDS
-        told = [x for x in ps if not x[1]] or ps
-        out[i] = sum(model.passage(tokens(x, few)) * (1 + math.log2(1 + len(x.split()))) for x, _ in told)
-    return out
+def chunk_scores(model: Residue, data: tuple) -> tuple[list, np.ndarray]:
+    """The keys of a chunk's records, and their scores; nan: a record without passages."""
+    keys, record, _, weight, sizes, tokens = data[:6]
+    score = np.bincount(record, np.clip(_odds(model, record, sizes, tokens), -CLIP, CLIP) * weight, len(keys)) if len(sizes) else np.zeros(len(keys))
+    held = np.bincount(record, minlength=len(keys)) > 0 if len(record) else np.zeros(len(keys), bool)
+    return keys, np.where(held, score, np.nan)
 
 
-def learn(pages: DataFrame) -> Residue:
-    """The classifier for a table of pages (tbl, rec_id, text, status), from all passages of all records. Equal passages are kept once with their number."""
-    from weftline.llm.body import blocks, read_pages
-    from weftline.llm.page_model import trained
-
-    shared = pages.sparkSession.sparkContext.broadcast(trained())
+def residue_scores(pages: DataFrame, model: Residue | None = None) -> DataFrame:
+    """tbl, rec_id, score of every row (tbl, rec_id, text) with a text that isn't blank; above 0: residue in place of content. Equal rows have equal
+    scores. Rows with null, empty or blank text have no row. Other columns are not read."""
+    chunks = read_chunks(pages.where(F.col("text").rlike(r"\S")))
+    shared = pages.sparkSession.sparkContext.broadcast(model or learn(chunks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, statuses = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for begin, end in blocks(texts):
-                t, p = read_pages(shared.value, texts[begin:end])
-                found = passages(t, p, end - begin)
-                count: Counter[tuple[bool, str]] = Counter()
-                for i, ps in enumerate(found):
-                    if i in t.data:
-                        words = json_words(texts[begin + i])
-                        if words is not None:
-                            count[words[1], "\t".join(words[0])] += 1
-                    elif ps:
-                        few = sum(len(x.split()) for x, _ in ps) <= SHORT_WORDS
-                        sure = trusted(ps, statuses[begin + i])
-                        count.update((sure, "\t".join(sorted(tokens(x, few)))) for x, _ in ps)
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in count], pa.bool_()), pa.array([x for _, x in count], pa.string()), pa.array(list(count.values()), pa.int64())], names=["sure", "tokens", "n"])
+        for data in unpacked(batches):
+            keys, score = chunk_scores(shared.value, data)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([k for _, k in keys], pa.int64()), pa.array(np.nan_to_num(score, nan=-1.0))], names=["tbl", "rec_id", "score"])
 
-    rows = pages.where("text IS NOT NULL").select("text", F.col("status").cast("int"))
-    read = rows.mapInArrow(run, "sure boolean, tokens string, n long").groupBy("sure", "tokens").agg(F.sum("n").alias("n"))
-    return fit(cut_lineage(read))
+    return chunks.mapInArrow(run, "tbl string, rec_id long, score double")
 
 
-def residue_scores(pages: DataFrame, model: Residue | None = None) -> DataFrame:
-    """tbl, rec_id, score of every row with a text that isn't blank; above 0: residue in place of content. Equal rows have equal scores.
-    Rows with null, empty or blank text have no row. Other columns are not read."""
-    from weftline.llm.body import blocks, read_pages
-    from weftline.llm.page_model import trained
+def save(model: Residue, spark: SparkSession, folder: str) -> None:
+    """Writes a learnt model, for later runs over other pages."""
+    spark.createDataFrame([(bytearray(model.to_bytes()),)], "model binary").write.mode("overwrite").parquet(folder)
 
-    shared = pages.sparkSession.sparkContext.broadcast((trained(), model or learn(pages)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree_model, judge = shared.value
-        for b in batches:
-            texts, statuses = b.column(2).to_pylist(), b.column(3).to_pylist()
-            scores = [np.zeros(0)]
-            for begin, end in blocks(texts):
-                t, p = read_pages(tree_model, texts[begin:end])
-                scores.append(record_scores(judge, t, p, texts[begin:end], statuses[begin:end]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(scores))], names=["tbl", "rec_id", "score"])
-
-    rows = pages.where(F.col("text").rlike(r"\S")).select("tbl", F.col("rec_id").cast("long").alias("rec_id"), "text", F.col("status").cast("int").alias("status"))
-    return rows.mapInArrow(run, "tbl string, rec_id long, score double")
+def load(spark: SparkSession, folder: str) -> Residue:
+    return Residue.from_bytes(bytes(spark.read.parquet(folder).first().model))

@@ -9,9 +9,9 @@ from weftline.session import table
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    """tbl, rec_id, text, status of crawl_results and responses."""
-    crawl = table(spark, folder, "crawl_results").select(F.lit("crawl_results").alias("tbl"), F.col("result_id").alias("rec_id"), F.col("content").alias("text"), F.lit(None).cast("int").alias("status"))
-    responses = table(spark, folder, "responses").select(F.lit("responses").alias("tbl"), F.col("response_id").alias("rec_id"), "text", F.col("status_code").alias("status"))
+    """tbl, rec_id, text of crawl_results and responses."""
+    crawl = table(spark, folder, "crawl_results").select(F.lit("crawl_results").alias("tbl"), F.col("result_id").alias("rec_id"), F.col("content").alias("text"))
+    responses = table(spark, folder, "responses").select(F.lit("responses").alias("tbl"), F.col("response_id").alias("rec_id"), "text")
     return crawl.unionByName(responses)
 
 
