@@ -272,22 +272,38 @@ def test_subject_terms_are_learnt_from_all_documents(spark):
     plain, rare = "The weather was mild on that day.", "The tribunal saw quillivant there."
     d = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 5000 == 7, rare).otherwise(plain).alias("text"))
     labels = spark.createDataFrame([], "doc_id long, subject string")
-    lexicon = subjects.learn(d, "doc_id", "text", labels, ["food", "law"])[0]
-    assert any("quillivant" in t and s == 1 for t, (s, _) in lexicon.weights.items())  # six sentences in all
+    m = subjects.learn(d, "doc_id", "text", labels, ["food", "law"])[0]
+    assert any("quillivant" in t and s == 1 for t, (s, _) in m.lexicon.weights.items())  # six sentences in all
+    assert set(m.score) == {subjects.SCORE} and set(m.share) == {subjects.SHARE} and m.dropped == 0  # nothing to calibrate on
 
 
 def test_term_counts_equal_brute_force():
     rng = random.Random(5)
     lines = [[rng.choice(("a", "bc", "def", "ghij", "été", "o'er")) for _ in range(rng.randint(2, 7))] for _ in range(300)]
     of = [rng.randint(-1, 2) for _ in lines]
-    want = Counter((t, s) for x, s in zip(lines, of) for t in {w for w in x if len(w) > 2} | {f"{a} {b}" for a, b in zip(x, x[1:])})
-    got = subjects._term_counts([subjects._joined(x) for x in lines], of, 3)
-    assert {(r["term"], r["subject"]): r["n"] for r in got.to_pylist()} == want
+    singles = Counter((w, s) for x, s in zip(lines, of) for w in x if len(w) > 2)
+    pairs = Counter((f"{a} {b}", s) for x, s in zip(lines, of) for a, b in zip(x, x[1:]))
+    c = subjects.coded([0], [None], [False], [len(lines)], [subjects._joined(x) for x in lines])
+    for phrases, want in ((False, singles), (True, singles + pairs)):
+        got = subjects.term_counts(c, np.array(of), 3, phrases)
+        assert {(r["term"], r["subject"]): r["n"] for r in got.to_pylist()} == want
+
+
+def test_matches_and_subjects_of_sentences():
+    docs = ["The judge saw the oven. The tribunal met again. Nobody came late.", "The oven burns. Bread rises here.", "Plain words only."]
+    lines = [subjects.sentence_lines(x) for x in docs]
+    c = subjects.coded([0, 1, 2], [["law"], None, ["food"]], [False, False, True], [len(x) for x in lines], [y for x in lines for y in x])
+    lex = subjects.Lexicon(["food", "law"], {"oven": (0, 1.0), "judge": (1, 1.0), "tribunal": (1, 1.0), "tribunal met": (1, 1.0)})
+    sentence, term = subjects.matches(lex.automaton(), c)
+    assert list(zip(sentence.tolist(), term.tolist())) == [(0, 1), (0, 0), (1, 3), (3, 0)]  # the longest term first
+    owner, weight = lex.arrays()
+    got = subjects.sentence_subjects(c, sentence, owner[term], weight[term], {"food": 0, "law": 1})
+    assert got.tolist() == [-1, 1, 1, 0, -1, -1]  # two subjects; law; the label's; food; one sentence is too few; a held-out label
 
 
 def test_mending():
     assert subjects.mend("mÃ¼de zero​width") == "müde zerowidth" and subjects.mend("plain") == "plain"
-    assert [len(s) for s in subjects.sentences('Asked by E. Smith today. "No." He left.\n| a b | c d |')] == [5, 2, 2, 2]
+    assert [len(s.split()) for s in subjects.sentence_lines('Asked by E. Smith today. "No." He left.\n| a b | c d |')] == [5, 2, 2, 2]
 
 
 @needs_vocabulary

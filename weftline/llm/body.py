@@ -8,14 +8,16 @@ Arrow pass without a shuffle, and only the model (a few hundred numbers) is shar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from weftline.llm.packed import unpacked
 from weftline.llm.page_model import Flat, Model, marginals
 from weftline.llm.pages import Trees, add_page
-from weftline.llm.residue import Residue, chunk_scores, learn, read_chunks, unpacked
+from weftline.llm.residue import Residue, chunk_scores, learn, read_chunks
 
 #: Pages whose trees are worked on at once, and characters of text.
 BLOCK_PAGES, BLOCK_CHARS = 400, 2_000_000
@@ -47,8 +49,9 @@ def lines_of(t: Trees, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pages and numbers of the lines that show a leaf of a main body, in order, each once."""
     if not t.lines:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    page, no, node = np.array(t.lines, np.int64).T
-    found = np.unique((page[p[node] > 0.5] << 32) + no[p[node] > 0.5])
+    page, no, node = np.fromiter(chain.from_iterable(t.lines), np.int64, 3 * len(t.lines)).reshape(-1, 3).T
+    body = p[node] > 0.5
+    found = np.unique((page[body] << 32) + no[body])
     return found >> 32, found & 0xFFFFFFFF
 
 

@@ -48,17 +48,23 @@ _MENU, _MENU_KIND = frozenset(fu.phrases("menu")), KINDS.index("menu")
 _COMMENT = re.compile(r"(?:[^\W\d_]\.\s?){0,2}[^\W\d_][\w'’-]{1,20}(?: [^\W\d_][\w'’-]{1,20})? ?: \S")
 _LINK = re.compile(r"!?\[([^\]]*)\]\([^)\s]*\)")
 _MARK = re.compile(r"\s*(?:(#{1,6})\s|([*•+])\s+|(-)\s+|(\d{1,3}[.)])\s+|(>)|(\|))")
+_MARKS = frozenset("#*•+->|0123456789 \t")
 _SEPARATED = re.compile(r"\s[|·/>›»•]\s")
 _SPLIT_MENU = re.compile(r"\s*[|·/>›»•]\s*")
-_END = re.compile(r"[.!?…][\"'”’»)\]]*$")
+_SEPARATORS = "|·/>›»•"
+_ENDS, _CLOSERS = frozenset(".!?…"), "\"'”’»)]"
 _STOPS = re.compile(r"[.!?…][\"'”’»)]*\s")
 _DATE = re.compile(r"\b\d{1,2}\.? [^\W\d_]{3,10}$|\b(?:19|20)\d\d\b.{0,40}$")
 _WORD = re.compile(r"[^\W_]")
 _LETTER = re.compile(r"[^\W\d_]")
 
 F_ = FEATURE
+_BIAS, _CONTAINER, _CODE, _HEADING, _TOP_HEADING, _QUOTE, _ALL_LINK, _SOME_LINK, _KNOWN_TITLE, _TAG_OTHER = (F_[x] for x in "bias container code heading top_heading quote all_link some_link known_title tag_other".split())
+_LEAF, _GOVERNED, _GROUP, _LINE = (EDGE[x] for x in ("leaf", "governed", "group", "line"))
 _MARK_FEATURES = (F_["heading"], F_["star"], F_["dash"], F_["numbered"], F_["quote"], F_["row"])
-_memo: dict[str, tuple[tuple[int, ...], str]] = {}
+_memo: dict[str, tuple[tuple[int, ...], str, int]] = {}
+#: What a line is to the lines around it (bits of the third value of ``line_features``).
+_AT_PATH, _AT_RELATED, _AT_COMMENTS, _IN_RELATED, _IN_COMMENTS, _AT_HEADING, _OF_FURNITURE = (1 << i for i in range(7))
 
 
 @dataclass
@@ -86,32 +92,32 @@ class Trees:
         return len(self.page) - 1
 
 
-def line_features(raw: str) -> tuple[tuple[int, ...], str]:
-    """Features of a line by its words alone, and its plain text without marks and links."""
+def line_features(raw: str) -> tuple[tuple[int, ...], str, int]:
+    """Features of a line by its words alone, its plain text without marks and links, and what it is to the lines around it."""
     known = _memo.get(raw)
     if known is not None:
         return known
     out = [F_["bias"]]
     text = raw
-    m = _MARK.match(text)
+    m = _MARK.match(text) if text[:1] in _MARKS else None
     if m:
         out.append(_MARK_FEATURES[m.lastindex - 1])
         text = text[m.end() :]
-    plain = _LINK.sub(r"\1", text) if "](" in text else text
-    plain = " ".join(plain.split())
     if "](" in text:
-        outside = " ".join(_LINK.sub(" ", text).split())
-        out.append(F_["all_link"] if not _WORD.search(outside) else F_["some_link"])
+        out.append(F_["some_link"] if _WORD.search(_LINK.sub(" ", text)) else F_["all_link"])
+        text = _LINK.sub(r"\1", text)
+    plain = " ".join(text.split())
     low = plain.lower()
     n = len(low)
     words = low.count(" ") + 1
+    separated = any([c in low for c in _SEPARATORS])
     hits: dict[int, int] = {}
     times: dict[int, int] = {}
     for _, (size, kinds) in _FIND.iter(low):
         for k in kinds:
             hits[k] = hits.get(k, 0) + size
             times[k] = times.get(k, 0) + 1
-    menu_parts = [p for p in _SPLIT_MENU.split(low) if p]
+    menu_parts = [p for p in _SPLIT_MENU.split(low) if p] if separated else [low]
     menu = sum(p in _MENU for p in menu_parts) if _MENU_KIND in hits else 0
     for k, size in hits.items():
         kind = KINDS[k]
@@ -124,11 +130,11 @@ def line_features(raw: str) -> tuple[tuple[int, ...], str]:
         out.append(F_["has_menu"])
         if menu >= 0.5 * len(menu_parts):
             out.append(F_["is_menu"])
-    ends = bool(_END.search(plain))
-    stops = len(_STOPS.findall(plain)) if words > 12 else 0
+    ends = plain.rstrip(_CLOSERS)[-1:] in _ENDS
+    stops = words > 12 and _STOPS.search(plain) is not None
     if ends and words >= 4:
         out.append(F_["sentence"])
-    if stops >= 1:
+    if stops:
         out.append(F_["sentences"])
     if words >= 10:
         out.append(F_["long"])
@@ -140,7 +146,7 @@ def line_features(raw: str) -> tuple[tuple[int, ...], str]:
         out.append(F_["title_like"])
     if m and m.lastindex == 6:
         pass
-    elif len(_SEPARATED.findall(plain)) >= 2 or (len(menu_parts) > 2 and n < 40 * len(menu_parts)):
+    elif separated and len(_SEPARATED.findall(plain)) >= 2 or (len(menu_parts) > 2 and n < 40 * len(menu_parts)):
         out.append(F_["separators"])
     if words <= 40 and _COMMENT.match(plain):
         out.append(F_["comment_like"])
@@ -150,7 +156,7 @@ def line_features(raw: str) -> tuple[tuple[int, ...], str]:
         out.append(F_["date_line"])
     if not _LETTER.search(plain):
         out.append(F_["no_letters"])
-    result = (tuple(out), plain)
+    result = (tuple(out), plain, _line_kind(frozenset(out), plain))
     if n < 160:
         if len(_memo) > 100_000:
             _memo.clear()
@@ -161,66 +167,65 @@ def line_features(raw: str) -> tuple[tuple[int, ...], str]:
 _RELATED, _COMMENTS = F_["is_related"], F_["is_comments"]
 _HEAD_STOP = {F_["heading"], F_["quote"], F_["row"], F_["star"], F_["numbered"], F_["code"]}
 _FURNITURE_LINE = {F_["is_" + k] for k in KINDS}
+_LINK_LIKE = {F_["title_like"], F_["tiny"], F_["all_link"]}
 
 
-def _is_related_head(f: tuple[int, ...], plain: str) -> bool:
-    return _RELATED in f and len(plain) <= 60 and F_["heading"] not in f and F_["sentence"] not in f
-
-
-def _is_comments_head(f: tuple[int, ...], plain: str) -> bool:
-    return _COMMENTS in f and len(plain) <= 40 and F_["sentence"] not in f and F_["comment_like"] not in f
+def _line_kind(f: frozenset[int], plain: str) -> int:
+    furniture, sentence, heading = not _FURNITURE_LINE.isdisjoint(f), F_["sentence"] in f, F_["heading"] in f
+    kind = heading * _AT_HEADING | furniture * _OF_FURNITURE | (F_["is_path"] in f) * _AT_PATH | (F_["comment_like"] in f) * _IN_COMMENTS
+    if _RELATED in f and not sentence and not heading and len(plain) <= 60:
+        kind |= _AT_RELATED
+    if _COMMENTS in f and not sentence and not kind & _IN_COMMENTS and len(plain) <= 40:
+        kind |= _AT_COMMENTS
+    if not furniture and _HEAD_STOP.isdisjoint(f) and not _LINK_LIKE.isdisjoint(f):
+        kind |= _IN_RELATED
+    return kind
 
 
 def add_text_page(t: Trees, page: int, text: str) -> None:
     """A page of plain text or Markdown."""
     root = t.add(page, -1, EDGE["root"], [F_["bias"], F_["page"]])
-    widget, kind, group, fence = -1, "", -1, False
-    tail, path_before, last = "", False, (False, False)
+    widget, kind, group, fence = -1, 0, -1, False
+    tail, path_before, last = "", 0, 0
     first = len(t.page)
+    widget_edge, widget_features = EDGE["widget"], [_BIAS, _CONTAINER, F_["widget"]]
     for no, raw in enumerate(text.split("\n")):
         if not raw or raw.isspace():
             group = -1
             continue
-        marker = raw.lstrip()[:3]
-        if marker == "```":
+        if "```" in raw and raw.lstrip()[:3] == "```":
             fence = not fence
             group = group if fence else -1
             continue
         if not _WORD.search(raw):
             continue
-        if fence:
-            f, plain = (F_["bias"], F_["code"]), raw
-        else:
-            f, plain = line_features(raw)
-        extra = []
-        if F_["is_path"] in f:
+        f, plain, of = ((_BIAS, _CODE), raw, 0) if fence else line_features(raw)
+        own = list(f)
+        named = False
+        if of & _AT_PATH:
             tail = _SPLIT_MENU.split(plain)[-1].strip().lower()
         elif tail and plain.lower() == tail:
-            extra.append(F_["known_title"])
+            own.append(_KNOWN_TITLE)
+            named = True
         # does the line begin, go on with, or end a widget?
-        if _is_related_head(f, plain):
-            widget, kind, group = t.add(page, root, EDGE["widget"], [F_["bias"], F_["container"], F_["widget"]]), "related", -1
-        elif _is_comments_head(f, plain):
-            widget, kind, group = t.add(page, root, EDGE["widget"], [F_["bias"], F_["container"], F_["widget"]]), "comments", -1
-        elif widget >= 0:
-            if kind == "related":
-                stays = (F_["title_like"] in f or F_["tiny"] in f or F_["all_link"] in f) and not _HEAD_STOP.intersection(f) and not extra and not _FURNITURE_LINE.intersection(f)
-            else:
-                stays = F_["comment_like"] in f
-            if not stays:
-                widget, kind, group = -1, "", -1
+        if of & _AT_RELATED:
+            widget, kind, group = t.add(page, root, widget_edge, list(widget_features)), _IN_RELATED, -1
+        elif of & _AT_COMMENTS:
+            widget, kind, group = t.add(page, root, widget_edge, list(widget_features)), _IN_COMMENTS, -1
+        elif widget >= 0 and (not of & kind or named and kind == _IN_RELATED):
+            widget, kind, group = -1, 0, -1
         if widget >= 0:
-            node = t.add(page, widget, EDGE["governed"], [*f, *extra])
+            node = t.add(page, widget, _GOVERNED, own)
         else:
             # a heading begins a group of its own, and so does a change between plain furniture and other lines
-            kinds = (F_["heading"] in f, not _FURNITURE_LINE.isdisjoint(f))
+            kinds = of & (_AT_HEADING | _OF_FURNITURE)
             if group < 0 or kinds != last:
                 last = kinds
-                group = t.add(page, root, EDGE["group"], [F_["bias"], F_["container"]])
-            node = t.add(page, group, EDGE["line"], [*f, *extra])
+                group = t.add(page, root, _GROUP, [_BIAS, _CONTAINER])
+            node = t.add(page, group, _LINE, own)
         if path_before:
-            t.features[node].append(F_["after_path"])
-        path_before = F_["is_path"] in f
+            own.append(F_["after_path"])
+        path_before = of & _AT_PATH
         t.text[node] = plain
         t.lines.append((page, no, node))
     _positions(t, first)
@@ -254,9 +259,10 @@ def _positions(t: Trees, first: int) -> None:
             features[i].append(F_["late"])
 
 
-_TOKEN = re.compile(
-    r"(<!--.*?(?:-->|\Z)|<(script|style|template|textarea)\b[^>]*>.*?(?:</\2\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|<[!?][^>]*>|([^<]+|<))", re.S | re.I
-)
+#: What shows nothing, whatever is in it; and a tag, outside of which all is text.
+_UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_HIDES = re.compile(r"<(?:!--|script|style|template|textarea)", re.I)
+_TAG = re.compile(r"<(/?[a-zA-Z][a-zA-Z0-9-]*|[!?])([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>")
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(\S+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a b i em strong u s code span small sub sup mark abbr cite q time kbd samp var font label big tt del ins bdi bdo data dfn".split())
@@ -265,7 +271,21 @@ _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td",
 _STOP_AT = frozenset("ul ol table div td section main article nav aside footer body html blockquote".split())
 _TAG_FEATURE = {t: F_["tag_" + t] for t in "p li small span div td pre blockquote a".split()} | {f"h{i}": F_["tag_h"] for i in range(1, 7)}
 _OPAQUE = re.compile(r"[a-z]{0,2}[0-9a-z]{3,10}")
+#: Containers that have no node of their own.
+_PLAIN = frozenset("html body tr tbody thead tfoot".split())
+_IS_VOID, _IS_INLINE, _IS_CONTAINER, _IS_BLOCK = 1, 2, 3, 4
 _names: dict[str, list[int]] = {}
+_tags: dict[str, tuple[bool, str, int]] = {}
+
+
+def _tag_kind(name: str) -> tuple[bool, str, int]:
+    """Of a tag as written: whether it closes, its name, and of which kind it is; 0: it shows nothing."""
+    tag = name.lstrip("/").lower()
+    if len(_tags) > 10_000:
+        _tags.clear()
+    if tag in ("!", "?", ""):
+        return False, "", 0
+    return name[0] == "/", tag, _IS_VOID if tag in _VOID else _IS_INLINE if tag in _INLINE else _IS_CONTAINER if tag in _CONTAINERS else _IS_BLOCK
 
 
 def _name_features(attributes: str) -> list[int]:
@@ -291,9 +311,9 @@ def add_html_page(t: Trees, page: int, text: str) -> None:
     root = t.add(page, -1, EDGE["root"], [F_["bias"], F_["page"]])
     first = len(t.page)
     stack: list[tuple[str, int]] = []  # open tags and the container node in force
-    current, leaf_tag, leaf_node = root, "", -1
+    current, leaf_tag = root, ""
     parts: list[str] = []
-    spans: list[tuple[int, int]] = []
+    spans: list[int] = []  # the lines of the leaf so far
     linked = 0
     title, in_head, in_title, in_link, in_pre, quoted = "", False, False, 0, 0, False
     no, was_br = 0, False
@@ -301,66 +321,53 @@ def add_html_page(t: Trees, page: int, text: str) -> None:
 
     def flush() -> None:
         nonlocal parts, spans, linked
-        if not parts:
-            return
         if spans:
-            whole = html.unescape("".join(parts))
+            whole = "".join(parts)
+            if "&" in whole:
+                whole = html.unescape(whole)
             if _WORD.search(whole):
                 if in_pre:
-                    f: tuple[int, ...] = (F_["bias"], F_["code"])
-                    plain = whole
+                    fs, plain = [_BIAS, _CODE], whole
                 else:
-                    f, plain = line_features(" ".join(whole.split()))
-                fs = [*f, _TAG_FEATURE.get(leaf_tag, F_["tag_other"])]
+                    f, plain, _ = line_features(" ".join(whole.split()))
+                    fs = list(f)
+                fs.append(_TAG_FEATURE.get(leaf_tag, _TAG_OTHER))
                 if leaf_tag[:1] == "h" and leaf_tag[1:].isdigit():
-                    fs.append(F_["heading"])
+                    fs.append(_HEADING)
                     if leaf_tag == "h1":
-                        fs.append(F_["top_heading"])
+                        fs.append(_TOP_HEADING)
                 if quoted:
-                    fs.append(F_["quote"])
+                    fs.append(_QUOTE)
                 if linked:
-                    fs.append(F_["all_link"] if linked >= 0.8 * len(plain) else F_["some_link"])
+                    fs.append(_ALL_LINK if linked >= 0.8 * len(plain) else _SOME_LINK)
                 if title and len(plain) > 3 and title.startswith(plain.lower()):
-                    fs.append(F_["known_title"])
-                node = t.add(page, current, EDGE["leaf"], fs)
+                    fs.append(_KNOWN_TITLE)
+                node = t.add(page, current, _LEAF, fs)
                 t.text[node] = plain
-                for a, _ in spans:
-                    t.lines.append((page, a, node))
+                for at in spans:
+                    t.lines.append((page, at, node))
                 words = plain.count(" ") + 1
-                k = counts.setdefault(current, [0, 0])
+                k = counts.get(current)
+                if k is None:
+                    k = counts[current] = [0, 0]
                 k[0] += words
                 k[1] += words if linked else 0
-        parts, spans, linked = [], [], 0
-
-    for whole, raw, slash, tag, attributes, chunk in _TOKEN.findall(text):
-        after_br, was_br = was_br, tag == "br" or tag == "BR"
-        if chunk:
-            if in_title:
-                title += html.unescape(chunk)
-            elif in_head:
-                pass
-            elif chunk.isspace():
-                if parts:
-                    parts.append(chunk)
-            elif _WORD.search(chunk):
-                parts.append(chunk)
-                if "\n" in chunk or "&" in chunk:
-                    for at, piece in enumerate(chunk.split("\n"), no):
-                        if _WORD.search(html.unescape(piece)) and (not spans or spans[-1][0] != at):
-                            spans.append((at, 0))
-                elif not spans or spans[-1][0] != no:
-                    spans.append((no, 0))
-                if in_link:
-                    linked += len(chunk)
-            else:
-                parts.append(chunk)
-            no += chunk.count("\n")
-            continue
-        if not tag:  # comments, scripts and the like show nothing
-            no += whole.count("\n")
-            continue
-        tag = tag.lower()
-        if slash:
+            spans = []
+        parts, linked = [], 0
+
+    if _HIDES.search(text):
+        text = _UNSEEN.sub(lambda m: "\n" * m.group().count("\n"), text)
+    pieces = _TAG.split(text)
+    pieces[:0] = ("!", "")  # what comes before the first tag
+    for name, attributes, chunk in zip(pieces[0::3], pieces[1::3], pieces[2::3]):
+        known = _tags.get(name)
+        if known is None:
+            known = _tags[name] = _tag_kind(name)
+        slash, tag, kind = known
+        after_br, was_br = was_br, tag == "br"
+        if not kind:
+            pass
+        elif slash:
             if tag == "head":
                 in_head = False
             elif tag == "title":
@@ -368,74 +375,100 @@ def add_html_page(t: Trees, page: int, text: str) -> None:
                 title = " ".join(title.lower().split())
             elif tag == "a":
                 in_link = max(0, in_link - 1)
-                continue
-            if tag in _INLINE:
+            if kind == _IS_INLINE:
                 if leaf_tag == tag and tag in ("span", "small") and (not stack or stack[-1][0] in _CONTAINERS):
                     flush()
                     leaf_tag = ""
             else:
-                flush()
-                if any(x[0] == tag for x in stack):
-                    while stack:
-                        name, _ = stack.pop()
-                        if name == "pre":
-                            in_pre -= 1
-                        if name == "blockquote":
-                            quoted = False
-                        if name == tag:
-                            break
-                current = stack[-1][1] if stack else root
-                leaf_tag = stack[-1][0] if stack and stack[-1][0] not in _CONTAINERS else ""
+                if parts:
+                    flush()
+                for depth in range(len(stack) - 1, -1, -1):
+                    if stack[depth][0] == tag:
+                        for closed, _ in stack[depth:]:
+                            if closed == "pre":
+                                in_pre -= 1
+                            elif closed == "blockquote":
+                                quoted = False
+                        del stack[depth:]
+                        break
+                if stack:
+                    top, current = stack[-1]
+                    leaf_tag = "" if top in _CONTAINERS else top
+                else:
+                    current, leaf_tag = root, ""
         else:
-            if tag == "head":
-                in_head = True
-            elif tag == "body":
-                in_head = in_title = False
-            elif tag == "title" and not title:
-                in_title = True
-            elif tag == "a":
-                in_link += 1
-            elif tag == "br":
-                if after_br:
+            if kind == _IS_INLINE:
+                if tag == "a":
+                    in_link += 1
+                elif tag in ("span", "small") and not "".join(parts).strip() and (not stack or stack[-1][0] in _CONTAINERS):
                     flush()
-                elif parts:
-                    parts.append(" ")
-            if tag not in _VOID:
-                if tag in _INLINE:
-                    if tag in ("span", "small") and not "".join(parts).strip() and (not stack or stack[-1][0] in _CONTAINERS):
+                    leaf_tag = tag
+            elif kind == _IS_VOID:
+                if was_br:
+                    if after_br:
                         flush()
-                        leaf_tag = tag
-                else:
+                    elif parts:
+                        parts.append(" ")
+            else:
+                if tag == "head":
+                    in_head = True
+                elif tag == "body":
+                    in_head = in_title = False
+                elif tag == "title" and not title:
+                    in_title = True
+                if parts:
                     flush()
-                    closes = _CLOSES.get(tag)
-                    if closes:
-                        for k in range(len(stack) - 1, -1, -1):
-                            if stack[k][0] in closes:
-                                del stack[k:]
-                                break
-                            if stack[k][0] in _STOP_AT:
-                                break
-                        current = stack[-1][1] if stack else root
-                    if tag in _CONTAINERS:
-                        fs = [F_["bias"], F_["container"], *_name_features(attributes)]
+                closes = _CLOSES.get(tag)
+                if closes:
+                    for k in range(len(stack) - 1, -1, -1):
+                        if stack[k][0] in closes:
+                            del stack[k:]
+                            break
+                        if stack[k][0] in _STOP_AT:
+                            break
+                    current = stack[-1][1] if stack else root
+                if kind == _IS_CONTAINER:
+                    if tag not in _PLAIN:
+                        fs = [_BIAS, _CONTAINER, *_name_features(attributes)] if attributes else [_BIAS, _CONTAINER]
                         if tag in fu.FURNITURE_TAGS:
                             fs.append(F_["tag_furniture"])
                         elif tag in fu.BODY_TAGS:
                             fs.append(F_["tag_body"])
                         if tag == "noscript":
                             fs.append(F_["in_script"])
-                        if tag not in ("html", "body", "tr", "tbody", "thead", "tfoot"):
-                            current = t.add(page, current, EDGE["container"], fs)
-                        leaf_tag = tag if tag in ("div", "td") else ""
-                    else:
-                        leaf_tag = tag
-                        if tag == "pre":
-                            in_pre += 1
-                        if tag == "blockquote":
-                            quoted = True
-                    stack.append((tag, current))
+                        current = t.add(page, current, EDGE["container"], fs)
+                    leaf_tag = tag if tag in ("div", "td") else ""
+                else:
+                    leaf_tag = tag
+                    if tag == "pre":
+                        in_pre += 1
+                    elif tag == "blockquote":
+                        quoted = True
+                stack.append((tag, current))
         if "\n" in attributes:
             no += attributes.count("\n")
+        if not chunk:
+            continue
+        if in_title:
+            title += html.unescape(chunk)
+        elif in_head:
+            pass
+        elif chunk.isspace():
+            if parts:
+                parts.append(chunk)
+        else:
+            was_br = False
+            parts.append(chunk)
+            if _WORD.search(chunk):
+                if "\n" in chunk or "&" in chunk:
+                    for at, piece in enumerate(chunk.split("\n"), no):
+                        if _WORD.search(html.unescape(piece)) and (not spans or spans[-1] != at):
+                            spans.append(at)
+                elif not spans or spans[-1] != no:
+                    spans.append(no)
+                if in_link:
+                    linked += len(chunk)
+        no += chunk.count("\n")
     flush()
     for c in range(len(t.page) - 1, first - 1, -1):  # from the inner containers outwards
         if c in counts and t.parent[c] >= first:

@@ -14,9 +14,9 @@ from __future__ import annotations
 
 import json
 import math
-import pickle
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.llm import notices
+from weftline.llm.packed import row, unpacked
 from weftline.llm.pages import EDGE
 from weftline.llm.pages import FEATURE as F_
 from weftline.llm.pages import Trees
@@ -100,19 +101,23 @@ def notice_signs(low: str) -> tuple[int, set[str]]:
     return (0 if not kinds else 3 if covered >= 0.33 * n else 2 if covered >= 0.12 * n else 1), kinds
 
 
-# of a word: its bucket, whether it is filler, and whether it was mashed from keys
-_word_memo: dict[str, tuple[int, bool, bool]] = {}
+#: Signs of a word, above its bucket: filler, mashed from keys, with a letter five times in a row.
+_IS_FILLER, _IS_MASH, _IS_RUN = 1 << 24, 1 << 25, 1 << 26
 
 
-def _word(w: str) -> tuple[int, bool, bool]:
-    known = _word_memo.get(w)
-    if known is None:
+class _Words(dict):
+    """word -> its bucket and signs."""
+
+    def __missing__(self, w: str) -> int:
         as_number = w[0] <= "9" and not (len(w) == 3 and w[0] in "45")
-        known = number("#" if as_number else w), w in _FILLER, _MASH.fullmatch(w) is not None
-        if len(_word_memo) > 200_000:
-            _word_memo.clear()
-        _word_memo[w] = known
-    return known
+        code = number("#" if as_number else w) | (w in _FILLER) * _IS_FILLER | (_MASH.fullmatch(w) is not None) * _IS_MASH | (len(w) > 4 and _LETTER_RUN.search(w) is not None) * _IS_RUN
+        if len(self) > 200_000:
+            self.clear()
+        self[w] = code
+        return code
+
+
+_words = _Words()
 
 
 def grade(n: int) -> int:
@@ -120,32 +125,34 @@ def grade(n: int) -> int:
     return min(SIZES - 1, n.bit_length())
 
 
+_OF_WORDS = [NUMBER[f"<words {i}>"] for i in range(SIZES)]
 _SLOTS = {True: (NUMBER["<slot>"], NUMBER["<slots>"]), False: (NUMBER["<slot>"], NUMBER["<slot+>"])}
 
 
 def token_numbers(passage: str) -> tuple[list[int], int]:
     """The buckets of a passage's tokens (its words, and signs of its shape), and its number of words."""
-    filled, slots = _SLOT.subn(" ", passage) if any(c in passage for c in _SLOT_SIGNS) else (passage, 0)
+    filled, slots = _SLOT.subn(" ", passage) if any([c in passage for c in _SLOT_SIGNS]) else (passage, 0)
     low = filled.lower()
     words = _WORDS.findall(low)
     n = len(words)
-    told = [_word(w) for w in words]
-    out = {x[0] for x in told}
+    out = set(map(_words.__getitem__, words))
     distinct = len(out)
+    signed = [x for x in out if x >= BUCKETS]
+    out = {x & (BUCKETS - 1) for x in out} if signed else out
     if slots:
         out.update(_SLOTS[slots > 1 or n <= 2])
     if n >= 4:
         if distinct <= 0.34 * n:
             out.add(NUMBER["<repeats>"])
-        if len({x[0] for x in told if x[1]}) >= 0.5 * distinct:
+        if signed and sum([x & _IS_FILLER > 0 for x in signed]) >= 0.5 * distinct:
             out.add(NUMBER["<filler>"])
-    if n >= 2 and sum([x[2] for x in told]) >= 0.7 * n:
+    if n >= 2 and signed and sum([x & _IS_MASH > 0 for x in signed]) >= 0.7 * distinct:
         out.add(NUMBER["<mash>"])
     if not n and not slots:
         out.add(NUMBER["<nothing>"])
-    if any(x in passage for x in _SIGN_RUNS) or any(len(w) > 4 and _LETTER_RUN.search(w) for w in words):
+    if signed and any([x & _IS_RUN for x in signed]) or any([x in passage for x in _SIGN_RUNS]):
         out.add(NUMBER["<run>"])
-    out.add(NUMBER[f"<words {grade(n)}>"])
+    out.add(_OF_WORDS[grade(n)])
     cover, kinds = notice_signs(low)
     if cover:
         out.add(NUMBER[f"<notice {cover}>"])
@@ -184,7 +191,7 @@ def json_tokens(text: str) -> tuple[list[int], bool] | None:
     if told:
         out.add("<error keys>")
     told_of = [k for k in keys if k not in _ERROR_KEYS] + [v.lower() for _, v in pairs if isinstance(v, str)]
-    words = {_word(w)[0] for x in told_of for w in _WORDS.findall(x)}
+    words = {_words[w] & (BUCKETS - 1) for x in told_of for w in _WORDS.findall(x)}
     return sorted({NUMBER[x] for x in out} | words), told
 
 
@@ -254,13 +261,13 @@ class Chunk:
     record's score (0: a heading, told only where there is nothing else) and its tokens; and what else was asked for of each record."""
 
     keys: list[tuple[str | None, int | None]] = field(default_factory=list)
-    record: list[int] = field(default_factory=list)
-    sure: list[bool] = field(default_factory=list)
-    weight: list[float] = field(default_factory=list)
-    sizes: list[int] = field(default_factory=list)
-    tokens: list[int] = field(default_factory=list)
-    line_of: list[int] = field(default_factory=list)
-    lines: list[int] = field(default_factory=list)
+    record: array = field(default_factory=lambda: array("i"))
+    sure: array = field(default_factory=lambda: array("b"))
+    weight: array = field(default_factory=lambda: array("f"))
+    sizes: array = field(default_factory=lambda: array("i"))
+    tokens: array = field(default_factory=lambda: array("i"))
+    line_of: list[np.ndarray] = field(default_factory=list)
+    lines: list[np.ndarray] = field(default_factory=list)
     texts: list[str] = field(default_factory=list)
 
     def add(self, found: list[tuple[list[int], int]], headings: list[bool], sure: bool) -> None:
@@ -271,12 +278,12 @@ class Chunk:
             self.sure.append(sure)
             self.weight.append(1 + math.log2(1 + n) if alone or not heading else 0.0)
             self.sizes.append(len(toks))
-            self.tokens += toks
+            self.tokens.extend(toks)
 
-    def packed(self) -> bytes:
-        i = lambda x: np.array(x, np.int32)
-        data = (self.keys, i(self.record), np.array(self.sure, bool), np.array(self.weight, np.float32), i(self.sizes), i(self.tokens), i(self.line_of), i(self.lines), self.texts)
-        return zlib.compress(pickle.dumps(data, protocol=5), 1)
+    def data(self) -> tuple:
+        i = lambda x: np.frombuffer(x, np.int32)
+        joined = lambda x: np.concatenate(x).astype(np.int32) if x else np.zeros(0, np.int32)
+        return self.keys, i(self.record), np.frombuffer(self.sure, bool), np.frombuffer(self.weight, np.float32), i(self.sizes), i(self.tokens), joined(self.line_of), joined(self.lines), self.texts
 
 
 def read_chunks(pages: DataFrame, lines: bool = False, texts: bool = False) -> DataFrame:
@@ -288,7 +295,6 @@ def read_chunks(pages: DataFrame, lines: bool = False, texts: bool = False) -> D
     shared = pages.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = lambda c: pa.RecordBatch.from_arrays([pa.array([c.packed()], pa.binary())], names=["chunk"])
         chunk = Chunk()
         for b in batches:
             keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
@@ -308,25 +314,19 @@ def read_chunks(pages: DataFrame, lines: bool = False, texts: bool = False) -> D
                     chunk.keys.append(keys[begin + i])
                 if lines:
                     of, no = lines_of(t, p)
-                    chunk.line_of += (of + first).tolist()
-                    chunk.lines += no.tolist()
+                    chunk.line_of.append(of + first)
+                    chunk.lines.append(no)
                 if texts:
                     chunk.texts += body_of(t, p, end - begin)
                 if len(chunk.tokens) >= CHUNK_TOKENS:
-                    yield out(chunk)
+                    yield row(chunk.data())
                     chunk = Chunk()
         if chunk.keys:
-            yield out(chunk)
+            yield row(chunk.data())
 
     return cut_lineage(pages.select("tbl", F.col("rec_id").cast("long").alias("rec_id"), "text").mapInArrow(run, "chunk binary"))
 
 
-def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for b in batches:
-        for c in b.column(0):
-            yield pickle.loads(zlib.decompress(c.as_py()))
-
-
 def _odds(model: Residue, record: np.ndarray, sizes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """The log-odds of each passage."""
     of = np.repeat(np.arange(len(sizes)), sizes)
