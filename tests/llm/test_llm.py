@@ -1,6 +1,7 @@
 """The training-data operators: brute force, round trips and held-out accuracy; nulls, empties, very long texts, repeats, empty tables, clashing columns."""
 
 import base64
+import datetime as dt
 import json
 import math
 import os
@@ -129,8 +130,8 @@ def test_repeated_lines_equal_brute_force(spark):
     for i in range(120):
         site = "hot" if i < 80 else rng.choice(["a", "b", None])
         lines = [rng.choice(legal) if rng.random() < 0.5 else f"own line {'x' * rng.randrange(40)}" for _ in range(rng.randrange(1, 7))]
-        recs.append((site, i, "\n".join(lines), None))
-    recs += [("hot", 200 + i, recs[0][2], None) for i in range(5)] + [("hot", 300, None, None), ("hot", 301, "", None), ("a", 302, "w " * 50_000, None)]
+        recs.append((site, i, "\n".join(lines), [None, dt.date(2024, 1, 1 + i % 2), dt.date(2024, 2, 1)][i % 3] if site == "hot" else None))
+    recs += [("hot", 200 + i, "printed again\n" + recs[0][2], dt.date(2024, 3, 1 + i % 30)) for i in range(40)] + [("hot", 300, None, None), ("hot", 301, "", None), ("a", 302, "w " * 50_000, None)]
     df = spark.createDataFrame(recs, "site string, id long, text string, day date")
     norm = lambda x: __import__("re").sub("[0-9]+", "0", " ".join(x.replace(" ", " ").split()).lower())
     n, sites = Counter(), Counter(s for s, _, t, _ in recs if s and t is not None)
@@ -138,14 +139,29 @@ def test_repeated_lines_equal_brute_force(spark):
         if s and t is not None:
             n.update((s, k) for k in {norm(x) for x in t.split("\n")} if any(c.isalpha() for c in k))
     want = {(i, j) for s, i, t, _ in recs if s and t is not None for j, x in enumerate(t.split("\n")) if n[s, norm(x)] >= 4 and n[s, norm(x)] >= 0.25 * sites[s]}
-    for limit in (100_000, 0):  # broadcast, and the salted join
-        repeated.BROADCAST_LINES = limit
-        assert {(r.id, r.line_no) for r in repeated.repeated_lines(df).collect()} == want
-    repeated.BROADCAST_LINES = 100_000
-    cleaned = {r.id: r.text for r in repeated.without_repeated(df).collect()}
+    texts_of = {}
+    for s, i, t, d in recs:
+        if s and t is not None:
+            texts_of.setdefault(s, {}).setdefault(t, []).append((i, d))
+    clusters = Counter((s, k) for s, ts in texts_of.items() for t in ts for k in {norm(x) for x in t.split("\n")} if any(c.isalpha() for c in k))
+    days = {}
+    for s, _, t, d in recs:
+        for k in {norm(x) for x in t.split("\n")} if s and t is not None and d else ():
+            days.setdefault((s, k), set()).add(d)
+    by_clusters = {(i, j) for s, i, t, _ in recs if s and t is not None for j, x in enumerate(t.split("\n")) if clusters[s, norm(x)] >= 4 and clusters[s, norm(x)] >= 0.25 * len(texts_of[s])}
+    by_days = {(i, j) for s, i, t, _ in recs if s and t is not None for j, x in enumerate(t.split("\n")) if (i, j) in by_clusters and len(days.get((s, norm(x)), ())) >= 3}
+    assert by_clusters != want and by_days < by_clusters
+    for limit in (100_000, 0):  # broadcasts, and the salted joins
+        repeated.BROADCAST_ROWS = limit
+        rows = repeated.site_lines(repeated.line_keys(df))
+        for by, right in (("records", want), ("clusters", by_clusters), ("days", by_days)):
+            assert {(r.id, r.line_no) for r in repeated.repeated_lines(rows, by=by).collect()} == right
+    repeated.BROADCAST_ROWS = 100_000
+    found = repeated.repeated_lines(rows)
+    cleaned = {r.id: r.text for r in repeated.without_repeated(df, found).collect()}
     assert len(cleaned) == len(recs) and cleaned[300] is None and cleaned[301] == ""
     assert all(cleaned[i] == "\n".join(x for j, x in enumerate(t.split("\n")) if (i, j) not in want) for _, i, t, _ in recs if t)
-    assert repeated.repeated_lines(df.limit(0)).count() == 0
+    assert repeated.repeated_lines(repeated.site_lines(repeated.line_keys(df.limit(0)))).count() == 0
 
 
 # problems 1 and 4

@@ -44,7 +44,7 @@ WITHIN = 0.8
 SCORE, SCORES = 0.12, (0.08, 0.12, 0.16)
 SHARE, SHARES = 0.25, (0.16, 0.18, 0.2, 0.22, 0.25, 0.28)
 #: Labels that all subjects together stand for in a subject's calibration, so that few labels of its own don't decide alone.
-POOLED = 60
+POOLED = 200
 #: A subject counts in a sentence only with this share of the best one's score.
 BESIDE = 0.5
 
