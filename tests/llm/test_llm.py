@@ -300,9 +300,8 @@ def test_term_counts_equal_brute_force():
     singles = Counter((w, s) for x, s in zip(lines, of) for w in x if len(w) > 2)
     pairs = Counter((f"{a} {b}", s) for x, s in zip(lines, of) for a, b in zip(x, x[1:]))
     c = subjects.coded([0], [None], [False], [len(lines)], [subjects._joined(x) for x in lines])
-    for phrases, want in ((False, singles), (True, singles + pairs)):
-        got = subjects.term_counts(c, np.array(of), 3, phrases)
-        assert {(r["term"], r["subject"]): r["n"] for r in got.to_pylist()} == want
+    got = subjects.term_counts(c, np.array(of), 3)
+    assert {(r["term"], r["subject"]): r["n"] for r in got.to_pylist()} == singles + pairs
 
 
 def test_matches_and_subjects_of_sentences():

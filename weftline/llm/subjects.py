@@ -2,7 +2,7 @@
 
 A lexicon of weighted terms, matched by one automaton (longest match first) in every sentence. The curated terms are its core; around it
 grows what stands in the same sentences: terms of one or two words that occur with one subject alone, learnt from all documents in two
-rounds, words first, then words and phrases. Terms that several subjects share are dropped, whoever named them. Rarity is counted over all documents. A
+rounds. Terms that several subjects share are dropped, whoever named them. Rarity is counted over all documents. A
 sentence treats a subject if its terms' weights, times their rarity and normalised by the sentence's length, exceed a threshold; a document
 has every subject whose share of sentences exceeds another. Both thresholds are calibrated a subject, on labels that took no part in the learning.
 
@@ -203,8 +203,8 @@ def sentence_subjects(c: Chunk, sentence: np.ndarray, subject: np.ndarray, weigh
     return np.where(single >= 0, single, np.where(best == 0, plain[doc], -1))
 
 
-def term_counts(c: Chunk, subject: np.ndarray, n_subjects: int, phrases: bool) -> pa.RecordBatch:
-    """term, subject, n: how often each word of three letters or more (and with ``phrases`` each two words in a row) occur in a chunk, by the sentences' subjects."""
+def term_counts(c: Chunk, subject: np.ndarray, n_subjects: int) -> pa.RecordBatch:
+    """term, subject, n: how often each word of three letters or more and each two words in a row occur in a chunk, by the sentences' subjects."""
     v, w, width = len(c.vocabulary), c.words.astype(np.int64), n_subjects + 1
     sentence = np.repeat(np.arange(len(c.n_words)), c.n_words)
     of = subject[sentence] + 1
@@ -213,14 +213,13 @@ def term_counts(c: Chunk, subject: np.ndarray, n_subjects: int, phrases: bool) -
     single[~long] = 0
     i, s = np.nonzero(single)
     names, of_term, n = [c.vocabulary[x] for x in i.tolist()], s, single[i, s]
-    if phrases:
-        at = np.flatnonzero(sentence[1:] == sentence[:-1])
-        code = pa.array(w[at] * v + w[at + 1]).dictionary_encode()
-        pairs = code.dictionary.to_numpy()
-        table = np.bincount(code.indices.to_numpy().astype(np.int64) * width + of[at], minlength=len(pairs) * width).reshape(-1, width)
-        i, s = np.nonzero(table)
-        names += [f"{c.vocabulary[x // v]} {c.vocabulary[x % v]}" for x in pairs[i].tolist()]
-        of_term, n = np.concatenate([of_term, s]), np.concatenate([n, table[i, s]])
+    at = np.flatnonzero(sentence[1:] == sentence[:-1])
+    code = pa.array(w[at] * v + w[at + 1]).dictionary_encode()
+    pairs = code.dictionary.to_numpy()
+    table = np.bincount(code.indices.to_numpy().astype(np.int64) * width + of[at], minlength=len(pairs) * width).reshape(-1, width)
+    i, s = np.nonzero(table)
+    names += [f"{c.vocabulary[x // v]} {c.vocabulary[x % v]}" for x in pairs[i].tolist()]
+    of_term, n = np.concatenate([of_term, s]), np.concatenate([n, table[i, s]])
     return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(of_term - 1, pa.int32()), pa.array(n, pa.int64())], names=["term", "subject", "n"])
 
 
@@ -234,7 +233,7 @@ class Counts:
     dropped: int
 
 
-def count_terms(chunks: DataFrame, lexicon: Lexicon, phrases: bool) -> Counts:
+def count_terms(chunks: DataFrame, lexicon: Lexicon) -> Counts:
     """Counts over all documents."""
     shared = chunks.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -244,7 +243,7 @@ def count_terms(chunks: DataFrame, lexicon: Lexicon, phrases: bool) -> Counts:
         number = {s: i for i, s in enumerate(lex.subjects)}
         for c in unpacked(batches):
             sentence, term = matches(a, c)
-            yield term_counts(c, sentence_subjects(c, sentence, owner[term], weight[term], number), len(number), phrases)
+            yield term_counts(c, sentence_subjects(c, sentence, owner[term], weight[term], number), len(number))
 
     counted = chunks.mapInArrow(run, "term string, subject int, n long").groupBy("term", "subject").agg(F.sum("n").alias("n"))
     has = F.col("subject") >= 0
@@ -415,8 +414,8 @@ def learn(docs: DataFrame, key: str, text: str, labels: DataFrame, subjects: lis
     chunks = read_documents(rows.join(given, "k", "left"))
     lexicon = start = curated(subjects)
     dropped = 0
-    for phrases in (False, True):
-        counts = count_terms(chunks, lexicon, phrases)
+    for _ in range(2):
+        counts = count_terms(chunks, lexicon)
         lexicon, dropped = grown(start, counts), counts.dropped
     hits = term_hits(chunks, lexicon)
     n = len(subjects)
