@@ -108,6 +108,9 @@ def test_packing(spark):
     assert {r.id for r in out if r.piece} == {i for i, s in items if s and s > 2048}
     assert len(used) <= 1.06 * sum(used.values()) / 2048 + 2
     assert packing.pack(df.limit(0), "id", "size").count() == 0
+    hard = spark.range(400).select("id", (410 + F.pmod(F.col("id") * 7919, F.lit(613))).alias("size"))
+    greedy, evolved = (packing.pack(hard, "id", "size", rounds=r).select("container").distinct().count() for r in (0, packing.ROUNDS))
+    assert evolved < greedy
     with pytest.raises(ValueError):
         packing.pack(df, "id", "size", 0)
 
@@ -116,6 +119,7 @@ def test_crossover_keeps_all_items():
     rng = random.Random(6)
     sizes = [rng.randrange(1, 900) for _ in range(120)]
     a, b = (packing.best_fit([], rng.sample(range(120), 120), sizes, 2048) for _ in range(2))
+    a, b = ([list(g) for g in x] for x in (a, b))
     for g in (packing.cross(a, b, sizes, 2048, rng), packing.mutate(a, sizes, 2048, rng)):
         assert sorted(i for x in g for i in x) == list(range(120)) and max(sum(sizes[i] for i in x) for x in g) <= 2048
 

@@ -1,13 +1,14 @@
 """Filling fixed-capacity containers with items (problem 7): a grouping genetic algorithm on islands.
 
 An individual is a grouping of items into containers. Crossover injects whole well-filled containers of one parent into the other, drops
-the containers that now hold an item twice, and best-fits the displaced items; mutation empties the least filled containers the same way.
-Fitness is the mean square of the fill, which prefers few full containers over many half-full ones.
+the containers that now hold an item twice, lets displaced items take the places of smaller ones where that fills a container better, and best-fits the
+rest; mutation empties the least filled containers the same way. Fitness is the mean square of the fill, which prefers few full containers
+over many half-full ones.
 
 Distribution. Items are spread over blocks of bounded size (any items pack well together, so no key decides the block and none is
-hot). A block whose first greedy grouping already needs the least possible number of containers is done. The others evolve as islands, each
-its own task; after each round an island's best goes to the next island. What remains underfilled in all blocks is pooled, spread
-over new blocks and packed once more.
+hot) and written once; from then on only sizes and labels move. Each island of a block is its own task; after each round its elite goes on and its best
+also to the next island. A block whose first greedy grouping already needs the least possible number of containers has nothing to gain and stays as it
+is; its containers are named "greedy". What remains underfilled in all blocks is pooled, spread over new blocks and packed once more.
 
 An item larger than a container is split into full containers and one rest; no other item is split. Items of size 0 (null or empty
 texts) need no container and have no row. Null and repeated keys keep one row a piece.
@@ -20,10 +21,11 @@ import random
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from weftline.session import cut_lineage
+from weftline.session import cut_lineage, cut_partitioned
 
 CAPACITY = 2048
 BLOCK_ITEMS = 2000
@@ -31,6 +33,8 @@ ISLANDS = 3
 ROUNDS = 3
 GENERATIONS = 25
 POPULATION = 6
+#: Groupings of an island that live on to its next round.
+ELITE = 2
 #: Containers filled less than this are packed again across blocks.
 WELL_FILLED = 0.98
 
@@ -61,9 +65,27 @@ def least_containers(sizes: list[int], capacity: int) -> int:
     return max(math.ceil(sum(sizes) / capacity), sum(2 * s > capacity for s in sizes))
 
 
+def refill(groups: Grouping, loose: list[int], sizes: list[int], capacity: int) -> list[int]:
+    """Puts a displaced item in the place of a smaller one wherever that fills a container better (the best such exchange of each); gives what is loose then."""
+    pool = sorted((sizes[i], i) for i in loose)
+    for g in groups:
+        room = capacity - sum([sizes[i] for i in g])
+        best = (0, -1, -1)
+        for k, i in enumerate(g) if room and pool else ():
+            at = bisect_left(pool, (sizes[i] + room + 1, -1)) - 1
+            if at >= 0:
+                best = max(best, (pool[at][0] - sizes[i], k, at))
+        if best[0] > 0:
+            _, k, at = best
+            _, taken = pool.pop(at)
+            insort(pool, (sizes[g[k]], g[k]))
+            g[k] = taken
+    return [i for _, i in pool]
+
+
 def cross(a: Grouping, b: Grouping, sizes: list[int], capacity: int, rng: random.Random) -> Grouping:
     share = rng.uniform(0.1, 0.5)
-    full = sorted(b, key=lambda g: -sum(sizes[i] for i in g))[: max(1, len(b) // 2)]
+    full = sorted(b, key=lambda g: -sum([sizes[i] for i in g]))[: max(1, len(b) // 2)]
     given = rng.sample(full, max(1, int(len(full) * share)))
     held = {i for g in given for i in g}
     kept, loose = [list(g) for g in given], []
@@ -72,17 +94,18 @@ def cross(a: Grouping, b: Grouping, sizes: list[int], capacity: int, rng: random
             kept.append(list(g))
         else:
             loose += [i for i in g if i not in held]
-    return best_fit(kept, loose, sizes, capacity)
+    return best_fit(kept, refill(kept, loose, sizes, capacity), sizes, capacity)
 
 
 def mutate(a: Grouping, sizes: list[int], capacity: int, rng: random.Random) -> Grouping:
-    order = sorted(a, key=lambda g: sum(sizes[i] for i in g))
+    order = sorted(a, key=lambda g: sum([sizes[i] for i in g]))
     n = min(len(order), 2 + rng.randrange(4))
     opened = order[:n] + rng.sample(order[n:], min(len(order) - n, 1 + rng.randrange(3)))
     gone = {id(g) for g in opened}
     loose = [i for g in opened for i in g]
     rng.shuffle(loose)
-    return best_fit([list(g) for g in a if id(g) not in gone], loose, sizes, capacity)
+    kept = [list(g) for g in a if id(g) not in gone]
+    return best_fit(kept, refill(kept, loose, sizes, capacity), sizes, capacity)
 
 
 def evolve(people: list[Grouping], sizes: list[int], capacity: int, rng: random.Random, generations: int) -> list[Grouping]:
@@ -102,86 +125,94 @@ def evolve(people: list[Grouping], sizes: list[int], capacity: int, rng: random.
     return people
 
 
-def _labels(groups: Grouping, n: int) -> list[int]:
-    out = [0] * n
+def _labels(groups: Grouping, n: int) -> bytes:
+    out = np.empty(n, np.int32)
     for k, g in enumerate(groups):
-        for i in g:
-            out[i] = k
-    return out
+        out[g] = k
+    return out.tobytes()
 
 
-def _groups(labels) -> Grouping:
+def _groups(labels: bytes) -> Grouping:
     out: dict[int, list[int]] = {}
-    for i, k in enumerate(labels):
-        out.setdefault(int(k), []).append(i)
+    for i, k in enumerate(np.frombuffer(labels, np.int32).tolist()):
+        out.setdefault(k, []).append(i)
     return list(out.values())
 
 
-_STATE = "block long, island int, done boolean, items array<struct<key:{key},piece:int,size:int>>, people array<array<int>>"
+_STATE = "block long, island int, sizes binary, people array<binary>"
+_COLUMNS = ["block", "island", "sizes", "people"]
 
 
-def _islands(state: DataFrame, key_type: str, capacity: int, seed: int) -> DataFrame:
-    """The rounds: evolve each island, send its best to the next. Rows: block, items, labels of the best grouping."""
-    schema = _STATE.format(key=key_type)
+def _islands(sizes: DataFrame, capacity: int, seed: int, rounds: int) -> DataFrame:
+    """block, how ("greedy" or "evolved"), labels (the best grouping of each block). sizes: block, sizes (array). The rounds: evolve each island, send
+    its best to the next. Only sizes and elites move."""
 
     def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for block, items in zip(b["block"], b["items"]):
-                sizes = [int(x["size"]) for x in items]
-                first = best_fit([], list(range(len(sizes))), sizes, capacity)
-                done = len(first) <= least_containers(sizes, capacity)
-                rows = []
-                for island in range(1 if done else ISLANDS):
-                    rng = random.Random(f"{seed}/{block}/{island}")
-                    people = [first] + ([] if done else [mutate(first, sizes, capacity, rng) for _ in range(POPULATION - 1)])
-                    rows.append((block, island, done, items, [_labels(g, len(sizes)) for g in people]))
-                yield pd.DataFrame(rows, columns=["block", "island", "done", "items", "people"])
-
-    def one_round(r: int, last: bool):
+            rows = []
+            for block, own in zip(b["block"], b["sizes"]):
+                own = [int(x) for x in own]
+                first = best_fit([], list(range(len(own))), own, capacity)
+                done = rounds == 0 or len(first) <= least_containers(own, capacity)
+                data, people = np.array(own, np.int32).tobytes(), [_labels(first, len(own))]
+                rows += [(block, -1 if done else island, data, people) for island in range(1 if done else ISLANDS)]
+            yield pd.DataFrame(rows, columns=_COLUMNS)
+
+    def one_round(r: int):
         def run(g: pd.DataFrame) -> pd.DataFrame:
-            g = g.sort_values("island", kind="stable") if len(g) > 1 else g
             row = g.iloc[0]
-            people = [p for ps in g["people"] for p in ps]
-            block, island, items, done = int(row["block"]), int(row["island"]), row["items"], bool(g["done"].any())
-            if not done:
-                sizes = [int(x["size"]) for x in items]
-                found = evolve([_groups(p) for p in people], sizes, capacity, random.Random(f"{seed}/{block}/{island}/{r}"), GENERATIONS)
-                people = [_labels(x, len(sizes)) for x in found]
-            out = [(block, island, done, items, people)]
-            if not done and not last:  # the elite migrates
-                out.append((block, (island + 1) % ISLANDS, done, items, people[:1]))
-            return pd.DataFrame(out, columns=["block", "island", "done", "items", "people"])
+            block, island, own = int(row["block"]), int(row["island"]), np.frombuffer(row["sizes"], np.int32).tolist()
+            rng = random.Random(f"{seed}/{block}/{island}/{r}")
+            people = [_groups(p) for p in sorted({bytes(p) for ps in g["people"] for p in ps})]
+            people += [mutate(people[0], own, capacity, rng) for _ in range(POPULATION - len(people))]
+            elite = [_labels(x, len(own)) for x in evolve(people, own, capacity, rng, GENERATIONS)[:ELITE]]
+            out = [(block, island, row["sizes"], elite)]
+            if r < rounds - 1:  # the best migrates
+                out.append((block, (island + 1) % ISLANDS, row["sizes"], elite[:1]))
+            return pd.DataFrame(out, columns=_COLUMNS)
 
         return run
 
-    state = state.mapInPandas(begin, schema)
-    ready, work = state.where("done"), state.where("NOT done")
-    for r in range(ROUNDS):
-        work = work.groupBy("block", "island").applyInPandas(one_round(r, r == ROUNDS - 1), schema)
-    one = lambda df: df.select("block", "items", F.element_at("people", 1).alias("labels"))
-    best = one(work).withColumn("n", F.array_max("labels")).groupBy("block").agg(F.min_by("items", "n").alias("items"), F.min_by("labels", "n").alias("labels"))
-    return one(ready).unionByName(best)
+    def containers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["labels"] = [p[0] for p in b["people"]]
+            b["n"] = [int(np.frombuffer(x, np.int32).max()) for x in b["labels"]]
+            yield b[["block", "n", "labels"]]
+
+    state = cut_lineage(sizes.mapInPandas(begin, _STATE))
+    ready, work = state.where("island < 0"), state.where("island >= 0")
+    for r in range(rounds):
+        work = work.groupBy("block", "island").applyInPandas(one_round(r), _STATE)
+    best = work.mapInPandas(containers, "block long, n int, labels binary").groupBy("block").agg(F.min_by("labels", F.struct("n", "labels")).alias("labels"))
+    return ready.select("block", F.lit("greedy").alias("how"), F.element_at("people", 1).alias("labels")).unionByName(best.select("block", F.lit("evolved").alias("how"), "labels"))
 
 
-def _pack_blocks(items: DataFrame, level: int, capacity: int, block_items: int, total: int) -> DataFrame:
-    """(key, piece, size, container) of each item. items: key, piece, size; total: their number."""
+def _pack_blocks(items: DataFrame, level: int, capacity: int, block_items: int, total: int, rounds: int) -> DataFrame:
+    """(key, piece, size, container) of each item. items: key, piece, size, written already; total: their number."""
     blocks = max(1, math.ceil(total / block_items))
     # the row's own position is part of the hash, so that equal keys are spread too
     spread = F.pmod(F.xxhash64("key", "piece", "size", F.monotonically_increasing_id()), F.lit(blocks)).alias("block")
-    gathered = items.select(spread, F.struct("key", "piece", "size").alias("item")).groupBy("block").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    key_type = items.schema["key"].dataType.simpleString()
-    packed = _islands(gathered, key_type, capacity, level)
-    row = F.arrays_zip("items", "labels")
-    return packed.select("block", F.explode(row).alias("x")).select(
+    gathered = cut_partitioned(items.select(spread, F.struct("key", "piece", "size").alias("item")).groupBy("block").agg(F.collect_list("item").alias("items")))
+    packed = _islands(gathered.select("block", F.col("items.size").alias("sizes")), capacity, level, rounds)
+
+    def unfold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["labels"] = [np.frombuffer(x, np.int32) for x in b["labels"]]
+            yield b
+
+    labels = packed.mapInPandas(unfold, "block long, how string, labels array<int>")
+    row = gathered.join(labels, "block").select("block", "how", F.explode(F.arrays_zip("items", "labels")).alias("x"))
+    return row.select(
         F.col("x.items.key").alias("key"),
         F.col("x.items.piece").alias("piece"),
         F.col("x.items.size").alias("size"),
-        F.concat_ws("-", F.lit(level), "block", "x.labels").alias("container"),
+        F.concat_ws("-", F.lit(level), "how", "block", "x.labels").alias("container"),
     )
 
 
-def pack(sized: DataFrame, key: str, size: str, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """One row a piece: key, piece (0 for a whole item), start (in units of size), size, container. Null sizes count as 0."""
+def pack(sized: DataFrame, key: str, size: str, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS, rounds: int = ROUNDS) -> DataFrame:
+    """One row a piece: key, piece (0 for a whole item), start (in units of size), size, container ("level-how-block-number", or "full-..."). Null sizes
+    count as 0. rounds: of evolution; with 0 only the greedy groupings remain, for comparison."""
     if block_items < 1 or capacity < 1:
         raise ValueError("capacity and block_items must be positive")
     rows = cut_lineage(sized.select(F.col(key).alias("key"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("total")).where("total > 0"))
@@ -190,12 +221,13 @@ def pack(sized: DataFrame, key: str, size: str, capacity: int = CAPACITY, block_
     )
     full = full.select("key", "piece", F.lit(capacity).alias("size"), F.concat_ws("-", F.lit("full"), "at", "piece").alias("container"))
     rest = rows.where(F.col("total") % capacity > 0).select("key", F.expr(f"CAST(total DIV {capacity} AS INT)").alias("piece"), (F.col("total") % capacity).cast("int").alias("size"))
-    first = cut_lineage(_pack_blocks(rest, 1, capacity, block_items, rest.count()))
+    rest = cut_lineage(rest)
+    first = cut_lineage(_pack_blocks(rest, 1, capacity, block_items, rest.count(), rounds))
     used = first.groupBy("container").agg(F.sum("size").alias("used"))
     weak = used.where(F.col("used") < WELL_FILLED * capacity).select("container")
     again = cut_lineage(first.join(weak, "container", "left_semi").select("key", "piece", "size"))
     kept = first.join(weak, "container", "left_anti").select("key", "piece", "size", "container")
-    second = _pack_blocks(again, 2, capacity, block_items, again.count())
+    second = _pack_blocks(again, 2, capacity, block_items, again.count(), rounds)
     return full.unionByName(kept).unionByName(second).select(
         F.col("key").alias(key), "piece", (F.col("piece").cast("long") * capacity).alias("start"), "size", "container"
     )
