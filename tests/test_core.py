@@ -8,9 +8,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weftline.functions import dom, urls
+from weftline.functions import dom, page_safety, urls
 from weftline.functions.urls import py_canonical_url, py_fingerprint, site_key
-from weftline.operators import crawl, frontier, skew, tech
+from weftline.operators import crawl, frontier, pages, skew, tech
 
 URLS = [
     ("HTTP://Example.COM:80/a%2fb?b=2&a=1#x", "http://example.com/a%2Fb?a=1&b=2"),
@@ -125,32 +125,51 @@ PAGE = """<html><body><nav><a href=/x>Home</a></nav><main id=m class="a b"><h1>T
 
 
 def test_dom():
-    main = dom.main_content(PAGE)
+    view = lambda x: dom.View(dom.parse(x))
+    main = dom.main_content(view(PAGE))
     md = dom.to_markdown(main)
     assert "# T & U" in md and "One **bold**" in md and "[link](/l)" in md and "- i\n- j" in md and "```\nx\n y\n```" in md and "foot" not in md
-    assert [n.tag for n in dom.select(dom.parse(PAGE), "main > p, #m li, [href^='/l']")] == ["p", "p", "a", "li", "li"]
-    assert dom.sanitise_tree(dom.parse(PAGE))["hidden_style"] == 1
-    assert dom.filter_tags(PAGE, include=("h1",)) == "<div><h1>T &amp; U</h1></div>" and "foot" not in dom.filter_tags(PAGE, exclude=("footer",))
-    roles = dom.accessibility(dom.parse(PAGE))
+    assert [n.tag for n in view(PAGE).select("main > p, #m li, [href^='/l']")] == ["p", "p", "a", "li", "li"]
+    assert page_safety.sanitise_view(view(PAGE)) == {"hidden-text": 1}
+    assert dom.included(view(PAGE), ("h1",)).outer() == "<div><h1>T &amp; U</h1></div>" and "foot" not in dom.excluded(view(PAGE), ("footer",)).outer()
+    roles = dom.accessibility(view(PAGE))
     assert [r["role"] for r in roles[:4]] == ["navigation", "link", "main", "heading"] and roles[1]["depth"] == 1
-    for bad in ("", "<", "<p", "<b><i></b>", "</p></div>", "<a href='x"):
-        dom.main_content(bad), dom.accessibility(dom.parse(bad))
+    for bad in ("", "<", "<p", "<b><i></b>", "</p></div>", "<a href='x", "<![", "<!x", "<div>" * 5000 + "deep"):
+        v = view(bad)
+        dom.main_content(v), dom.accessibility(v), dom.to_markdown(v), v.outer(), page_safety.sanitise_view(v)
     with pytest.raises(ValueError):
-        dom.select(dom.parse(PAGE), "a:hover")
+        view(PAGE).select("a:hover")
 
 
-def test_tech_closure():
-    assert tech.closure([("a", "b", 50), ("b", "c", 80), ("c", "a", 10), ("a", "b", 60)]) == [("a", "b", 60), ("a", "c", 80), ("b", "a", 10), ("b", "c", 80), ("c", "a", 10), ("c", "b", 60)]
-    assert tech.parse_pattern("t", "c", "html", "", "(") is None
-    assert tech.overlay([("a", 1), ("b", 2)], [("a", 1), ("c", 3)], {"b"}) == [("a", 1), ("c", 3)]
-
-
-def test_tech_signals(spark):
-    page = spark.createDataFrame([(1, "<p class=shop>", {"Set-Cookie": "sid=abc"})], "id int, html string, headers map<string,string>")
-    for signal, key in (("url", ""), ("dom", ""), ("js", "x"), ("scripts", ""), ("css", ""), ("cookies", "s*")):
-        with pytest.raises(ValueError):
-            tech.detect(page, "id", "html", "headers", [("T", "C", signal, key, "shop")], [])
-    assert [r.tech for r in tech.detect(page, "id", "html", "headers", [("T", "C", "cookies", "sid", "^9$")], []).collect()] == ["T"]
+def test_prepared_pages(spark):
+    with pytest.raises(ValueError):
+        pages.PageOptions(include=("p",), exclude=("a",))
+    rows = [(1, PAGE), (2, None), (3, ""), (4, "no tags & more"), (5, PAGE)]
+    df = spark.createDataFrame([(i, x, "clash") for i, x in rows], "id long, page string, content string")
+    got = {r.id: r for r in pages.prepared(df, "id", "page", pages.PageOptions(degree=None, exclude=("nav",), query="link")).collect()}
+    assert got[2].content == got[3].content == "" and got[4].content == "no tags & more" and "hidden from view" not in got[1].html and got[1].findings[0].category == "hidden-text"
+    assert sorted(r.id for r in pages.distinct_pages(pages.prepared(df, "id", "page"), "id").collect()) == [1, 2, 3, 4]
+    assert pages.prepared(df.limit(0), "id", "page").count() == 0
+
+
+def test_tech_book():
+    assert tech.closure({"a": [("b", 50), ("b", 60)], "b": [("c", 80)], "c": [("a", 10)]}) == {"a": {"b": 60, "c": 80}, "b": {"a": 10, "c": 80}, "c": {"a": 10, "b": 60}}
+    assert tech.parse_pattern("t", "html", "", "(") is None
+    base = {"a": {"html": ["x"], "meta": {"g": "1"}, "dom": {"p": {"text": "t"}}, "implies": ["b", "c"]}, "b": {"dom": ["q"]}}
+    got = tech.overlay(base, {"a": {"html": ["x", "y"], "meta": {"h": "2"}, "dom": ["i"]}, "b": {"dom": {"r": {}}}, "d": {"url": "u"}}, {"c"})
+    assert got["a"] == {"html": ["x", "y"], "meta": {"g": "1", "h": "2"}, "dom": {"i": {}, "p": {"text": "t"}}, "implies": ["b"]} and got["b"]["dom"] == {"q": {}, "r": {}} and got["d"] == {"url": "u"}
+    assert tech.fixed_part(r"(?:a|b)jquery[.-]min") == "jquery" and tech.fixed_part("a.b") == "" and tech.fixed_part("abc?d") == ""
+    assert tech.selector_regexes("a.ad") is None and tech.selector_regexes("[x]") is None and tech.selector_regexes("p.shop-x")
+    m = __import__("re").search("(a)(b)?", "ab")
+    assert tech.version_of(m, "\\1.\\2") == "a.b" and tech.version_of(m, "x\\3") == "x"
+
+
+def test_tech_signals_of_odd_pages(spark):
+    book = tech.Book.of({"T": {"cats": [5], "cookies": {"sid": "^9$", "s_*": r"(\d)\;version:\1"}, "implies": "U"}, "U": {}, "V": {"implies": "none"}})
+    page = spark.createDataFrame([(1, "<p>", {"Set-Cookie": "sid=abc; path=/"}), (2, None, None), (3, "", {"set-cookie": "s_x=7"})], "id int, html string, headers map<string,string>")
+    got = {r.id: [(x.tech, x.version, x.categories) for x in r.technologies] for r in tech.detect(page, "id", "html", headers="headers", book=book).collect()}
+    assert got == {1: [("T", None, ["5"]), ("U", None, [])], 2: [], 3: [("T", "7", ["5"]), ("U", None, [])]}
+    assert tech.detect(page.limit(0), "id", "html").count() == 0
 
 
 def test_unseen_and_one_per_host(spark):

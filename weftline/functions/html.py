@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from weftline.functions.text import strip
+from weftline.functions.text import first_of, last_of_keys, strip
 from weftline.functions.urls import is_web_url, origin_of
 
 _SPACE_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
@@ -79,7 +79,7 @@ def images(html: Column, base: Column) -> Column:
     source = F.transform(tags(html, "source"), lambda t: shape(F.split(F.split(attribute(t, "srcset"), ",")[0], " ")[0], F.lit(""), null, null))
     og = F.transform(F.filter(tags(html, "meta"), lambda t: attribute(t, "property") == "og:image"), lambda t: shape(attribute(t, "content"), F.lit(""), null, null))
     found = F.filter(F.concat(img, source, og), lambda x: x["url"].isNotNull())
-    return F.filter(found, lambda x, i: ~F.exists(F.slice(found, 1, i), lambda y: y["url"] == x["url"]))
+    return first_of(found, lambda x: x["url"])
 
 
 def meta_map(html: Column, attribute_name: str, prefix: str) -> Column:
@@ -87,8 +87,7 @@ def meta_map(html: Column, attribute_name: str, prefix: str) -> Column:
     entries = F.transform(tags(html, "meta"), lambda t: F.struct(attribute(t, attribute_name).alias("key"), attribute(t, "content").alias("value")))
     kept = F.filter(entries, lambda e: e["key"].startswith(prefix) & (F.coalesce(e["value"], F.lit("")) != ""))
     cut = F.transform(kept, lambda e: F.struct(F.substring(e["key"], len(prefix) + 1, 1 << 30).alias("key"), e["value"].alias("value")))
-    last = F.filter(cut, lambda e, i: ~F.exists(F.slice(cut, i + 2, F.size(cut)), lambda o: o["key"] == e["key"]))
-    return F.map_from_entries(last)
+    return last_of_keys(cut)
 
 
 def json_ld(html: Column) -> Column:
@@ -133,7 +132,7 @@ def spec_links(html: Column, base: Column) -> Column:
     s = F.transform(F.filter(scripts, lambda u: u.rlike(r"(?i)(swagger|openapi|api-docs)|\.(json|ya?ml)$")), lambda u: shape(u, "script", 0.95))
     rel = F.transform(F.filter(tags(html, "link"), lambda t: F.lower(attribute(t, "rel")).contains("api")), lambda t: shape(attribute(t, "href"), "rel", 0.85))
     found = F.filter(F.concat(a, s, rel), lambda x: x["url"].isNotNull())
-    return F.filter(found, lambda x, i: ~F.exists(F.slice(found, 1, i), lambda y: y["url"] == x["url"]))
+    return first_of(found, lambda x: x["url"])
 
 
 def spec_valid(body: Column) -> Column:

@@ -6,6 +6,7 @@ import fnmatch
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from weftline.functions.text import last_of_keys
 from weftline.functions.urls import host_of
 
 
@@ -20,8 +21,7 @@ def header_map(text: Column) -> Column:
     from_json = F.from_json(text, "map<string,string>")
     lines = F.filter(F.split(text, "\n"), lambda x: x.contains(":"))
     pairs = F.transform(lines, lambda x: F.struct(F.trim(F.regexp_extract(x, r"^([^:]*):", 1)).alias("key"), F.trim(F.regexp_extract(x, r"(?s)^[^:]*:(.*)$", 1)).alias("value")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    return F.when(F.trim(text).startswith("{"), from_json).otherwise(F.map_from_entries(last))
+    return F.when(F.trim(text).startswith("{"), from_json).otherwise(last_of_keys(pairs))
 
 
 def basic_auth(user: Column, password: Column) -> Column:
@@ -71,7 +71,7 @@ def sanitised_values(values: Column) -> Column:
     """OP-147: each string of a map without hidden signs and injected lines."""
     from weftline.functions.safety import hidden_signs, injection_lines
 
-    return F.transform_values(values, lambda k, v: injection_lines(hidden_signs(v)["text"])["text"])
+    return F.transform_values(values, lambda k, v: injection_lines(hidden_signs(F.coalesce(v, F.lit("")))["text"])["text"])
 
 
 # Classes of a subscription wall.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Lines that are interface and not content, whole and by pattern.
 CRUFT_LINES = (
@@ -80,11 +80,23 @@ def truncate_at_line(text: Column, limit: int) -> Column:
     return F.when(F.length(text) <= limit, text).when(head.contains("\n"), F.regexp_extract(head, r"(?s)^(.*)\n", 1)).otherwise(head)
 
 
+def first_of(items: Column, key) -> Column:
+    """The items of an array whose key has not come before. Places are looked up in the array of distinct keys, which keeps their first order."""
+    keys = F.transform(items, key)
+    return F.transform(F.array_distinct(keys), lambda k: F.element_at(items, F.array_position(keys, k).cast("int")))
+
+
+def last_of_keys(pairs: Column) -> Column:
+    """An array of (key, value) as a map; of a repeated key the last holds."""
+    back = F.reverse(pairs)
+    keys = F.transform(back, lambda p: p["key"])
+    return F.map_from_entries(F.reverse(F.transform(F.array_distinct(keys), lambda k: F.element_at(back, F.array_position(keys, k).cast("int")))))
+
+
 def signal_map(header: Column) -> Column:
     """OP-102: "a=b, c=d" to a map with lower-case keys; parts without = are left out, of a repeated key the last holds."""
     pairs = F.transform(F.filter(F.split(header, ","), lambda p: p.contains("=")), lambda p: F.struct(F.lower(F.trim(F.regexp_extract(p, r"^([^=]*)=", 1))).alias("key"), F.trim(F.regexp_extract(p, r"^[^=]*=(.*)$", 1)).alias("value")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(last)
+    return last_of_keys(pairs)
 
 
 def duration_seconds(text: Column) -> Column:
@@ -101,54 +113,62 @@ def slug(text: Column) -> Column:
 
 
 def sections(df: DataFrame, key: str, text: str) -> DataFrame:
-    """OP-98: level, title, slug and body of each H2 and H3 of a Markdown text; a body runs to the next heading of its own or a higher level.
-
-    The lines of one text are one window partition (texts are bounded, keys with many texts should carry a finer key)."""
-    lines = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.posexplode(F.split(text, "\n", -1)).alias("no", "line"))
-    level = F.length(F.regexp_extract("line", r"^(#{1,3})\s+\S", 1))
-    lines = lines.withColumn("level", F.when(level > 0, level))
-    after = Window.partitionBy("k").orderBy("no").rowsBetween(1, Window.unboundedFollowing)
-    ends = lines.select(
-        "k", "no", "line", "level",
-        F.min(F.when(F.col("level") <= 2, F.col("no"))).over(after).alias("end2"),
-        F.min(F.when(F.col("level") <= 3, F.col("no"))).over(after).alias("end3"),
-        F.max("no").over(Window.partitionBy("k")).alias("last"),
-    )
-    end = F.coalesce(F.when(F.col("level") == 2, F.col("end2")).otherwise(F.col("end3")), F.col("last") + 1)
-    heads = ends.where("level IN (2, 3)").select("k", "no", F.col("level").cast("int").alias("level"), strip(F.regexp_replace("line", r"^#+\s+", "")).alias("title"), end.alias("end"))
-    whole = df.select(F.col(key).alias("k"), F.split(text, "\n", -1).alias("lines"))
-    body = strip(F.array_join(F.slice("lines", F.col("no") + 2, F.col("end") - F.col("no") - 1), "\n"))
-    return heads.join(whole, "k").select(F.col("k").alias(key), "no", "level", "title", slug(F.col("title")).alias("slug"), body.alias("body"))
-
-
-def relevant_paragraphs(df: DataFrame, key: str, text: str, query: str, top: int = 10) -> DataFrame:
-    """OP-97: the paragraphs of each text that match a query best, in their order; the whole text where none does.
+    """OP-98: no (of the line), level, title, slug and body of each H2 and H3 of a Markdown text; a body runs to the next heading of its own or a higher
+    level. All inside array functions: nothing is shuffled."""
+    lines = F.split(text, "\n", -1)
+    level = lambda x: F.length(F.regexp_extract(x, r"^(#{1,3})\s+\S", 1))
+    heads = F.filter(F.transform("_lines", lambda x, i: F.struct(i.alias("no"), level(x).alias("level"))), lambda h: h["level"] > 0)
+    cut = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), lines.alias("_lines")).select("k", "_lines", heads.alias("_heads")).where(F.size("_heads") > 0)
+    each = cut.select("k", "_lines", "_heads", F.posexplode("_heads").alias("_at", "h")).where("h.level IN (2, 3)")
+    after = F.filter(F.slice("_heads", F.col("_at") + 2, F.size("_heads")), lambda g: g["level"] <= F.col("h.level"))
+    end = F.coalesce(F.get(after, F.lit(0))["no"], F.size("_lines"))
+    title = strip(F.regexp_replace(F.get("_lines", F.col("h.no")), r"^#+\s+", ""))
+    body = strip(F.array_join(F.slice("_lines", F.col("h.no") + 2, end - F.col("h.no") - 1), "\n"))
+    return each.select(F.col("k").alias(key), F.col("h.no").alias("no"), F.col("h.level").cast("int").alias("level"), title.alias("title"), slug(title).alias("slug"), body.alias("body"))
+
+
+def relevant(text: Column, query: str, top: int = 10) -> Column:
+    """OP-97: the paragraphs of a text that match a query best, in their order; the whole text where none does.
 
     Score of a paragraph of five words or more: the sum over terms of (count / words) * ln(n / (1 + df)), df being the paragraphs that contain the
-    term anywhere; twice that for headings with a term, 0.3 of it where over 0.3 brackets a word stand. All inside array functions: no shuffle.
+    term anywhere; twice that for headings with a term, 0.3 of it where over 0.3 brackets a word stand. Inside array functions: no shuffle. Each
+    term's paragraphs are counted once a text, and each paragraph is split once.
     """
-    terms = [t for t in dict.fromkeys(query.lower().split())]
+    terms = list(dict.fromkeys(query.lower().split()))
+    equals = lambda t: lambda w: w == t
     paras = F.filter(F.transform(F.split(text, "\n\n"), strip), lambda p: p != "")
-    with_paras = df.select(F.col(key), F.col(text).alias("_text"), paras.alias("_paras"))
-    n = F.size("_paras").cast("double")
-
-    def score(p: Column) -> Column:
-        ws = words(F.lower(p))
-        size = F.size(ws)
-        total = F.lit(0.0)
-        any_term = F.lit(False)
-        for t in terms:
-            df_t = F.size(F.filter("_paras", lambda q: F.lower(q).contains(t)))
-            total = total + F.size(F.filter(ws, lambda w: w == t)) / size * F.ln(n / (1 + df_t))
-            any_term = any_term | F.lower(p).contains(t)
-        total = F.when(p.startswith("#") & any_term, total * 2).otherwise(total)
-        crowded = (F.length(p) - F.length(F.replace(p, F.lit("["), F.lit("")))) / size > 0.3
-        return F.when(size < 5, F.lit(0.0)).otherwise(F.when(crowded, total * 0.3).otherwise(total))
-
-    scored = F.transform("_paras", lambda p, i: F.struct((-score(p)).alias("s"), i.alias("i"), p.alias("p")))
-    best = F.slice(F.array_sort(F.filter(scored, lambda x: x["s"] < 0)), 1, top)
-    ordered = F.transform(F.array_sort(F.transform(best, lambda x: F.struct(x["i"].alias("i"), x["p"].alias("p")))), lambda x: x["p"])
-    return with_paras.select(key, F.when(F.size(best) > 0, F.array_join(ordered, "\n\n")).otherwise(F.col("_text")).alias("text"))
+    # a paragraph with what its score needs: words, and of each term its count and whether it is anywhere in it
+    told = F.transform(
+        paras,
+        lambda p, i: F.struct(
+            i.alias("i"), p.alias("p"), F.size(words(p)).alias("size"),
+            F.array(*[F.size(F.filter(words(F.lower(p)), equals(t))) for t in terms]).alias("n"), F.array(*[F.lower(p).contains(t) for t in terms]).alias("has"),
+        ),
+    )
+    zero = F.array(*[F.lit(0)] * len(terms))
+    holding = F.aggregate(told, zero, lambda acc, x: F.zip_with(acc, x["has"], lambda a, h: a + h.cast("int")))
+    # the counts are put into every paragraph as an array of one, so that they are computed once
+    rarity = F.transform(F.array(F.struct(told.alias("ps"), holding.alias("df"))), lambda y: F.struct(y["ps"].alias("ps"), F.transform(y["df"], lambda d: F.ln(F.size(y["ps"]).cast("double") / (1 + d))).alias("idf")))
+
+    def score(x: Column, idf: Column) -> Column:
+        total = F.aggregate(F.zip_with(x["n"], idf, lambda n, r: n / x["size"] * r), F.lit(0.0), lambda acc, v: acc + v)
+        total = F.when(x["p"].startswith("#") & F.exists(x["has"], lambda h: h), total * 2).otherwise(total)
+        crowded = (F.length(x["p"]) - F.length(F.replace(x["p"], F.lit("["), F.lit("")))) / x["size"] > 0.3
+        return F.when(x["size"] < 5, F.lit(0.0)).otherwise(F.when(crowded, total * 0.3).otherwise(total))
+
+    def best(y: Column) -> Column:
+        scored = F.filter(F.transform(y["ps"], lambda x: F.struct((-score(x, y["idf"])).alias("s"), x["i"].alias("i"), x["p"].alias("p"))), lambda x: x["s"] < 0)
+        chosen = F.slice(F.array_sort(scored), 1, top)
+        return F.array_join(F.transform(F.array_sort(F.transform(chosen, lambda x: F.struct(x["i"].alias("i"), x["p"].alias("p")))), lambda x: x["p"]), "\n\n")
+
+    if not terms:
+        return text
+    return F.coalesce(F.nullif(F.transform(rarity, best)[0], F.lit("")), text)
+
+
+def relevant_paragraphs(df: DataFrame, key: str, text: str, query: str, top: int = 10) -> DataFrame:
+    """OP-97 over a table: key, text."""
+    return df.select(key, relevant(F.col(text), query, top).alias("text"))
 
 
 # Content types that are text, and file extensions that are not.

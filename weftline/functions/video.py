@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from weftline.functions.html import attribute, resolve, tags
+from weftline.functions.text import first_of
 
 # File endings that are videos, hosts of advertising and tracking, and the order of types.
 ENDINGS = ("mp4", "webm", "m3u8", "mpd", "mov", "avi")
@@ -56,6 +57,6 @@ def videos(html: Column, base: Column) -> Column:
     raw = F.concat(page, of("video", "src", "direct"), F.filter(of("source", "src", "direct"), is_file), frames, F.filter(of("a", "href", "direct"), is_file), meta, scripts)
     every = F.transform(F.filter(raw, lambda x: x["url"].isNotNull()), _named)
     good = F.filter(every, lambda x: ~x["url"].rlike(r"^(?:blob|data|javascript):") & ~x["url"].rlike(ADVERTISING))
-    first = F.filter(good, lambda x, i: ~F.exists(F.slice(good, 1, i), lambda y: y["url"] == x["url"]))
+    first = first_of(good, lambda x: x["url"])
     ordered = F.array_sort(F.transform(first, lambda x, i: F.struct(x["order"].alias("order"), i.alias("i"), x["type"].alias("type"), x["url"].alias("url"), x["format"].alias("format"))))
     return F.transform(ordered, lambda x: F.struct(x["type"].alias("type"), x["url"].alias("url"), x["format"].alias("format")))

@@ -38,10 +38,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A scan of small files over all cores, for work that costs far more than a shuffle of its rows. Scans of enough partitions stay as they are.
-    ``scan`` must be no more than a read, a projection or a filter, as its physical plan is made here."""
+    """A scan of fewer files than cores, spread over all cores, for work that costs far more than a shuffle of its rows. Scans of more files stay as they are."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
+    return scan.repartition(cores) if len(scan.inputFiles()) < cores else scan
 
 
 def shuffle_width(spark: SparkSession) -> int:
