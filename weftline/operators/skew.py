@@ -53,3 +53,23 @@ def eager_join(
 def roll_up(states: DataFrame, keys: Mapping[str, Column], columns: Sequence[str]) -> DataFrame:
     """States of finer keys summed to coarser ones."""
     return states.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(*[F.sum(c).alias(c) for c in columns])
+
+
+#: Rows of a table up to which it is broadcast, and copies of its rows beyond that.
+BROADCAST_ROWS, SALTS = 100_000, 16
+
+
+def lookup(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """``df`` with the columns of the row of ``small`` that has its keys (null keys meet null ones). ``small`` has a row a key; it is broadcast if a count
+    allows it, else each of its rows meets a part of the key's rows, so that a hot key is spread. Columns of both sides must differ but for the keys."""
+    clash = (set(df.columns) & set(small.columns)) - set(keys)
+    if clash:
+        raise ValueError(f"columns on both sides: {sorted(clash)}")
+    r = small.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in small.columns if c not in keys])
+    same = [df[k].eqNullSafe(r[f"_k{i}"]) for i, k in enumerate(keys)]
+    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(r), same, how).drop(*[f"_k{i}" for i in range(len(keys))])
+    left = df.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in df.columns if c not in keys] or keys), F.lit(SALTS)).cast("int"))
+    r = r.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = left.join(r, [left[k].eqNullSafe(r[f"_k{i}"]) for i, k in enumerate(keys)] + [left["_salt"] == r["_s"]], how)
+    return met.drop("_salt", "_s", *[f"_k{i}" for i in range(len(keys))])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from weftline.functions.urls import site_key
 from weftline.operators import frontier as fr
@@ -21,9 +21,108 @@ def frontier_visits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def frontier_unseen(spark: SparkSession, folder: str) -> DataFrame:
+    """OP-45, 46 over stored keys; rows without one are keyed in ``frontier_unseen_keyed``."""
     return fr.unseen(table(spark, folder, "frontier").select("fp", "seq", "url"), table(spark, folder, "visited")).select("seq", "url")
 
 
+def frontier_unseen_keyed(spark: SparkSession, folder: str) -> DataFrame:
+    """OP-45, 46, 108: the same with null keys derived from method and url (BLAKE2, which SQL lacks)."""
+    f = fr.keyed(table(spark, folder, "frontier").select("fp", "seq", "url", "method"), "method")
+    return fr.unseen(f, fr.keyed(table(spark, folder, "visited").select("fp", "url"))).select("seq", "url")
+
+
+def _stats(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "domain_stats").dropDuplicates(["job_id", "hostname"])
+
+
+#: A moment within the tables' times.
+NOW = 1767225600.0
+
+
+def frontier_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """OP-42"""
+    return fr.with_stats(table(spark, folder, "frontier").select("seq", "job_id", "hostname"), _stats(spark, folder)).select("seq", "consecutive_fails", "snooze_until", "sick_until", "ewma_response_ms")
+
+
+def frontier_budget(spark: SparkSession, folder: str) -> DataFrame:
+    """OP-43"""
+    return fr.with_budget(table(spark, folder, "frontier").select("seq", "hostname"), table(spark, folder, "domain_budget")).select("seq", "max_urls", "max_bytes", "max_seconds")
+
+
+def frontier_eligible(spark: SparkSession, folder: str) -> DataFrame:
+    """OP-171: what may be fetched."""
+    return fr.eligible(table(spark, folder, "frontier"), _stats(spark, folder), table(spark, folder, "domain_budget"), NOW).select("seq", "hostname", "priority")
+
+
+def frontier_next_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """OP-171: the next hundred."""
+    return fr.next_batch(table(spark, folder, "frontier"), _stats(spark, folder), table(spark, folder, "domain_budget"), NOW, 100).select("seq", "hostname", "priority", "added_at")
+
+
+def frontier_statuses(spark: SparkSession, folder: str) -> DataFrame:
+    return fr.by_status(table(spark, folder, "frontier"))
+
+
+def frontier_dead(spark: SparkSession, folder: str) -> DataFrame:
+    return fr.dead_letters(table(spark, folder, "frontier"))
+
+
+def frontier_admission(spark: SparkSession, folder: str) -> DataFrame:
+    """OP-31: what would be skipped or given up, and why."""
+    f = table(spark, folder, "frontier")
+    a = fr.admission(F.col("depth"), F.col("url").rlike("^https?://"), ~F.col("url").contains("/private"), 2)
+    return f.select("seq", a.alias("a")).select("seq", "a.*")
+
+
+def visited_upserted(spark: SparkSession, folder: str) -> DataFrame:
+    """OP-175, 176: earlier visits with those of the last 30 days put in."""
+    v = table(spark, folder, "visited").withColumn("fetched_at", F.coalesce("fetched_at", F.lit(0.0)))
+    late = F.col("fetched_at") >= NOW - 30 * 86400.0
+    return fr.upserted(v.where(~late), v.where(late), 7.0).select(F.lower(F.hex("fp")).alias("fp"), "status_code", "etag", "fetched_at", "next_refresh_at")
+
+
+def visited_due(spark: SparkSession, folder: str) -> DataFrame:
+    return fr.due(table(spark, folder, "visited"), NOW).select(F.lower(F.hex("fp")).alias("fp"), "next_refresh_at")
+
+
+def frontier_starts(spark: SparkSession, folder: str) -> DataFrame:
+    """OP-178: when each frontier row could start at two a second and host."""
+    f = table(spark, folder, "frontier").select("seq", F.coalesce("hostname", F.lit("")).alias("hostname"), "added_at")
+    return fr.earliest_starts(f, "hostname", "seq", "added_at", 2.0).select("seq", F.round("start", 3).alias("start"))
+
+
+def crawl_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """OP-73, 74: records by job: fetched, failed, unchanged."""
+    c = table(spark, folder, "crawl_results").groupBy("job_id").agg(F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+    v = table(spark, folder, "visited").groupBy("job_id").agg(F.count_if(F.col("status_code") == 304).alias("unchanged"))
+    return c.join(v, c["job_id"].eqNullSafe(v["job_id"]), "left").select(c["job_id"], "ok", "errors", F.coalesce("unchanged", F.lit(0)).alias("unchanged"))
+
+
+def outcomes_until_terminal(spark: SparkSession, folder: str) -> DataFrame:
+    """OP-72: answers of each site by kind; those after its first terminal one are skipped."""
+    r = table(spark, folder, "responses").select(site_key(F.lit(None).cast("string"), F.col("url")).alias("site"), "response_id", F.coalesce("kind", F.lit("ok")).alias("outcome"), F.coalesce("terminal", F.lit(False)).alias("terminal"))
+    return fr.until_terminal(r, "site", "response_id", "outcome", "terminal")
+
+
+def log_noted(spark: SparkSession, folder: str) -> DataFrame:
+    """OP-56, 59: totals where failures that will be tried again are only noted."""
+    t = fr.host_totals(log_distinct(spark, folder), _host(), fr.event_kind(F.col("ok"), F.col("status_code")))
+    return t.withColumn("seconds_spent", F.round("seconds_spent", 4))
+
+
+def log_pauses(spark: SparkSession, folder: str) -> DataFrame:
+    """OP-58, 61: until when hosts pause and rest at a moment, by their statistics."""
+    s = table(spark, folder, "domain_stats")
+    pause = fr.snoozed_until(F.col("snooze_until"), F.lit(NOW), F.coalesce(F.col("ewma_response_ms") / 10, F.lit(5.0)))
+    return s.select("job_id", "hostname", F.round(pause, 3).alias("snooze_until"), fr.sick_until(F.col("sick_until"), F.lit(NOW), F.col("consecutive_fails")).alias("sick_until"))
+
+
+def log_by_day(spark: SparkSession, folder: str) -> DataFrame:
+    """OP-71: time spent by day, the newest thirty days."""
+    d = log_distinct(spark, folder).where("fetched_at IS NOT NULL").groupBy(F.to_date("fetched_at").alias("day")).agg(F.round(F.sum("response_ms"), 2).alias("ms"))
+    return d.orderBy(F.desc("day")).limit(30)
+
+
 def frontier_one_per_host(spark: SparkSession, folder: str) -> DataFrame:
     f = table(spark, folder, "frontier").select(site_key(F.col("hostname"), F.col("url")).alias("hostname"), "seq", "priority", "added_at")
     return fr.one_per_host(f)
@@ -44,7 +143,8 @@ def log_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def log_ewma(spark: SparkSession, folder: str) -> DataFrame:
-    e = fr.ewma(log_distinct(spark, folder).where("ok"), _host())
+    log = log_distinct(spark, folder)
+    e = fr.ewma(log.where(fr.event_kind(F.col("ok"), F.col("status_code")) != "noted"), _host())  # ok ones and failures that are final
     return e.select("hostname", F.round("ewma_ms", 4).alias("ewma_ms"), F.round(fr.delay_seconds(F.col("ewma_ms")), 6).alias("delay_s"))
 
 
@@ -69,8 +169,8 @@ def stats_within_budget(spark: SparkSession, folder: str) -> DataFrame:
 
 def frontier_gaps(spark: SparkSession, folder: str) -> DataFrame:
     """OP-79, 80: of each job and depth, seq's distance to the one before, and rows so far."""
-    w = Window.partitionBy("job_id", "depth").orderBy("seq")
-    return table(spark, folder, "frontier").where("job_id IS NOT NULL").select("seq", (F.col("seq") - F.lag("seq").over(w)).alias("gap"), F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("so_far"))
+    f = table(spark, folder, "frontier").select("job_id", "depth", "seq")
+    return fr.in_order(f, ["job_id", "depth"], "seq").select("seq", (F.col("seq") - F.col("before")).alias("gap"), F.col("place").alias("so_far"))
 
 
 def urls_first_source(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,16 +180,42 @@ def urls_first_source(spark: SparkSession, folder: str) -> DataFrame:
     return fr.first_of_each(u("frontier", "url", 1).unionByName(u("visited", "url", 2)).unionByName(links), "url", "prio", "source").groupBy("source").agg(F.count(F.lit(1)).alias("urls"))
 
 
-QUERIES = {f.__name__: f for f in (frontier_visits, frontier_unseen, frontier_one_per_host, frontier_by_depth, log_totals, log_ewma, log_fails_in_a_row, log_by_hour, stats_within_budget, frontier_gaps, urls_first_source)}
+QUERIES = {f.__name__: f for f in (frontier_visits, frontier_unseen, frontier_unseen_keyed, frontier_stats, frontier_budget, frontier_eligible, frontier_next_batch, frontier_statuses, frontier_dead, frontier_admission, visited_upserted, visited_due, frontier_starts, crawl_counts, outcomes_until_terminal, log_noted, log_pauses, log_by_day, frontier_one_per_host, frontier_by_depth, log_totals, log_ewma, log_fails_in_a_row, log_by_hour, stats_within_budget, frontier_gaps, urls_first_source)}
 _LATEST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY coalesce(fetched_at, '-infinity'::DOUBLE) DESC, coalesce(url, '') DESC, coalesce(job_id, '') DESC, coalesce(status_code, -1) DESC) AS k FROM visited WHERE fp IS NOT NULL) WHERE k = 1)"
 _LOG = f"(SELECT DISTINCT *, {LOG_HOST} AS h FROM fetch_log)"
+_FROM = "FROM frontier f LEFT JOIN (SELECT DISTINCT ON (job_id, hostname) * FROM domain_stats) d ON f.job_id IS NOT DISTINCT FROM d.job_id AND f.hostname IS NOT DISTINCT FROM d.hostname LEFT JOIN domain_budget b ON f.hostname = b.hostname"
+_FREE = f"status = 'pending' AND coalesce(next_retry_at, 0) <= {NOW} AND coalesce(snooze_until, 0) <= {NOW} AND coalesce(sick_until, 0) <= {NOW} AND NOT coalesce(coalesce(urls_fetched, 0) >= max_urls, false)"
+_KIND = "CASE WHEN coalesce(ok, false) THEN 'ok' WHEN coalesce(status_code IN (408, 429, 500, 502, 503, 504, 522, 524), false) THEN 'noted' ELSE 'fail' END"
+_V = "(SELECT * REPLACE (coalesce(fetched_at, 0) AS fetched_at) FROM visited WHERE fp IS NOT NULL)"
+_LAST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY fetched_at DESC, coalesce(url, '') DESC, coalesce(job_id, '') DESC, coalesce(status_code, -1) DESC) AS k FROM {v} WHERE fetched_at {op}) WHERE k = 1)"
 ORACLES = {
+    "frontier_stats": f"SELECT seq, consecutive_fails, coalesce(snooze_until, 0) AS snooze_until, coalesce(sick_until, 0) AS sick_until, ewma_response_ms {_FROM}",
+    "frontier_budget": "SELECT seq, max_urls, max_bytes, max_seconds FROM frontier LEFT JOIN domain_budget USING (hostname)",
+    "frontier_eligible": f"SELECT seq, f.hostname AS hostname, priority {_FROM} WHERE {_FREE}",
+    "frontier_next_batch": f"""WITH e AS (SELECT seq, f.hostname AS hostname, priority, added_at, row_number() OVER (PARTITION BY f.hostname ORDER BY coalesce(priority, -2147483648) DESC, coalesce(added_at, 'infinity'::DOUBLE), seq) AS k {_FROM} WHERE {_FREE} AND f.hostname IS NOT NULL)
+        SELECT seq, hostname, priority, added_at FROM e WHERE k = 1 ORDER BY priority DESC NULLS LAST, added_at NULLS FIRST, seq LIMIT 100""",
+    "frontier_statuses": "SELECT status, count(*) AS n FROM frontier GROUP BY 1",
+    "frontier_dead": "SELECT lower(hex(fp)) AS fp, url, hostname, depth, attempts, last_error, added_at, seq FROM frontier WHERE status = 'dead'",
+    "frontier_admission": """SELECT seq, CASE WHEN depth > 2 OR NOT coalesce(regexp_matches(url, '^https?://'), false) THEN 'skipped' WHEN contains(url, '/private') THEN 'dead' END AS status,
+        CASE WHEN depth > 2 THEN 'depth' WHEN NOT coalesce(regexp_matches(url, '^https?://'), false) THEN 'pattern' WHEN contains(url, '/private') THEN 'robots' END AS reason FROM frontier""",
+    "visited_upserted": f"""WITH o AS {_LAST.format(v=_V, op=f'< {NOW - 30 * 86400.0}')}, n AS {_LAST.format(v=_V, op=f'>= {NOW - 30 * 86400.0}')}
+        SELECT lower(hex(coalesce(n.fp, o.fp))) AS fp, CASE WHEN n.fp IS NULL OR n.status_code = 304 AND o.fp IS NOT NULL THEN o.status_code ELSE n.status_code END AS status_code, CASE WHEN n.fp IS NULL OR n.status_code = 304 AND o.fp IS NOT NULL THEN o.etag ELSE n.etag END AS etag,
+          coalesce(n.fetched_at, o.fetched_at) AS fetched_at, CASE WHEN n.fp IS NULL THEN o.next_refresh_at ELSE n.fetched_at + 604800.0 END AS next_refresh_at FROM o FULL JOIN n ON o.fp = n.fp""",
+    "visited_due": f"SELECT lower(hex(fp)) AS fp, next_refresh_at FROM (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY coalesce(fetched_at, '-infinity'::DOUBLE) DESC, coalesce(url, '') DESC, coalesce(job_id, '') DESC, coalesce(status_code, -1) DESC) AS k FROM visited WHERE fp IS NOT NULL) WHERE k = 1 AND next_refresh_at <= {NOW}",
+    "frontier_starts": """WITH a AS (SELECT seq, coalesce(hostname, '') AS h, added_at FROM frontier WHERE added_at IS NOT NULL), b AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY seq) AS i FROM a)
+        SELECT seq, round(max(added_at - i / 2.0) OVER (PARTITION BY h ORDER BY seq ROWS UNBOUNDED PRECEDING) + i / 2.0, 3) AS start FROM b""",
+    "crawl_counts": "WITH c AS (SELECT job_id, count(*) FILTER (error IS NULL) AS ok, count(*) FILTER (error IS NOT NULL) AS errors FROM crawl_results GROUP BY 1), v AS (SELECT job_id, count(*) FILTER (status_code = 304) AS u FROM visited GROUP BY 1) SELECT c.job_id AS job_id, ok, errors, coalesce(u, 0) AS unchanged FROM c LEFT JOIN v ON c.job_id IS NOT DISTINCT FROM v.job_id",
+    "outcomes_until_terminal": f"""WITH r AS (SELECT {HOST_SQL.replace('hostname', 'NULL::VARCHAR')} AS site, response_id, coalesce(kind, 'ok') AS o, coalesce(terminal, false) AS t FROM responses), x AS (SELECT *, min(CASE WHEN t THEN response_id END) OVER (PARTITION BY site) AS f FROM r)
+        SELECT site, CASE WHEN response_id > f THEN 'skipped' ELSE o END AS outcome, count(*) AS n FROM x GROUP BY 1, 2""",
+    "log_noted": f"WITH l AS (SELECT *, {_KIND} AS k FROM {_LOG}) SELECT h AS hostname, count(*) FILTER (k = 'ok') AS ok_count, count(*) FILTER (k <> 'ok') AS fail_count, count(*) FILTER (k <> 'noted') AS urls_fetched, CAST(coalesce(sum(bytes) FILTER (k = 'ok'), 0) AS BIGINT) AS bytes_fetched, round(coalesce(sum(response_ms) FILTER (k <> 'noted') / 1000, 0), 4) AS seconds_spent FROM l GROUP BY 1",
+    "log_pauses": f"SELECT job_id, hostname, round(greatest(coalesce(snooze_until, 0), {NOW} + least(coalesce(ewma_response_ms / 10, 5), 120)), 3) AS snooze_until, CASE WHEN consecutive_fails >= 10 THEN {NOW} + 600 ELSE coalesce(sick_until, 0) END AS sick_until FROM domain_stats",
+    "log_by_day": f"SELECT CAST(fetched_at AS DATE) AS day, round(sum(response_ms), 2) AS ms FROM {_LOG} WHERE fetched_at IS NOT NULL GROUP BY 1 ORDER BY 1 DESC LIMIT 30",
     "frontier_visits": f"SELECT seq, v.etag AS visit_etag, v.last_modified AS visit_last_modified, v.fetched_at AS visit_fetched_at FROM frontier LEFT JOIN {_LATEST} v USING (fp)",
     "frontier_unseen": "SELECT seq, url FROM (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY seq) AS k FROM frontier WHERE fp IS NOT NULL) f WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM visited v WHERE v.fp = f.fp)",
     "frontier_one_per_host": f"SELECT hostname, seq, priority, added_at FROM (SELECT *, row_number() OVER (PARTITION BY hostname ORDER BY coalesce(priority, -2147483648) DESC, coalesce(added_at, 'infinity'::DOUBLE), seq) AS k FROM (SELECT {HOST_SQL} AS hostname, seq, priority, added_at FROM frontier) WHERE hostname IS NOT NULL) WHERE k = 1",
     "frontier_by_depth": "SELECT job_id, depth, count(*) AS n, min(added_at) AS first_added, count(DISTINCT fp) AS keys FROM frontier GROUP BY 1, 2",
     "log_totals": f"SELECT h AS hostname, count(*) FILTER (coalesce(ok, false)) AS ok_count, count(*) FILTER (NOT coalesce(ok, false)) AS fail_count, count(*) AS urls_fetched, CAST(coalesce(sum(bytes) FILTER (ok), 0) AS BIGINT) AS bytes_fetched, round(coalesce(sum(response_ms) / 1000, 0), 4) AS seconds_spent FROM {_LOG} GROUP BY 1",
-    "log_ewma": f"""WITH s AS (SELECT h, response_ms AS x, row_number() OVER (PARTITION BY h ORDER BY seq, response_ms) AS i, count(*) OVER (PARTITION BY h) AS n FROM {_LOG} WHERE ok AND response_ms IS NOT NULL AND seq IS NOT NULL),
+    "log_ewma": f"""WITH s AS (SELECT h, response_ms AS x, row_number() OVER (PARTITION BY h ORDER BY seq, response_ms) AS i, count(*) OVER (PARTITION BY h) AS n FROM {_LOG} WHERE {_KIND} <> 'noted' AND response_ms IS NOT NULL AND seq IS NOT NULL),
         e AS (SELECT h, sum(CASE WHEN i = 1 THEN pow(0.7, n - 1) * x ELSE 0.3 * pow(0.7, n - i) * x END) AS e FROM s GROUP BY 1)
         SELECT h AS hostname, round(e, 4) AS ewma_ms, round(greatest(200, least(10000, e * 2)) / 1000, 6) AS delay_s FROM e""",
     "log_fails_in_a_row": f"""WITH l AS (SELECT h, seq, coalesce(ok, false) AS ok FROM {_LOG} WHERE seq IS NOT NULL), m AS (SELECT h, max(seq) FILTER (ok) AS last_ok FROM l GROUP BY 1)
@@ -98,6 +224,6 @@ ORACLES = {
     "stats_within_budget": f"""WITH s AS (SELECT {LOG_HOST} AS h, CAST(sum(urls_fetched) AS BIGINT) AS urls, CAST(sum(bytes_fetched) AS BIGINT) AS bytes, round(sum(seconds_spent), 3) AS seconds FROM domain_stats GROUP BY 1)
         SELECT hostname, coalesce(urls, 0) AS urls, coalesce(bytes, 0) AS bytes, coalesce(seconds, 0) AS seconds, coalesce(max_urls IS NULL OR urls < max_urls, true) AND coalesce(max_bytes IS NULL OR bytes < max_bytes, true) AND coalesce(max_seconds IS NULL OR seconds < max_seconds, true) AS within
         FROM domain_budget LEFT JOIN s ON s.h = hostname""",
-    "frontier_gaps": "SELECT seq, seq - lag(seq) OVER w AS gap, count(*) OVER (PARTITION BY job_id, depth ORDER BY seq ROWS UNBOUNDED PRECEDING) AS so_far FROM frontier WHERE job_id IS NOT NULL WINDOW w AS (PARTITION BY job_id, depth ORDER BY seq)",
+    "frontier_gaps": "SELECT seq, seq - lag(seq) OVER w AS gap, count(*) OVER (PARTITION BY job_id, depth ORDER BY seq ROWS UNBOUNDED PRECEDING) AS so_far FROM frontier WINDOW w AS (PARTITION BY job_id, depth ORDER BY seq)",
     "urls_first_source": "WITH u AS (SELECT url, 1 AS p, 'frontier' AS source FROM frontier UNION ALL SELECT url, 2, 'visited' FROM visited UNION ALL SELECT unnest(links_found), 3, 'links' FROM crawl_results) SELECT source, count(*) AS urls FROM (SELECT url, arg_min(source, p) AS source FROM u WHERE url IS NOT NULL GROUP BY 1) GROUP BY 1",
 }

@@ -29,10 +29,8 @@ def host_states(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Hostnames of at least 2 % of all frontier rows, those without a hostname included in the rows."""
-    states = host_states(spark, folder)
-    total = states.agg(F.sum(LEFT_N).alias("all_rows"))  # one row
-    hot = states.join(F.broadcast(total)).where(F.col("hostname").isNotNull() & (F.col(LEFT_N) >= HOT_SHARE * F.col("all_rows")) & (F.col(LEFT_N) > 0))
-    return hot.select("hostname")
+    total = table(spark, folder, "frontier").count()  # one number, from the files' footers
+    return host_states(spark, folder).where(F.col("hostname").isNotNull() & (F.col(LEFT_N) >= HOT_SHARE * total) & (F.col(LEFT_N) > 0)).select("hostname")
 
 
 def p5_host_totals(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,12 +46,26 @@ def p5_host_totals(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p5_site_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """The join's size and sums rolled up after it, by the last two labels of a hostname: pairs and sums of the compact states add up."""
+    s = host_states(spark, folder)
+    labels = F.split("hostname", "\\.")
+    site = F.when(F.size(labels) > 2, F.array_join(F.slice(labels, -2, 2), ".")).otherwise(F.col("hostname"))
+    return roll_up(s, {"site": site}, [LEFT_N, "pairs", "urls_fetched", "urls_fetched_over_pairs"]).withColumnRenamed(LEFT_N, "frontier_rows")
+
+
 _TIDY = r"nullif(regexp_replace(regexp_replace(regexp_replace(lower({h}), '^\s+|\s+$', '', 'g'), ':[0-9]*$', ''), '\.$', ''), '')"
 _OF_URL = r"CASE WHEN regexp_matches(trim(url), '^(?i:https?):') THEN lower(regexp_extract(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1), '^(?:[^@]*@)*([^:@]*)', 1)) END"
 HOST_SQL = f"coalesce({_TIDY.format(h='hostname')}, {_TIDY.format(h='(' + _OF_URL + ')')})"
 
-QUERIES = {"p5_found": p5_found, "p5_host_totals": p5_host_totals}
+QUERIES = {"p5_found": p5_found, "p5_host_totals": p5_host_totals, "p5_site_totals": p5_site_totals}
 ORACLES = {
+    "p5_site_totals": f"""
+        WITH f AS (SELECT {HOST_SQL} AS hostname, count(*) AS n FROM frontier GROUP BY 1),
+        s AS (SELECT {_TIDY.format(h='hostname')} AS hostname, count(*) AS m, CAST(sum(urls_fetched) AS BIGINT) AS urls FROM domain_stats GROUP BY 1),
+        j AS (SELECT coalesce(f.hostname, s.hostname) AS h, coalesce(n, 0) AS n, coalesce(m, 0) AS m, urls FROM f FULL JOIN s ON f.hostname IS NOT DISTINCT FROM s.hostname),
+        k AS (SELECT *, string_split(h, '.') AS ls FROM j)
+        SELECT CASE WHEN len(ls) > 2 THEN ls[-2] || '.' || ls[-1] ELSE h END AS site, CAST(sum(n) AS BIGINT) AS frontier_rows, CAST(sum(n * m) AS BIGINT) AS pairs, CAST(sum(urls) AS BIGINT) AS urls_fetched, CAST(sum(urls * n) AS BIGINT) AS urls_fetched_over_pairs FROM k GROUP BY 1""",
     "p5_found": f"""
         WITH f AS (SELECT {HOST_SQL} AS hostname FROM frontier)
         SELECT hostname FROM f WHERE hostname IS NOT NULL GROUP BY hostname HAVING count(*) >= {HOT_SHARE} * (SELECT count(*) FROM f)""",

@@ -75,7 +75,7 @@ def url_patterns(spark: SparkSession, folder: str) -> DataFrame:
 
 def job_id_valid(spark: SparkSession, folder: str) -> DataFrame:
     """OP-33"""
-    return table(spark, folder, "crawl_results").select("job_id").distinct().select("job_id", F.col("job_id").rlike(r"^[A-Za-z0-9._-]{1,128}$").alias("valid"))
+    return table(spark, folder, "crawl_results").select("job_id").distinct().select("job_id", F.col("job_id").rlike(r"^[A-Za-z0-9._-]{1,128}\z").alias("valid"))
 
 
 def content_routes(spark: SparkSession, folder: str) -> DataFrame:
@@ -166,7 +166,7 @@ ORACLES = {
     "url_patterns": r"""WITH a AS (SELECT seq, job_id, url, nullif(regexp_extract(url, '^[^:/?#]+://[^/?#]+', 0), '') AS o FROM frontier WHERE url IS NOT NULL AND job_id IS NOT NULL),
         f AS (SELECT job_id, arg_min(o, seq) AS seed FROM a WHERE o IS NOT NULL GROUP BY 1)
         SELECT seq, coalesce(o = seed, false) AS same_origin, NOT regexp_matches(url, '/(print|archive)/?') AND regexp_matches(url, '/(docs|wiki|news)/') AS admitted FROM a LEFT JOIN f USING (job_id)""",
-    "job_id_valid": "SELECT DISTINCT job_id, regexp_matches(job_id, '^[A-Za-z0-9._-]{1,128}$') AS valid FROM crawl_results",
+    "job_id_valid": "SELECT DISTINCT job_id, regexp_matches(job_id, '^[A-Za-z0-9._-]{1,128}\\z') AS valid FROM crawl_results",
     "content_routes": rf"""WITH a AS (SELECT content_type, trim(split_part(lower(content_type), ';', 1)) AS m, regexp_extract({_PATH}, '([^/]*)$', 1) AS name FROM crawl_results),
         b AS (SELECT *, NOT ({_TEXT} OR regexp_matches(m, '\+(json|xml)$')) AND regexp_matches(m, '^(application|image|audio|video|font)/') AS bin FROM a)
         SELECT content_type, CASE WHEN bin OR regexp_matches(lower(name), '\.({'|'.join(tx.BINARY_EXTENSIONS)})$') THEN 'binary' WHEN regexp_matches(m, '(^application/(x-ndjson|json|x-jsonlines|jsonlines)|\+json)$') THEN 'json'
