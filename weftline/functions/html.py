@@ -124,26 +124,54 @@ SPEC_PATHS = ("/swagger/v1/swagger.json", "/swagger.json", "/openapi.json", "/op
 
 
 def spec_links(html: Column, base: Column) -> Column:
-    """OP-129: array of (url, source, format, confidence), first of each url."""
+    """OP-129: array of (url, source, format, confidence), first of each url: links, urls in scripts (one, or a list of them), api links of the head, links
+    whose text speaks of one."""
     fmt = lambda u: F.when(u.rlike(r"(?i)\.ya?ml$"), "yaml").otherwise("json")
     shape = lambda u, s, c: F.struct(resolve(base, u).alias("url"), F.lit(s).alias("source"), fmt(u).alias("format"), F.lit(c).alias("confidence"))
-    a = F.transform(F.filter(F.transform(tags(html, "a"), lambda t: attribute(t, "href")), lambda h: h.rlike(SPEC_LINK)), lambda h: shape(h, "link", 0.9))
-    scripts = F.regexp_extract_all(html, F.lit(r"(?i)\burl\s*:\s*[\"']([^\"']+)[\"']"), F.lit(1))
-    s = F.transform(F.filter(scripts, lambda u: u.rlike(r"(?i)(swagger|openapi|api-docs)|\.(json|ya?ml)$")), lambda u: shape(u, "script", 0.95))
+    anchors = F.transform(tags(html, "a"), lambda t: attribute(t, "href"))
+    a = F.transform(F.filter(anchors, lambda h: h.rlike(SPEC_LINK)), lambda h: shape(h, "link", 0.9))
+    one = F.regexp_extract_all(html, F.lit(r"(?i)\burl\s*:\s*[\"']([^\"']+)[\"']"), F.lit(1))
+    like = lambda u: u.rlike(r"(?i)(swagger|openapi|api-docs)|\.(json|ya?ml)$")
+    s = F.transform(F.filter(one, like), lambda u: shape(u, "script", 0.95))
+    lists = F.regexp_extract_all(html, F.lit(r"(?is)\burls\s*:\s*\[(.*?)\]"), F.lit(1))
+    many = F.flatten(F.transform(lists, lambda x: F.regexp_extract_all(x, F.lit(r"(?i)\burl[\"']?\s*:\s*[\"']([^\"']+)[\"']"), F.lit(1))))
+    m = F.transform(many, lambda u: shape(u, "script", 0.9))
     rel = F.transform(F.filter(tags(html, "link"), lambda t: F.lower(attribute(t, "rel")).contains("api")), lambda t: shape(attribute(t, "href"), "rel", 0.85))
-    found = F.filter(F.concat(a, s, rel), lambda x: x["url"].isNotNull())
+    named = F.regexp_extract_all(html, F.lit(r"(?is)(<a\b[^>]*>)[^<]*(?:swagger|openapi|api (?:docs|spec|definition))[^<]*</a>"), F.lit(1))
+    n = F.transform(F.filter(F.transform(named, lambda t: attribute(t, "href")), lambda h: h.isNotNull()), lambda h: shape(h, "text", 0.7))
+    found = F.filter(F.concat(a, m, s, rel, n), lambda x: x["url"].isNotNull())
     return first_of(found, lambda x: x["url"])
 
 
+def spec_candidates(origin: Column) -> Column:
+    """OP-130: where a site's description would be."""
+    return F.transform(F.array(*[F.lit(p) for p in SPEC_PATHS]), lambda p: F.concat(origin, p))
+
+
+_VERBS = "get|post|put|delete|patch|head|options"
+
+
 def spec_valid(body: Column) -> Column:
-    """OP-131 for JSON: valid, version, title, and the number of operations."""
+    """OP-131: valid, version, title, and the number of operations, of JSON or of YAML in block form (a key a line)."""
     v = F.try_parse_json(body)
-    version = F.coalesce(F.try_variant_get(v, "$.openapi", "string"), F.try_variant_get(v, "$.swagger", "string"))
+    in_json = F.coalesce(F.try_variant_get(v, "$.openapi", "string"), F.try_variant_get(v, "$.swagger", "string"))
     paths = F.from_json(F.try_variant_get(v, "$.paths", "string"), "map<string,map<string,string>>")
-    verbs = F.flatten(F.transform(F.map_values(paths), lambda m: F.filter(F.map_keys(m), lambda k: F.lower(k).isin("get", "post", "put", "delete", "patch", "head", "options"))))
-    return F.struct(
-        (version.isNotNull()).alias("valid"), version.alias("version"), F.try_variant_get(v, "$.info.title", "string").alias("title"), F.greatest(F.size(verbs), F.lit(0)).alias("endpoint_count")
-    )
+    verbs = F.flatten(F.transform(F.map_values(paths), lambda m: F.filter(F.map_keys(m), lambda k: F.lower(k).rlike(f"^(?:{_VERBS})$"))))
+    bare = lambda x: F.nullif(F.regexp_replace(F.trim(x), "^[\"']|[\"']$", ""), F.lit(""))
+    is_json = v.isNotNull()
+    in_yaml = bare(F.regexp_extract(body, r"(?m)^(?:openapi|swagger):[ \t]*(\S+)[ \t]*$", 1))
+    title = bare(F.regexp_extract(body, r"(?m)^info:[ \t]*\n(?:[ \t]+.*\n)*?[ \t]+title:[ \t]*(.+)$", 1))
+    of_paths = F.regexp_extract(body, r"(?s)(?:^|\n)paths:[ \t]*\n((?:[ \t#][^\n]*(?:\n|$)|\n)*)", 1)
+    version = F.when(is_json, in_json).otherwise(in_yaml)
+    n = F.when(is_json, F.greatest(F.size(verbs), F.lit(0))).when(in_yaml.isNotNull(), F.regexp_count(of_paths, F.lit(rf"(?im)^[ \t]+(?:{_VERBS}):"))).otherwise(0)
+    named = F.when(is_json, F.try_variant_get(v, "$.info.title", "string")).when(in_yaml.isNotNull(), title)
+    return F.struct(version.isNotNull().alias("valid"), version.alias("version"), named.alias("title"), n.alias("endpoint_count"))
+
+
+def loc_urls(xml: Column) -> Column:
+    """OP-08: array of (url, is_sitemap) of all http(s) locs of a sitemap or feed, however it is wrapped."""
+    found = F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<loc\b[^>]*>(.*?)</loc>"), F.lit(1)), lambda x: strip(unescape_basic(x)))
+    return F.transform(F.filter(found, lambda u: u.startswith("http")), lambda u: F.struct(u.alias("url"), (u.endswith(".xml") | F.lower(u).contains("sitemap")).alias("is_sitemap")))
 
 
 def sitemap_entries(xml: Column) -> Column:
@@ -162,8 +190,21 @@ def robots_sitemaps(body: Column) -> Column:
     return F.regexp_extract_all(body, F.lit(r"(?imd)^[ \t]*Sitemap:[ \t]*(\S+)\s*$"), F.lit(1))
 
 
+# Where a site's feeds usually are.
+FEED_PATHS = ("/feed", "/rss", "/atom.xml", "/feed.xml", "/rss.xml", "/feed/", "/rss/", "/index.xml")
+
+
+def feed_candidates(html: Column, base: Column) -> Column:
+    """OP-09: urls of a page's feeds, those it names first, then the usual ones, each once."""
+    named = F.transform(F.filter(tags(html, "link"), lambda t: F.lower(attribute(t, "type")).rlike("rss|atom")), lambda t: resolve(base, attribute(t, "href")))
+    usual = F.transform(F.array(*[F.lit(p) for p in FEED_PATHS]), lambda p: F.concat(origin_of(base), p))
+    return F.array_distinct(F.concat(F.filter(named, lambda u: u.isNotNull()), usual))
+
+
 def feed_links(xml: Column) -> Column:
-    """OP-09: links of the items of an RSS or Atom feed."""
-    rss = F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<item\b.*?<link>\s*(.*?)\s*</link>"), F.lit(1)), unescape_basic)
-    atom = F.filter(F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<entry\b.*?(<link\b[^>]*>)"), F.lit(1)), lambda t: attribute(t, "href")), lambda x: x.isNotNull())
-    return F.concat(rss, atom)
+    """OP-09: http links of the items of an RSS feed, also where the link's tag was closed at once and its url stands behind it, and of the entries of an Atom feed."""
+    items = F.regexp_extract_all(xml, F.lit(r"(?is)<item\b(.*?)</item>"), F.lit(1))
+    rss = F.transform(items, lambda x: strip(unescape_basic(F.coalesce(F.nullif(strip(F.regexp_extract(x, r"(?is)<link\b[^>]*[^/>]?>([^<]*)</link>", 1)), F.lit("")), F.regexp_extract(x, r"(?is)<link\b[^>]*/?>\s*([^<\s]*)", 1)))))
+    entries = F.regexp_extract_all(xml, F.lit(r"(?is)<entry\b(.*?)</entry>"), F.lit(1))
+    atom = F.flatten(F.transform(entries, lambda x: F.transform(tags(x, "link"), lambda t: attribute(t, "href"))))
+    return F.filter(F.concat(rss, atom), lambda u: u.startswith("http"))

@@ -7,6 +7,8 @@ Null urls give null; urls that are not http(s), or that cannot be split, give nu
 from __future__ import annotations
 
 import hashlib
+import re
+from collections.abc import Sequence
 from functools import reduce
 from urllib.parse import parse_qsl, quote, urljoin, urlsplit, urlunsplit
 
@@ -220,3 +222,21 @@ def site_key(hostname: Column, url: Column) -> Column:
 
 def any_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
+def matches_patterns(url: Column, patterns: Sequence[str]) -> Column:
+    """OP-29: whether any of the patterns is in the url; one that is no regular expression counts as a text. No patterns match all."""
+    out = F.lit(not patterns)
+    for p in patterns:
+        try:
+            re.compile(p)
+            out = out | url.rlike(p)
+        except re.error:
+            out = out | url.contains(p)
+    return F.coalesce(out, F.lit(False))
+
+
+def wanted(url: Column, seed_origin: Column, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> Column:
+    """OP-28, 30: of the seed's origin, not excluded, included."""
+    out = F.coalesce(origin_of(url) == seed_origin, F.lit(False)) & matches_patterns(url, include)
+    return out & ~matches_patterns(url, exclude) if exclude else out

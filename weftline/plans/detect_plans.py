@@ -90,11 +90,6 @@ def design_contrast(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select("text", "background", F.round(r, 2).alias("ratio"), ds.grade(r).alias("grade"))
 
 
-def design_scales(spark: SparkSession, folder: str) -> DataFrame:
-    v = spark.createDataFrame([(1, [8, 16, 24, 40], [16.0, 20.0, 25.0]), (2, [6, 9], [10.0, 11.0]), (3, [], [])], "id int, spacing array<int>, sizes array<double>")
-    return v.select("id", ds.gcd(F.col("spacing")).alias("base"), ds.type_scale(F.col("sizes")).alias("scale"))
-
-
 def response_codes(spark: SparkSession, folder: str) -> DataFrame:
     """Classes of answers by status and size, with the hints that came along."""
     r = table(spark, folder, "responses")
@@ -110,7 +105,7 @@ def changes_between(spark: SparkSession, folder: str) -> DataFrame:
     return c.where("before IS NOT NULL").select("result_id", (F.md5("content") != F.md5("before")).alias("changed"), F.size(F.array_except(now, then)).alias("new_lines"), F.size(F.array_except(then, now)).alias("gone_lines"))
 
 
-QUERIES = {f.__name__: f for f in (tech_detect, tech_counts, tech_signals, tech_summaries, design_contrast, design_scales, response_codes, changes_between)}
+QUERIES = {f.__name__: f for f in (tech_detect, tech_counts, tech_signals, tech_summaries, design_contrast, response_codes, changes_between)}
 _SERVER = "list_filter(map_entries(headers), lambda e: lower(e.key) = 'server')[1].value"
 _TECH = rf"""r AS (SELECT response_id, coalesce(text, '') AS t, {_SERVER} AS s FROM responses),
     d AS (SELECT response_id, 'Nginx' AS tech, 'Web servers' AS category, 100 AS confidence, nullif(regexp_extract(s, '(?i)nginx(?:/([\d.]+))?', 1), '') AS version FROM r WHERE regexp_matches(s, '(?i)nginx')
@@ -137,7 +132,6 @@ ORACLES = {
         g AS (SELECT i, list(t ORDER BY o) AS ts FROM d GROUP BY 1)
         SELECT i AS id, len(ts)::INT AS n, array_to_string(ts[1:6], ' + ') || CASE WHEN len(ts) > 6 THEN ' +' || (len(ts) - 6) || ' more' ELSE '' END AS tech_summary FROM g""",
     "design_contrast": "SELECT * FROM (VALUES ('#222222', '#ffffff', 15.91::DOUBLE, 'AAA'), ('#000000', '#ffffff', 21.0::DOUBLE, 'AAA'), ('#222222', '#ffff00', 14.82::DOUBLE, 'AAA'), ('#000000', '#ffff00', 19.56::DOUBLE, 'AAA')) t(text, background, ratio, grade)",
-    "design_scales": "SELECT * FROM (VALUES (1, 8, 1.2::DOUBLE), (2, 3, NULL), (3, 0, NULL)) t(id, base, scale)",
     "response_codes": """SELECT CASE WHEN status_code = 429 THEN 'rate_limited' WHEN status_code = 403 AND length(text) <= 512 THEN 'short_deny' WHEN status_code = 304 THEN 'unchanged' WHEN status_code IN (408, 429, 500, 502, 503, 504, 522, 524) THEN 'retry' WHEN status_code >= 400 THEN 'final' ELSE 'ok' END AS kind_seen,
         blocked, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM responses GROUP BY 1, 2""",
     "changes_between": """WITH c AS (SELECT result_id, content, lag(content) OVER (PARTITION BY frontier_seq ORDER BY result_id) AS b FROM crawl_results WHERE content IS NOT NULL),

@@ -16,12 +16,6 @@ def conditional_requests(spark: SparkSession, folder: str) -> DataFrame:
     return v.select(F.lower(F.hex("fp")).alias("fp"), h["If-None-Match"].alias("etag"), h["If-Modified-Since"].alias("since"), F.size(h).alias("n"))
 
 
-def headers_literal(spark: SparkSession, folder: str) -> DataFrame:
-    v = spark.createDataFrame([(1, "A: 1\nB: x:y\nbad\nA: 2"), (2, '{"C": "3"}'), (3, ""), (4, None)], "id int, text string")
-    m = rc.header_map(F.col("text"))
-    return v.select("id", m["A"].alias("a"), m["B"].alias("b"), m["C"].alias("c"), rc.basic_auth(F.lit("u"), F.lit("p")).alias("auth"))
-
-
 def url_globs(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "frontier").select("seq", rc.glob_match(F.col("url"), "*-1??").alias("by_name"), rc.glob_match(F.col("url"), "https://*/docs/*").alias("by_url"))
 
@@ -71,13 +65,12 @@ def sessions_of_events(spark: SparkSession, folder: str) -> DataFrame:
     return e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("events"), F.round(F.sum("value"), 4).alias("value")).select("user_id", F.col("w.start").alias("began"), "events", "value")
 
 
-QUERIES = {f.__name__: f for f in (conditional_requests, headers_literal, url_globs, body_file_names, rule_headers, answers_kept, topics_literal, values_sanitised, payment_asked, site_maps, sessions_of_events)}
+QUERIES = {f.__name__: f for f in (conditional_requests, url_globs, body_file_names, rule_headers, answers_kept, topics_literal, values_sanitised, payment_asked, site_maps, sessions_of_events)}
 _LATEST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY coalesce(fetched_at, '-infinity'::DOUBLE) DESC, coalesce(url, '') DESC, coalesce(job_id, '') DESC, coalesce(status_code, -1) DESC) AS k FROM visited WHERE fp IS NOT NULL) WHERE k = 1)"
 _HOST = r"lower(regexp_extract(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1), '^(?:[^@]*@)*(\[[^\]]*\]|[^:@]*)', 1))"
 _UN = lambda x: f"replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
 ORACLES = {
     "conditional_requests": f"SELECT lower(hex(fp)) AS fp, nullif(etag, '') AS etag, nullif(last_modified, '') AS since, (coalesce(etag, '') <> '')::INT + (coalesce(last_modified, '') <> '')::INT AS n FROM {_LATEST}",
-    "headers_literal": "SELECT * FROM (VALUES (1, '2', 'x:y', NULL, 'Basic dTpw'), (2, NULL, NULL, '3', 'Basic dTpw'), (3, NULL, NULL, NULL, 'Basic dTpw'), (4, NULL, NULL, NULL, 'Basic dTpw')) t(id, a, b, c, auth)",
     "url_globs": r"SELECT seq, regexp_matches(url, '(?s)^.*-1..$') OR regexp_matches(regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1), '(?s)^.*-1..$') AS by_name, regexp_matches(url, '(?s)^https://.*/docs/.*$') AS by_url FROM frontier",
     "body_file_names": r"WITH a AS (SELECT response_id, url, coalesce(nullif(regexp_extract(url, '([^/?#]+)(?:[?#].*)?$', 1), ''), 'index') AS b FROM responses) SELECT response_id, CASE WHEN count(*) OVER (PARTITION BY b) > 1 THEN b || '-' || substring(sha256(url), 1, 8) ELSE b END AS name FROM a",
     "rule_headers": f"SELECT response_id, CASE WHEN hostname IS NULL THEN NULL WHEN max_urls IS NULL THEN 'own' ELSE 'built-in' END AS x FROM responses LEFT JOIN domain_budget ON hostname = {_HOST.format(u='url')}",

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.functions import text as tx
 from weftline.functions import urls
+from weftline.operators.skew import lookup
 from weftline.session import table
 
 QUERY = "budget rate report"
@@ -65,12 +66,15 @@ def url_file_names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def url_patterns(spark: SparkSession, folder: str) -> DataFrame:
-    """OP-28..30: same origin as a seed, not excluded, included."""
+    """OP-28..30: same origin as the job's first url, not excluded, included. Seeds are found by an aggregate, a row a job, and looked up."""
+    f = table(spark, folder, "frontier").where("url IS NOT NULL AND job_id IS NOT NULL").select("seq", "job_id", "url")
+    seeds = f.where(urls.origin_of(F.col("url")).isNotNull()).groupBy("job_id").agg(F.min_by(urls.origin_of(F.col("url")), "seq").alias("seed"))
     u = F.col("url")
-    same = urls.origin_of(u) == F.first(urls.origin_of(u), ignorenulls=True).over(Window.partitionBy("job_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return table(spark, folder, "frontier").where("url IS NOT NULL AND job_id IS NOT NULL").select(
-        "seq", F.coalesce(same, F.lit(False)).alias("same_origin"), (~u.rlike("/(print|archive)/?") & u.rlike("/(docs|wiki|news)/")).alias("admitted")
-    )
+    return lookup(f, seeds, ["job_id"]).select(
+        "seq", F.coalesce(urls.origin_of(u) == F.col("seed"), F.lit(False)).alias("same_origin"),
+        (urls.matches_patterns(u, ["/(docs|wiki|news)/"]) & ~urls.matches_patterns(u, ["/(print|archive)/?", "[a-"])).alias("admitted"),
+        urls.wanted(u, F.col("seed"), ["/(docs|wiki|news)/"], ["/(print|archive)/?"]).alias("wanted"),
+    )
 
 
 def job_id_valid(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,12 +99,6 @@ def cache_keys(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def durations(spark: SparkSession, folder: str) -> DataFrame:
-    """OP-104 on literal values"""
-    v = spark.createDataFrame([("500ms",), ("2s",), ("1.5m",), (" 7 ",), ("x",), ("",), (None,)], "text string")
-    return v.select("text", tx.duration_seconds(F.col("text")).alias("seconds"))
-
-
 _S = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
 
 
@@ -123,7 +121,7 @@ _TERMS = QUERY.split()
 QUERIES = {
     "text_clean": text_clean, "text_metadata": text_metadata, "text_cut_off": text_cut_off, "text_truncated": text_truncated, "text_sections": text_sections, "text_relevant": text_relevant,
     "content_dedupe": content_dedupe, "url_canonical": url_canonical, "url_parts": url_parts, "url_fingerprints": url_fingerprints, "url_file_names": url_file_names, "url_patterns": url_patterns,
-    "job_id_valid": job_id_valid, "content_routes": content_routes, "cache_keys": cache_keys, "durations": durations,
+    "job_id_valid": job_id_valid, "content_routes": content_routes, "cache_keys": cache_keys,
 }
 ORACLES = {
     "text_clean": f"""SELECT result_id, {_strip(f"regexp_replace(array_to_string(list_filter(string_split(content, chr(10)), lambda l: {_LINE} = '' OR NOT (lower({_LINE}) IN ({_CRUFT}) OR (length({_LINE}) < 80 AND regexp_matches(lower({_LINE}), '{tx.CRUFT_PATTERN}')))), chr(10)), chr(10) || '{{3,}}', chr(10) || chr(10), 'g')")} AS content FROM crawl_results""",
@@ -165,12 +163,11 @@ ORACLES = {
         SELECT seq, coalesce(nullif(CASE WHEN length(x) > 200 THEN substring(x, 1, 190) || '--' || substring(md5(x), 1, 8) ELSE x END, ''), 'index') AS file_name FROM a""",
     "url_patterns": r"""WITH a AS (SELECT seq, job_id, url, nullif(regexp_extract(url, '^[^:/?#]+://[^/?#]+', 0), '') AS o FROM frontier WHERE url IS NOT NULL AND job_id IS NOT NULL),
         f AS (SELECT job_id, arg_min(o, seq) AS seed FROM a WHERE o IS NOT NULL GROUP BY 1)
-        SELECT seq, coalesce(o = seed, false) AS same_origin, NOT regexp_matches(url, '/(print|archive)/?') AND regexp_matches(url, '/(docs|wiki|news)/') AS admitted FROM a LEFT JOIN f USING (job_id)""",
+        SELECT seq, coalesce(o = seed, false) AS same_origin, NOT regexp_matches(url, '/(print|archive)/?') AND NOT contains(url, '[a-') AND regexp_matches(url, '/(docs|wiki|news)/') AS admitted, coalesce(o = seed, false) AND NOT regexp_matches(url, '/(print|archive)/?') AND regexp_matches(url, '/(docs|wiki|news)/') AS wanted FROM a LEFT JOIN f USING (job_id)""",
     "job_id_valid": "SELECT DISTINCT job_id, regexp_matches(job_id, '^[A-Za-z0-9._-]{1,128}\\z') AS valid FROM crawl_results",
     "content_routes": rf"""WITH a AS (SELECT content_type, trim(split_part(lower(content_type), ';', 1)) AS m, regexp_extract({_PATH}, '([^/]*)$', 1) AS name FROM crawl_results),
         b AS (SELECT *, NOT ({_TEXT} OR regexp_matches(m, '\+(json|xml)$')) AND regexp_matches(m, '^(application|image|audio|video|font)/') AS bin FROM a)
         SELECT content_type, CASE WHEN bin OR regexp_matches(lower(name), '\.({'|'.join(tx.BINARY_EXTENSIONS)})$') THEN 'binary' WHEN regexp_matches(m, '(^application/(x-ndjson|json|x-jsonlines|jsonlines)|\+json)$') THEN 'json'
           WHEN regexp_matches(m, '^(text/html|application/xhtml\+xml$)') THEN 'html' ELSE 'text' END AS route, count(*) AS records, max(bin::INT) AS is_binary FROM b GROUP BY 1, 2""",
     "cache_keys": """SELECT response_id, substring(sha256('content:{"url": "' || url || '"}'), 1, 16) AS cache_key, coalesce(status_code = 200 AND length(text) >= 1024, false) AS cacheable FROM responses""",
-    "durations": "SELECT * FROM (VALUES ('500ms', 0.5::DOUBLE), ('2s', 2.0), ('1.5m', 90.0), (' 7 ', 7.0), ('x', NULL), ('', NULL), (NULL, NULL)) t(text, seconds)",
 }

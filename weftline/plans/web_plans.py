@@ -4,43 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from weftline.functions import video, walls
+from weftline.functions import walls
 from weftline.functions.urls import origin_of
 from weftline.operators import robots
 from weftline.session import table
 
-PAGE = (
-    '<video src="/a.mp4"></video><video src="blob:x"></video><iframe src="https://www.youtube.com/embed/abc"></iframe><a href="/b.webm?x=1">b</a><a href="/a.mp4">again</a>'
-    '<meta property="og:video" content="https://player.vimeo.com/video/77"><script>var u = "https://c.example/live.m3u8?t=2"; var p = "https://ads.doubleclick.net/x.mp4"</script>'
-)
-
-
-def video_literal(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.range(1).select(F.explode(video.videos(F.lit(PAGE), F.lit("https://youtu.be/zz9"))).alias("v")).select("v.*")
-
-
-WALLS = [
-    (1, 403, {"Server": "x"}, "Cloudflare: Access denied. Error 1020"),
-    (2, 503, {"CF-Mitigated": "challenge"}, ""),
-    (3, 200, {}, "Just a moment..."),
-    (4, 200, {"cf-ray": "1"}, "Just a moment..."),
-    (5, 200, {}, "Access Denied errors.edgesuite.net"),
-    (6, None, None, "Reference #18 akamai"),
-    (7, 200, {}, "_Incapsula_Resource"),
-    (8, 200, {"Set-Cookie": "datadome=1"}, None),
-    (9, 200, {}, "px-captcha"),
-    (10, 403, {"X-Cache": "Error from cloudfront"}, ""),
-    (11, 429, {"server": "cloudflare"}, ""),
-    (12, 429, {}, None),
-    (13, 200, {}, "fine"),
-]
-
-
-def wall_literal(spark: SparkSession, folder: str) -> DataFrame:
-    v = spark.createDataFrame(WALLS, "id int, status int, headers map<string,string>, body string")
-    return v.select("id", walls.wall(F.col("status"), F.col("headers"), F.col("body")).alias("w")).select("id", "w.*")
-
-
 def wall_responses(spark: SparkSession, folder: str) -> DataFrame:
     r = table(spark, folder, "responses")
     return r.select(walls.wall(F.col("status_code"), F.col("headers"), F.col("text")).alias("w")).groupBy("w.blocked", "w.vendor", "w.kind").agg(F.count(F.lit(1)).alias("n"))
@@ -66,33 +34,11 @@ def text_difference(spark: SparkSession, folder: str) -> DataFrame:
     return c.select("result_id", robots.difference("before", "content").alias("d")).select("result_id", "d.added", "d.removed")
 
 
-TOKENS = [("text", "#222222", 4), ("text", "#222222", 3), ("text", "#0000ff", 1), ("background", "#ffffff", 9), ("background", "#222222", 1)]
-
-
-def design_colours(spark: SparkSession, folder: str) -> DataFrame:
-    """OP-65: uses of a colour by role, most first; those used once stand alone."""
-    v = spark.createDataFrame(TOKENS, "role string, hex string, n int")
-    return v.groupBy("hex", "role").agg(F.sum("n").alias("uses")).select("hex", "role", "uses", (F.col("uses") == 1).alias("alone"), F.row_number().over(Window.partitionBy("role").orderBy(F.desc("uses"), "hex")).alias("place"))
-
-
-def design_layers(spark: SparkSession, folder: str) -> DataFrame:
-    """OP-68: stacking values that are out of bounds or far from the one below."""
-    v = spark.createDataFrame([(1,), (2,), (150,), (99999,), (-10000,)], "z int")
-    w = Window.orderBy("z")  # the stacking values of one page
-    return v.select("z", (F.abs("z") > 9999).alias("war"), F.coalesce(F.col("z") - F.lag("z").over(w) > 100, F.lit(False)).alias("gap"))
-
-
-QUERIES = {f.__name__: f for f in (video_literal, wall_literal, wall_responses, archive_wanted, robots_allowed, text_difference, design_colours, design_layers)}
+QUERIES = {f.__name__: f for f in (wall_responses, archive_wanted, robots_allowed, text_difference)}
 _PATH = r"coalesce(nullif(regexp_replace(regexp_replace(url, '^[^:/?#]+://[^/?#]*', ''), '#.*$', ''), ''), '/')"
 ORACLES = {
-    "video_literal": "SELECT * FROM (VALUES ('page', 'https://www.youtube.com/watch?v=zz9', 'youtube'), ('direct', 'https://youtu.be/a.mp4', 'mp4'), ('direct', 'https://youtu.be/b.webm?x=1', 'webm'), ('embed', 'https://www.youtube.com/watch?v=abc', 'youtube'), ('og', 'https://vimeo.com/77', 'vimeo'), ('script', 'https://c.example/live.m3u8?t=2', 'm3u8')) t(type, url, format)",
-    "wall_literal": """SELECT * FROM (VALUES (1, true, 'cloudflare', 'cf_1020_hard', true, 'cf error code 1020'), (2, true, 'cloudflare', 'js_challenge', false, 'cloudflare challenge page'), (3, false, '', '', false, ''), (4, true, 'cloudflare', 'js_challenge', false, 'cloudflare challenge page'),
-        (5, true, 'akamai', 'edge_deny', false, 'akamai access denied'), (6, true, 'akamai', 'interstitial', false, 'akamai short reference stub'), (7, true, 'imperva', 'js_challenge', false, 'imperva/incapsula challenge'), (8, true, 'datadome', 'captcha', false, 'datadome captcha'),
-        (9, true, 'perimeterx', 'captcha', false, 'perimeterx human challenge'), (10, true, 'cloudfront', 'edge_deny', false, 'cloudfront 403'), (11, true, 'cloudflare', 'rate_limited', false, 'http 429'), (12, true, '', 'rate_limited', false, 'http 429'), (13, false, '', '', false, '')) t(id, blocked, vendor, kind, terminal, signal)""",
     "wall_responses": "SELECT coalesce(status_code = 429, false) AS blocked, '' AS vendor, CASE WHEN status_code = 429 THEN 'rate_limited' ELSE '' END AS kind, count(*) AS n FROM responses GROUP BY 1, 2, 3",
     "archive_wanted": "SELECT result_id, length(trim(coalesce(content, ''))) < 50 OR (contains(substring(coalesce(content, ''), 1, 200), '404') AND contains(lower(substring(coalesce(content, ''), 1, 500)), 'not found')) AS wanted FROM crawl_results",
     "robots_allowed": rf"""WITH a AS (SELECT seq, url, {_PATH} AS p, nullif(regexp_extract(url, '^[^:/?#]+://[^/?#]+', 0), '') AS o FROM frontier)
         SELECT seq, CASE WHEN url IS NULL THEN NULL WHEN o IS NULL OR o NOT LIKE 'https://%' THEN true WHEN regexp_matches(p, '^/docs/.*/print$') THEN true WHEN starts_with(p, '/docs') OR starts_with(p, '/news/2') THEN false ELSE true END AS allowed FROM a""",
-    "design_colours": "SELECT * FROM (VALUES ('#222222', 'text', 7, false, 1), ('#0000ff', 'text', 1, true, 2), ('#ffffff', 'background', 9, false, 1), ('#222222', 'background', 1, true, 2)) t(hex, role, uses, alone, place)",
-    "design_layers": "SELECT * FROM (VALUES (-10000, true, false), (1, false, true), (2, false, false), (150, false, true), (99999, true, true)) t(z, war, gap)",
 }

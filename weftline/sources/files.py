@@ -55,15 +55,55 @@ def csv_urls(spark: SparkSession, path: str, column: str) -> DataFrame:
     return rows.where(is_web_url(F.col("url"))).groupBy("url").agg(F.min("at").alias("at"))
 
 
+def write_envelopes(df: DataFrame, path: str, **meta) -> None:
+    """OP-16: a JSON object with data and meta a line. meta: literal values."""
+    df.select(F.to_json(F.struct(F.struct(*df.columns).alias("data"), F.struct(*[F.lit(v).alias(k) for k, v in meta.items()]).alias("meta"))).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_lines(df: DataFrame, path: str, fields: str | None = None) -> None:
+    """OP-16, 27: JSON lines of all or the named columns."""
+    from weftline.functions.records import projected
+
+    (projected(df, fields) if fields else df).write.mode("overwrite").json(path)
+
+
+def write_text(df: DataFrame, column: str, path: str) -> None:
+    """OP-16: the texts of a column, a line end after each; null ones are left out."""
+    df.where(F.col(column).isNotNull()).select(column).write.mode("overwrite").text(path)
+
+
 def write_days(df: DataFrame, time: str, path: str) -> None:
     """OP-22: JSON lines in a folder a UTC day."""
     df.withColumn("day", F.to_date(time)).write.mode("append").partitionBy("day").json(path)
 
 
-def folder_of(url: Column, content_type: Column) -> Column:
-    """OP-18: a folder by the url's extension, else by content type."""
+def not_in_journal(spark: SparkSession, df: DataFrame, path: str, key: str) -> DataFrame:
+    """OP-46, 183: rows whose key is not in a journal of JSON lines with status "ok"; a journal that isn't there holds nothing."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        done = spark.read.schema(f"`{key}` {df.schema[key].dataType.simpleString()}, status string").json(path)
+    except AnalysisException:
+        return df
+    return df.join(done.where("status = 'ok'").select(key).where(F.col(key).isNotNull()), key, "left_anti")
+
+
+_IMAGES, _DOCUMENTS, _MEDIA = ("jpg", "jpeg", "png", "gif", "webp", "svg", "ico"), ("pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx"), ("mp4", "mov", "avi", "mkv", "mp3", "wav")
+
+
+def folder_of(url: Column, content_type: Column, mode: str = "content-type") -> Column:
+    """OP-18: the folder of a file. mode: "flat" (none), "extension" (its own), "content-type" (by extension, else by type), "thumbnail" (small images apart)."""
     ext = F.lower(F.regexp_extract(url, r"\.([A-Za-z0-9]{1,5})(?:[?#]|$)", 1))
-    return (
-        F.when(ext.isin("jpg", "jpeg", "png", "gif", "webp", "svg", "ico"), "images").when(ext.isin("pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx"), "documents").when(ext.isin("mp4", "mov", "avi", "mkv", "mp3", "wav"), "media")
+    kind = (
+        F.when(ext.isin(*_IMAGES), "images").when(ext.isin(*_DOCUMENTS), "documents").when(ext.isin(*_MEDIA), "media")
         .when(F.lower(content_type).startswith("image/"), "images").when(F.lower(content_type).startswith("text/"), "pages").otherwise("other")
     )
+    forms = {
+        "flat": F.lit(""),
+        "extension": F.when(ext == "", "other").otherwise(ext),
+        "content-type": kind,
+        "thumbnail": F.when((kind == "images") & F.lower(url).rlike("thumb|small|icon|avatar"), "thumbnails").otherwise(kind),
+    }
+    if mode not in forms:
+        raise ValueError(f"mode {mode!r}")
+    return forms[mode]
