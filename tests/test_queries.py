@@ -1,5 +1,7 @@
 """Every core query that has SQL gives what the SQL gives; the others run."""
 
+import os
+
 import pytest
 from conftest import rows_of
 
@@ -25,7 +27,6 @@ def test_entry(spark):
 
 
 def test_core_stands_alone():
-    import os
     import re
 
     root = os.path.join(os.path.dirname(os.path.abspath(entry.__file__)), "weftline")
@@ -34,3 +35,16 @@ def test_core_stands_alone():
             for n in names:
                 if n.endswith(".py"):
                     assert not re.search(r"^\s*(from|import) weftline\.llm", open(os.path.join(folder, n)).read(), re.M), n
+
+
+def test_core_runs_without_the_subpackage():
+    import subprocess
+    import sys
+
+    code = (
+        "import sys, warnings; warnings.simplefilter('ignore'); sys.modules['weftline.llm'] = None\n"
+        "import __spark_entry__ as e; q = e.queries(); assert 'p5_found' in q and 'p1_found' not in q and set(e.oracle_sql()) <= set(q), len(q)"
+    )
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr

@@ -1,4 +1,4 @@
-"""A log of network events joined to one row a request (OP-38, 50, 167)."""
+"""A log of network events joined to one row a request (OP-38, 50, 166, 167)."""
 
 from __future__ import annotations
 
@@ -41,3 +41,11 @@ def har(reqs: DataFrame) -> DataFrame:
         F.col("elapsed").alias("time"),
     )
     return reqs.select("request_id", F.to_json(entry).alias("entry"))
+
+
+def main_headers(answers: DataFrame, session: str, wanted: str) -> DataFrame:
+    """OP-166: session, headers: of each session's answers (url, at, headers) the first whose url is the wanted one, query and closing slashes aside, else the
+    last. wanted: a column with the url that was asked for. One aggregation."""
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, r"\?.*$", ""), "/+$", "")
+    fits = F.coalesce(plain(F.col("url")) == plain(F.col(wanted)), F.lit(False))
+    return answers.groupBy(session).agg(F.coalesce(F.min_by("headers", F.when(fits, F.col("at"))), F.max_by("headers", "at")).alias("headers"))

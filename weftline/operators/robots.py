@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from weftline.functions.urls import origin_of
+from weftline.operators.skew import lookup
 
 
 @lru_cache(4096)
@@ -40,6 +41,25 @@ def rules(body: str, agent: str) -> tuple[tuple[int, bool, re.Pattern], ...]:
     return tuple(own or groups.get("*", []))
 
 
+@lru_cache(4096)
+def crawl_delay(body: str | None, agent: str) -> float | None:
+    """OP-10: the seconds that a site asks the agent (else all) to leave between requests; None if it says nothing or no number."""
+    found: dict[str, float] = {}
+    names: list[str] = []
+    in_rules = False
+    for line in (body or "").splitlines():
+        field, colon, value = line.split("#", 1)[0].partition(":")
+        field, value = field.strip().lower(), value.strip()
+        if field == "user-agent":
+            names = [value.lower()] if in_rules else [*names, value.lower()]
+            in_rules = False
+        elif colon:
+            in_rules = True
+            if field == "crawl-delay" and re.fullmatch(r"\d+(?:\.\d+)?", value):
+                found |= {n: float(value) for n in names if n not in found}
+    return next((d for n, d in found.items() if n not in ("", "*") and n in agent.lower()), found.get("*"))
+
+
 def allows(body: str | None, url: str, agent: str) -> bool:
     """The longest rule that fits decides, allow on ties; without any the url is allowed."""
     if not body:
@@ -50,15 +70,20 @@ def allows(body: str | None, url: str, agent: str) -> bool:
 
 
 def permitted(urls: DataFrame, robots: DataFrame, agent: str, url: str = "url") -> DataFrame:
-    """urls with ``allowed``. robots: origin, body, a row an origin; urls of other origins are allowed, null ones get null."""
+    """urls with ``allowed`` and ``delay`` (seconds that the site asks for, or null). robots: origin, body, a row an origin; urls of other origins are allowed,
+    null ones get null."""
 
     @F.pandas_udf(T.BooleanType())
     def judge(body: pd.Series, u: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else allows(b, x, agent) for b, x in zip(body, u)], dtype=object)
 
-    r = robots.select(F.col("origin").alias("_origin"), F.col("body").alias("_body"))
-    met = urls.withColumn("_o", origin_of(F.col(url))).join(r, F.col("_o") == F.col("_origin"), "left")
-    return met.withColumn("allowed", judge("_body", url)).drop("_o", "_origin", "_body")
+    @F.pandas_udf(T.DoubleType())
+    def pause(body: pd.Series) -> pd.Series:
+        return pd.Series([crawl_delay(b, agent) for b in body], dtype=object)
+
+    r = robots.where("origin IS NOT NULL").select(F.col("origin").alias("_o"), F.col("body").alias("_body"))
+    met = lookup(urls.withColumn("_o", origin_of(F.col(url))), r, ["_o"])
+    return met.withColumns({"allowed": judge("_body", url), "delay": pause("_body")}).drop("_o", "_body")
 
 
 @F.pandas_udf(T.StructType([T.StructField("added", T.IntegerType()), T.StructField("removed", T.IntegerType()), T.StructField("diff", T.StringType())]))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,7 +49,8 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary one."""
+    """The folder for checkpoints: the cluster's ``spark.checkpoint.dir``; only where that is unset and the master is local (tests on one machine) a
+    temporary one, which goes with the process."""
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
@@ -56,7 +58,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "weftline-checkpoints")
+        own = tempfile.mkdtemp(prefix="weftline-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = f"file://{own}"
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -77,3 +81,9 @@ def cut_partitioned(df: DataFrame) -> DataFrame:
         return cut_lineage(df)
     finally:
         conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that a query wrote to the shared one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -1,4 +1,4 @@
-"""Readers of lists of inputs: batch files, cookie files, CSV columns of urls; and writers (OP-01..03, 16, 18, 19, 22)."""
+"""Readers of lists of inputs: batch files, cookie files, CSV columns of urls; and writers (OP-01..03, 16, 18, 19, 22, 27, 37, 46, 88, 183)."""
 
 from __future__ import annotations
 
@@ -7,14 +7,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from weftline.functions.urls import is_web_url
 
 
-def batch_items(texts: DataFrame, text: str = "text") -> DataFrame:
-    """OP-01: index, item of a batch text: a JSON array, one JSON value a line, or plain lines without blanks and # comments. One text a row."""
+def batch_items(texts: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """OP-01, 88: index, item of a batch text (and the columns to keep): a JSON array, one JSON value a line, or plain lines without blanks and # comments. One text
+    a row; index is an item's place, by which results are put back in order."""
     t = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"^\s+|\s+$", ""))
     lines = F.filter(F.transform(F.split(t, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     as_array = F.transform(F.from_json(t, "array<string>"), lambda x: x)
     plain = F.filter(lines, lambda x: ~x.startswith("#"))
     items = F.when(t == "", F.array().cast("array<string>")).when(t.startswith("["), as_array).when(t.startswith("{"), lines).otherwise(plain)
-    return texts.select(F.posexplode(items).alias("index", "item"))
+    return texts.select(*keep, F.posexplode(items).alias("index", "item"))
 
 
 def cookies(texts: DataFrame, text: str = "text") -> DataFrame:

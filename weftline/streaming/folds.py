@@ -37,7 +37,8 @@ OUT = "hostname string, ok_count long, fail_count long, consecutive_fails long,
 def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     ok, fail, row, mean = state.get if state.exists else (0, 0, 0, float("nan"))
     for f in frames:
-        for good, ms in zip(f.sort_values("seq")["ok"].fillna(False), f.sort_values("seq")["response_ms"]):
+        f = f.sort_values("seq")
+        for good, ms in zip(f["ok"].eq(True), f["response_ms"]):
             ok, fail, row = (ok + 1, fail, 0) if good else (ok, fail + 1, row + 1)
             if ms == ms and ms is not None:
                 mean = ms if mean != mean else (1 - ALPHA) * mean + ALPHA * ms
