@@ -4,39 +4,39 @@ from __future__ import annotations
 
 PHRASES: dict[str, str] = {
     "legal": """
-        ©|all rights reserved|alle rechte vorbehalten|todos los derechos reservados|tous droits réservés|copyright
-        terms of use|terms of service|privacy policy|privacy · imprint|impressum|datenschutz|aviso legal|mentions légales|vie privée|privacidad
-        registered office|registered in|may be reproduced without|without written consent|no part of this page|prices and dates|may change without notice|not responsible for the content
-        no se hace responsable|toute reproduction|nachdruck|haftung für|sitz der gesellschaft|siège social|domicilio social""",
+        ©|(c) 20|copyright|rights reserved|terms of use|terms of service|terms and conditions|privacy policy|imprint|disclaimer|registered office|registered in|company number|without permission|without consent|written consent|written permission|not responsible|responsible for the content|linked pages|external links|not liable|no liability|reproduced
+        rechte vorbehalten|impressum|datenschutz|nutzungsbedingungen|geschäftsbedingungen|haftung|nachdruck|sitz der gesellschaft
+        droits réservés|mentions légales|conditions d'utilisation|reproduction|siège social|derechos reservados|aviso legal|condiciones de uso|privacidad|se hace responsable|domicilio social""",
     "consent": """
-        cookies|cookie settings|cookie policy|our use of cookies|your privacy|values your privacy|some data is kept|to count visits|whenever you like|partners store|before you go on|withdraw your consent|small files on your device|accept all|only what is needed|einwilligung|ihre privatsphäre
-        votre vie privée|votre consentement|su privacidad|su consentimiento|nos cookies|nuestras cookies|unseren cookies""",
+        cookie|cookies|consent|your privacy|privacy settings|privacy choices|your data|personal data|on your device|your device|our partners|accept all|reject all|only necessary|manage preferences
+        einwilligung|zustimmung|privatsphäre|ihre daten|alle akzeptieren|vie privée|consentement|vos données|tout accepter|su privacidad|consentimiento|sus datos|aceptar todo""",
     "share": """
-        share:|share this|print | save|pass it on|copy link|send this page|to a friend|did you like this|tweet|follow us|seite teilen|an freunde senden|weitersagen
-        partager cette page|envoyer à un ami|compartir|enviar a un amigo|teilen:|partager :""",
+        share this|share:|share on|share with|tweet|follow us|copy link|print this|print |e-mail this|email this|send this|to a friend|pin it|did you like
+        teilen|weitersagen|an freunde|drucken|partager|envoyer à|à un ami|imprimer|compartir|enviar a|a un amigo|imprimir""",
     "byline": """
-        min read|minutes read|reported by|written by|staff for|by the |desk|team, |supplement|lesezeit|min de lectura|lecture :|por la redacción|par la rédaction|von der redaktion
-        published on|updated on|veröffentlicht am|publié le|publicado el""",
+        min read|minute read|minutes read|reported by|written by|posted by|edited by|staff for|staff writer|by the |by our | desk|correspondent|published on|posted on|updated on|last updated|team, |supplement
+        lesezeit|von der redaktion|unserer redaktion|veröffentlicht am|aktualisiert am|min de lecture|lecture :|par la rédaction|notre rédaction|publié le|mis à jour le|min de lectura|por la redacción|nuestra redacción|publicado el|actualizado el""",
     "letter": """
-        newsletter|enter your e-mail|your e-mail|our digest|letter every morning|subscribe|no spam|leave when you want|members of|without interruptions|become a member
-        der brief von|jeden morgen|la lettre de|chaque matin|la carta de|cada mañana|abonnieren|suscríbase|abonnez-vous|suscribirse|s'abonner|registrieren sie""",
+        newsletter|subscribe|unsubscribe|sign up for|your e-mail|your email|email address|our letter|our digest|letter every|without ads|without advertising|no spam|your inbox|become a member|members of|members read|every morning|every week
+        abonnieren|newsletter|der brief von|jeden morgen|ihre e-mail|mitglied werden|s'abonner|abonnez-vous|la lettre de|chaque matin|votre e-mail|suscríbase|suscribirse|la carta de|cada mañana|su correo""",
     "comments": """
-        join the discussion|leave a reply|comments|leave a comment|responder|comentarios|antworten|kommentare|kommentar|réagir|commentaires|deje un comentario|laisser un commentaire|what do you think""",
+        comments|leave a comment|leave a reply|post a comment|add a comment|join the discussion|join the conversation|what do you think|be the first to comment
+        kommentare|kommentar schreiben|kommentieren|antworten|commentaires|laisser un commentaire|réagir|répondre|comentarios|deje un comentario|comentar|responder""",
     "related": """
-        trending at|you may also like|related pages|related articles|most read|popular this week|more from this|latest entries|read next|read more on|recommended for you|don't miss
-        lo más leído|también le puede gustar|más del tema|ahora|gerade beliebt|mehr zum thema|lesen sie auch|meistgelesen|das könnte sie
-        les plus lus|à lire aussi|sur le même thème|en ce moment|temas relacionados|artículos relacionados|verwandte artikel""",
+        you may also|you might also|related|most read|most popular|popular this|trending|read next|read more|up next|more from|more on|more stories|recommended|latest entries|latest posts|latest news|don't miss|editor's picks
+        lesen sie auch|meistgelesen|am beliebtesten|beliebt|mehr zum thema|mehr von|verwandte|weitere artikel|à lire aussi|les plus lus|sur le même|en ce moment|articles liés|lire aussi|lo más leído|también le puede|le puede gustar|más del tema|más de |relacionados|lea también|ahora""",
     "path": """
-        you are here|está aquí|sie sind hier|vous êtes ici""",
+        you are here|sie sind hier|vous êtes ici|está aquí|usted está""",
     "notice": """
-        advertisement|story continues below|more on this in our app|correction:|editor's note|this article is part of|continúa tras|publicidad|weiter nach der anzeige|anzeige
-        la suite après|publicité|hinweis der redaktion|nota de la redacción|note de la rédaction|sponsored|an earlier version|was amended|texto corregido|text ergänzt|texte corrigé|berichtigung|gesponsert""",
+        advertisement|advertising|sponsored|promoted|story continues|article continues|continue reading|our app|correction:|clarification:|editor's note|editors' note|earlier version|was amended|was corrected|has been updated|part of a series|this article is part
+        anzeige|werbung|gesponsert|hinweis der redaktion|anm. d. red|korrektur:|berichtigt|text ergänzt|publicité|sponsorisé|la suite après|note de la rédaction|rectificatif|texte corrigé|publicidad|patrocinado|continúa tras|nota de la redacción|corrección:|texto corregido""",
     "scripts": """
-        javascript|run scripts|browser with scripting|scripting is required|eingeschalteten skripten|ejecuta scripts|besoin de scripts|les scripts sont|needs scripts|noscript|scripts activados|activer les scripts""",
+        javascript|run scripts|enable scripts|allow scripts|need scripts|needs scripts|scripting|noscript|skripten|ejecuta scripts|besoin de scripts|les scripts|scripts activados""",
     "menu": """
-        support|topics|search|news|contact|downloads|products|archive|jobs|about us|events|help|pricing|log in|home|shop|sign in|sign up|register|careers|blog|services|menu
-        ayuda|empleo|productos|entrar|noticias|tienda|archivo|buscar|temas|contacto|inicio|descargas|precios|nosotros|hilfe|suche|themen|produkte|nachrichten|stellen|laden|startseite
-        kontakt|anmelden|archiv|preise|über uns|aide|recherche|thèmes|produits|actualités|emplois|boutique|accueil|connexion|archives|nouveautés|tarifs|à propos""",
+        home|news|latest|world|business|sport|culture|opinion|video|shop|store|cart|search|topics|sections|archive|archives|about|about us|contact|contact us|help|faq|support|jobs|careers|events|calendar|products|services|solutions|pricing|prices|blog|press|downloads|docs|forum|community|members|log in|login|sign in|sign up|register|subscribe|account|my account|menu|more
+        startseite|nachrichten|aktuelles|themen|suche|archiv|über uns|kontakt|hilfe|stellen|karriere|produkte|preise|laden|anmelden|registrieren|termine|mediathek
+        accueil|actualités|thèmes|rubriques|recherche|archives|à propos|contact|aide|emplois|produits|tarifs|boutique|connexion|s'inscrire|agenda|nouveautés
+        inicio|portada|noticias|temas|secciones|buscar|archivo|nosotros|quiénes somos|contacto|ayuda|empleo|productos|precios|tienda|entrar|registrarse|agenda|descargas""",
 }
 
 #: Class and id names (parts of them) of containers, and tags, that hold furniture or the body.

@@ -14,7 +14,7 @@ import numpy as np
 from weftline.llm import furniture as fu
 from weftline.llm.pages import Trees, add_page
 
-N_PAGES = 700
+N_PAGES = 1500
 SEED = 20
 
 _FUNCTION = {
@@ -26,52 +26,52 @@ _FUNCTION = {
 _SYLLABLES = "ba ko ri men tal so der vi na pel gru sha lo mi ter ce du fa no rel si ga tor".split()
 _LINES = {
     "en": {
-        "legal": ["© 2021 {S}. All rights reserved.", "Terms of use · Privacy · Imprint", "Registered office: {n} {W} Street, {P}", "No part of this page may be reproduced without written consent of {S}. Prices and dates may change without notice. All rights reserved.", "{S} is not responsible for the content of linked pages.", "No part of this page may be reproduced without written consent of {S}."],
-        "consent": ["{S} uses cookies to make the page work.", "{S} values your privacy. Some data is kept to count visits; you may withdraw your consent whenever you like.", "{S} values your privacy. Some data is kept so that pages work, some to count visits, and some for our partners; you may withdraw your consent in the settings whenever you like.", "Your privacy matters. We store small files on your device, some of them to count visits. Read how {S} handles them before you go on, and withdraw your consent whenever you like.", "Cookie settings: accept all / only what is needed", "By staying you accept our use of cookies.", "We and our partners store small files on your device. Read how before you go on."],
-        "share": ["Share this: mail · post · link", "Did you like this? Pass it on", "Send this page to a friend", "Print | Save | Share this"],
-        "byline": ["By the {P} desk", "Written by {P} staff for {S}", "{P} team, {n} min read", "Reported by {P} · {n} March", "{P} no. {n}, supplement", "Published on {n} May 2023"],
-        "letter": ["Get the {S} letter every morning", "Subscribe for updates. No spam.", "Enter your e-mail to receive our digest", "Members of {S} read this without interruptions"],
-        "comments": ["Join the discussion", "Leave a reply", "{n} comments"],
-        "related": ["You may also like", "Most read", "Trending at {S}", "Related pages", "More from this section", "Popular this week", "Latest entries", "Read next on {S}"],
-        "path": ["You are here: {m} > {m} > {T}"],
-        "notice": ["Advertisement", "Story continues below", "Correction: an earlier version was wrong.", "Editor's note: this entry was amended.", "More on this in our app", "This article is part of a series."],
-        "scripts": ["This page needs JavaScript.", "Please enable JavaScript to view this page.", "Your browser does not run scripts, so we can't show the content."],
+        "legal": ["Copyright © {y} {S} Ltd", "© {y} {S} and its authors, all rights reserved", "Terms and conditions | Privacy policy | Cookies", "{S} Ltd is registered in {P}, company number {n}{n}", "{S} is not liable for what other sites say.", "Nothing on this site may be copied or reproduced without permission from {S}. Figures are given without guarantee and can be out of date. Copyright {S}, all rights reserved.", "Disclaimer: {S} is not responsible for offers of third parties."],
+        "consent": ["This site uses cookies.", "We use cookies and similar tools so that {S} runs well and to see how it is used. Choose accept all, or manage preferences to give your consent to some of them only.", "{S} and {n} of our partners would like your consent to store data on your device. You can change your privacy settings at any time at the foot of the page.", "Accept all | Reject all | Manage preferences", "If you go on reading, cookies will be set.", "Your privacy choices: some cookies are necessary, others help us to learn what is read. Personal data is handled as our policy says, and consent can be taken back.", "About your data: {S} asks for your consent before it reads or writes information on your device."],
+        "share": ["Share on: a | b | c", "Tweet | Print this | Copy link", "Share this with others", "E-mail this to a friend or share on your page", "Follow us", "Did you like it? Share with friends"],
+        "byline": ["By our {P} correspondent", "{P} {W}, staff writer", "By {P} {W}", "Posted by {P} on {n} May {y}", "Updated on {n} March {y}, {n} minute read", "By the editors | {n} min read", "{P} desk, {n} June", "Edited by {P} {W} for {S}"],
+        "letter": ["Sign up for our newsletter", "Your email address: subscribe, and unsubscribe when you wish", "{S} in your inbox every week. No spam, we promise.", "Become a member of {S} and read all of it", "Our letter every morning, free for members of {S}"],
+        "comments": ["Comments ({n})", "Post a comment", "Join the conversation", "{n} comments so far", "Leave a comment below"],
+        "related": ["Related stories", "You might also like", "Most popular", "Trending on {S}", "More from {S}", "Recommended for you", "Latest posts", "Up next", "See also on {S}", "Editor's picks"],
+        "path": ["You are here: {m} / {m} / {T}", "You are here: {m} > {T}"],
+        "notice": ["Advertising", "Article continues below", "Clarification: a name was wrong in an earlier version.", "Editors' note: this text has been updated.", "Sponsored", "Read all of this in our app", "Part of a series on {W}", "Promoted"],
+        "scripts": ["JavaScript is off in your browser; this site needs scripts.", "Please allow scripts for this site.", "This part of the page can't be shown without JavaScript."],
     },
     "de": {
-        "legal": ["© 2020 {S}. Alle Rechte vorbehalten.", "Impressum · Datenschutz"],
-        "consent": ["{S} verwendet Cookies, damit alles funktioniert.", "Mit der Nutzung stimmen Sie unseren Cookies zu.", "{S} achtet Ihre Privatsphäre. Manche Daten werden nur gespeichert, damit die Seite funktioniert; Ihre Einwilligung können Sie jederzeit widerrufen, auch für Cookies."],
-        "share": ["Seite teilen", "An Freunde senden"],
-        "byline": ["Von der Redaktion {P}", "{P}, Lesezeit {n} Minuten"],
-        "letter": ["Der Brief von {S} jeden Morgen", "Newsletter abonnieren"],
-        "comments": ["{n} Kommentare", "Antworten"],
-        "related": ["Lesen Sie auch", "Meistgelesen", "Mehr zum Thema", "Gerade beliebt"],
-        "path": ["Sie sind hier: {m} > {m} > {T}"],
-        "notice": ["Anzeige", "Weiter nach der Anzeige", "Hinweis der Redaktion: Text ergänzt."],
-        "scripts": ["Diese Seite funktioniert nur mit eingeschalteten Skripten.", "Bitte aktivieren Sie JavaScript."],
+        "legal": ["Copyright © {y} {S} GmbH", "Impressum | Datenschutz | Nutzungsbedingungen", "Nachdruck nur mit Erlaubnis von {S}. Rechte vorbehalten.", "{S} übernimmt keine Haftung für fremde Seiten."],
+        "consent": ["Diese Seite setzt Cookies.", "Mit Ihrer Einwilligung lesen {S} und Partner Daten auf Ihrem Gerät, auch durch Cookies. Ihre Zustimmung gilt, bis Sie sie zurücknehmen; mehr steht unter Datenschutz.", "Alle akzeptieren | Nur nötige Cookies", "Ihre Privatsphäre ist {S} nicht egal: ohne Einwilligung wird nichts gezählt."],
+        "share": ["Teilen | Drucken | Weitersagen", "Beitrag teilen", "Diese Seite an Freunde schicken"],
+        "byline": ["Aus unserer Redaktion in {P}", "{P} {W}, veröffentlicht am {n}. Mai {y}", "Von {P} {W}, Lesezeit {n} Minuten", "Redaktion {P}, aktualisiert am {n}. Juni"],
+        "letter": ["Unser Newsletter: jetzt abonnieren", "Jeden Morgen das Neueste von {S} an Ihre E-Mail", "Mitglied werden bei {S}"],
+        "comments": ["Kommentare ({n})", "Kommentar schreiben", "Mitreden und antworten"],
+        "related": ["Am beliebtesten", "Mehr von {S}", "Weitere Artikel", "Verwandte Themen", "Lesen Sie auch bei {S}"],
+        "path": ["Sie sind hier: {m} / {m} / {T}"],
+        "notice": ["Werbung", "Gesponsert", "Korrektur: ein Name war falsch.", "Anm. d. Red.: Angaben berichtigt.", "Nach der Anzeige geht es weiter"],
+        "scripts": ["Bitte schalten Sie JavaScript ein.", "Ohne Skripten geht es hier nicht weiter."],
     },
     "fr": {
-        "legal": ["© 2022 {S}, tous droits réservés.", "Mentions légales · Vie privée"],
-        "consent": ["{S} utilise des cookies pour votre confort.", "En poursuivant, vous acceptez nos cookies.", "{S} respecte votre vie privée. Certaines données sont gardées pour que la page marche; vous pouvez retirer votre consentement et refuser nos cookies quand vous voulez."],
-        "share": ["Partager cette page", "Envoyer à un ami"],
-        "byline": ["Par la rédaction {P}", "{P}, lecture : {n} min"],
-        "letter": ["Recevez la lettre de {S} chaque matin"],
-        "comments": ["{n} commentaires", "Réagir"],
-        "related": ["À lire aussi", "Les plus lus", "Sur le même thème", "En ce moment"],
-        "path": ["Vous êtes ici : {m} > {m} > {T}"],
-        "notice": ["Publicité", "La suite après la publicité", "Note de la rédaction : texte corrigé."],
-        "scripts": ["Cette page a besoin de scripts.", "Les scripts sont bloqués par votre navigateur."],
+        "legal": ["Copyright © {y} {S} SA", "Mentions légales | Conditions d'utilisation", "Droits réservés à {S}. Toute reproduction se demande par écrit."],
+        "consent": ["Ce site dépose des cookies.", "Avec votre consentement, {S} et ses partenaires lisent vos données sur cet appareil, entre autres par des cookies. Vous pouvez changer d'avis au bas de la page.", "Tout accepter | Tout refuser", "{S} tient à votre vie privée : sans consentement, rien n'est compté."],
+        "share": ["Partager | Imprimer", "Partager cet article", "Envoyer à un proche"],
+        "byline": ["De notre rédaction de {P}", "{P} {W}, publié le {n} mai {y}", "Par {P} {W}, {n} min de lecture", "Mis à jour le {n} juin"],
+        "letter": ["Notre newsletter : s'abonner", "{S} chaque matin dans votre e-mail"],
+        "comments": ["Commentaires ({n})", "Laisser un commentaire", "Répondre"],
+        "related": ["Lire aussi", "Articles liés", "Les plus lus de {S}", "Sur le même sujet"],
+        "path": ["Vous êtes ici : {m} / {m} / {T}"],
+        "notice": ["Sponsorisé", "Rectificatif : un nom était faux.", "La suite après cette publicité", "Note de la rédaction : chiffres revus."],
+        "scripts": ["Veuillez activer JavaScript.", "Sans les scripts, rien ne s'affiche."],
     },
     "es": {
-        "legal": ["© 2019 {S}. Todos los derechos reservados.", "Aviso legal · Privacidad"],
-        "consent": ["{S} usa cookies para recordar sus ajustes.", "Al seguir, acepta nuestras cookies.", "{S} cuida su privacidad. Algunos datos se guardan para que la página funcione; puede retirar su consentimiento y rechazar nuestras cookies cuando quiera."],
-        "share": ["Compartir esta página", "Enviar a un amigo"],
-        "byline": ["Por la redacción {P}", "{P}, {n} min de lectura"],
-        "letter": ["Reciba la carta de {S} cada mañana"],
-        "comments": ["{n} comentarios", "Responder"],
-        "related": ["Lo más leído", "También le puede gustar", "Más del tema", "Ahora"],
-        "path": ["Está aquí: {m} > {m} > {T}"],
-        "notice": ["Publicidad", "Continúa tras el anuncio", "Nota de la redacción: texto corregido."],
-        "scripts": ["Su navegador no ejecuta scripts.", "Active JavaScript para continuar."],
+        "legal": ["Copyright © {y} {S} SA", "Aviso legal | Condiciones de uso", "Derechos reservados a {S}. {S} no se hace responsable de otros sitios."],
+        "consent": ["Este sitio instala cookies.", "Con su consentimiento, {S} y sus socios leen sus datos en este aparato, también con cookies. Puede cambiar de idea al pie de la página.", "Aceptar todo | Rechazar todo", "A {S} le importa su privacidad: sin consentimiento no se cuenta nada."],
+        "share": ["Compartir | Imprimir", "Compartir este artículo", "Enviar a alguien"],
+        "byline": ["De nuestra redacción en {P}", "{P} {W}, publicado el {n} de mayo de {y}", "Por {P} {W}, {n} min de lectura", "Actualizado el {n} de junio"],
+        "letter": ["Nuestra newsletter: suscribirse", "{S} cada mañana en su correo"],
+        "comments": ["Comentarios ({n})", "Comentar", "Responder a esto"],
+        "related": ["Lea también", "Artículos relacionados", "Lo más leído de {S}", "Más de {S}", "También le puede interesar"],
+        "path": ["Usted está aquí: {m} / {m} / {T}", "Está aquí: {m} > {T}"],
+        "notice": ["Patrocinado", "Corrección: un nombre estaba mal.", "Continúa tras la publicidad", "Nota de la redacción: cifras revisadas."],
+        "scripts": ["Por favor, active JavaScript.", "Sin scripts activados no se ve nada."],
     },
 }
 _STUBS = ["Error 404", "Page not found", "Access denied", "502 Bad Gateway", "Please try again later.", "Hello {{name}}, welcome to {{site}}.", "${title}", "Lorem ipsum dolor sit amet consectetur.", "One moment while we check your browser", "Loading..."]
@@ -81,11 +81,8 @@ class _Writer:
     def __init__(self, rng: random.Random):
         self.r, self.lang = rng, rng.choices(["en", "de", "fr", "es"], [5, 2, 2, 2])[0]
         self.site = self.word().capitalize() + "works"
-        menus = {"en": (0, 3), "es": (2, 5), "de": (4, 7), "fr": (5, 9)}
-        self.menu_words = [w.capitalize() for w in fu.phrases("menu")]
-        k = {"en": 0, "es": 24, "de": 38, "fr": 53}[self.lang]
-        self.menu_words = self.menu_words[k : k + 13]
-        del menus
+        of_language = fu.PHRASES["menu"].strip("\n").split("\n")[["en", "de", "fr", "es"].index(self.lang)]
+        self.menu_words = [w.strip().capitalize() for w in of_language.split("|")]
 
     def word(self) -> str:
         return "".join(self.r.choice(_SYLLABLES) for _ in range(self.r.randint(1, 3)))
@@ -120,11 +117,15 @@ class _Writer:
             return f"{s}: {self.words(self.r.randint(2, 3))}"
         if k < 0.36:
             return f"{self.r.randint(2, 90)} {s.lower()}"
+        if k < 0.42:
+            return f"{self.words(self.r.randint(1, 2)).capitalize()}: {self.r.randint(2, 90)} {self.word()}"
+        if k < 0.46:
+            return f"{s}, {self.words(self.r.randint(2, 4))}"
         return s
 
     def line(self, kind: str, title: str = "") -> str:
         s = self.r.choice(_LINES[self.lang][kind])
-        for a, b in (("{S}", self.site), ("{P}", self.word().capitalize()), ("{W}", self.word().capitalize()), ("{n}", str(self.r.randint(1, 400))), ("{T}", title)):
+        for a, b in (("{S}", self.site), ("{P}", self.word().capitalize()), ("{W}", self.word().capitalize()), ("{n}", str(self.r.randint(1, 400))), ("{y}", str(self.r.randint(1998, 2026))), ("{T}", title)):
             s = s.replace(a, b)
         while "{m}" in s:
             s = s.replace("{m}", self.r.choice(self.menu_words), 1)
@@ -178,8 +179,8 @@ def _blocks(w: _Writer) -> tuple[list[Block], str]:
             elif k < 0.96:
                 body.append(("sub", [w.title()], 1))
                 body.append(("p", [" ".join(w.sentence() for _ in range(r.choice([1, 2, 3])))], 1))
-            if r.random() < 0.15:
-                kind = r.choice(["notice", "share", "letter"])
+            if r.random() < 0.22:
+                kind = r.choice(["notice", "notice", "share", "letter"])
                 body.append((kind, [w.line(kind)], 0))
         out += body
     ends: list[Block] = []
@@ -202,7 +203,7 @@ def _blocks(w: _Writer) -> tuple[list[Block], str]:
 def _as_text(w: _Writer, blocks: list[Block]) -> tuple[str, list[int]]:
     r = w.r
     lines: list[tuple[str, int]] = []
-    menu_style, related_style, marks = r.randrange(4), r.randrange(3), r.choice("*•1")
+    menu_style, related_style, marks = r.randrange(4), r.randrange(3), r.choice("**••11-")
     heads = r.random() < 0.75
     glued = r.choice([0.05, 0.3, 0.5])
     for kind, items, label in blocks:
@@ -281,6 +282,8 @@ def _as_html(w: _Writer, blocks: list[Block], title: str) -> tuple[str, list[int
             lines += [("<table>", 0), *[("<tr>" + "".join(f"<td>{esc(c)}</td>" for c in x.split("|")) + "</tr>", 1) for x in items], ("</table>", 0)]
         elif kind == "code":
             lines += [("<pre><code>", 0), *[(esc(x), 1) for x in items], ("</code></pre>", 0)]
+        elif kind == "scripts" and r.random() < 0.5:
+            lines += [(f"<noscript>{esc(x)}</noscript>", 0) for x in items]
         else:
             tag = "p" if label else r.choice(["p", "div", "span", "small"])
             for x in items:

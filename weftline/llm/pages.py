@@ -26,6 +26,8 @@ _NAMES = (
 )
 FEATURE = {n: i for i, n in enumerate(_NAMES)}
 N_FEATURES = len(_NAMES)
+#: The share of a line that several phrases of a kind must cover to make it one of that kind.
+SEVERAL = 0.08
 #: Kinds of edges, by the kind of the child: each has its own parent-child potential.
 EDGES = ["root", "container", "leaf", "group", "line", "widget", "governed"]
 EDGE = {n: i for i, n in enumerate(EDGES)}
@@ -38,7 +40,7 @@ def _automaton() -> ahocorasick.Automaton:
         for p in fu.phrases(kind):
             where.setdefault(p.replace("¦", "|"), set()).add(k)
     for p, kinds in where.items():
-        a.add_word(p, (len(p), tuple(kinds)))
+        a.add_word(p, (p, len(p), tuple(kinds)))
     a.make_automaton()
     return a
 
@@ -112,11 +114,11 @@ def line_features(raw: str) -> tuple[tuple[int, ...], str, int]:
     words = low.count(" ") + 1
     separated = any([c in low for c in _SEPARATORS])
     hits: dict[int, int] = {}
-    times: dict[int, int] = {}
-    for _, (size, kinds) in _FIND.iter(low):
+    named: dict[int, set[str]] = {}
+    for _, (phrase, size, kinds) in _FIND.iter(low):
         for k in kinds:
             hits[k] = hits.get(k, 0) + size
-            times[k] = times.get(k, 0) + 1
+            named.setdefault(k, set()).add(phrase)
     menu_parts = [p for p in _SPLIT_MENU.split(low) if p] if separated else [low]
     menu = sum(p in _MENU for p in menu_parts) if _MENU_KIND in hits else 0
     for k, size in hits.items():
@@ -124,7 +126,8 @@ def line_features(raw: str) -> tuple[tuple[int, ...], str, int]:
         if kind == "menu" or kind == "byline" and words > 10:
             continue
         out.append(F_["has_" + kind])
-        if size >= 0.3 * n or times[k] > 1 and size >= 0.15 * n or (kind in ("byline", "path") and words <= 9):
+        # much of the line, or several of the kind's phrases, which running text seldom brings together
+        if size >= 0.3 * n or len(named[k]) > 1 and size >= SEVERAL * n or kind in ("byline", "path") and words <= 9:
             out.append(F_["is_" + kind])
     if menu:
         out.append(F_["has_menu"])
