@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Known ratios of type scales; marks of grades.
 SCALES = (1.125, 1.2, 1.25, 1.333, 1.5, 1.618)
@@ -81,6 +81,22 @@ def colour_role(name: Column) -> Column:
     return F.when(name == "background-color", "background").when(name == "color", "text").when(name == "border-color", "border").otherwise("accent")
 
 
+def colour_uses(df: DataFrame, keys: list[str], colour: str, name: str, n: str) -> DataFrame:
+    """OP-65: how often each colour is used for what on each page (keys), and whether it is used but once. Colours that can't be read are left out."""
+    rows = df.select(*keys, to_hex(F.col(colour)).alias("hex"), colour_role(F.col(name)).alias("role"), F.col(n).alias("_n")).where("hex IS NOT NULL")
+    return rows.groupBy(*keys, "hex", "role").agg(F.sum("_n").alias("uses")).withColumn("alone", F.col("uses") == 1)
+
+
+def contrasts(texts: Column, backgrounds: Column) -> Column:
+    """OP-47: all colours of texts against all backgrounds of one page (a handful each): array of (text, background, ratio, grade)."""
+
+    def pair(t: Column, b: Column) -> Column:
+        r = contrast(t, b)
+        return F.struct(t.alias("text"), b.alias("background"), F.round(r, 2).alias("ratio"), grade(r).alias("grade"))
+
+    return F.flatten(F.transform(texts, lambda t: F.transform(backgrounds, lambda b: pair(t, b))))
+
+
 def shadow_tier(shadow: Column) -> Column:
     """OP-161: by the blur, the third length; small where there is none."""
     blur = F.regexp_extract(shadow, r"(?:[\d.]+px\s+){2}([\d.]+)px", 1).try_cast("double")

@@ -196,16 +196,20 @@ def is_html_type(content_type: Column) -> Column:
     return media_type(content_type).rlike(r"^(text/html|application/xhtml\+xml$)")
 
 
-def route(content_type: Column, file_name: Column) -> Column:
-    """OP-13: which decoder a body goes to: binary, json, html, text."""
+def route(content_type: Column, file_name: Column, body: Column | None = None) -> Column:
+    """OP-13: which decoder a body goes to: binary, json, html, text. With a body given, JSON is tried first, whatever the type says, unless the file's
+    name is binary."""
     m = media_type(content_type)
-    binary_name = F.lower(file_name).rlike(r"\.(" + "|".join(BINARY_EXTENSIONS) + ")$")
-    return (
-        F.when(is_binary_type(content_type) | binary_name, "binary")
-        .when(m.rlike(r"(^application/(x-ndjson|json|x-jsonlines|jsonlines)|\+json)$"), "json")
-        .when(is_html_type(content_type), "html")
-        .otherwise("text")
-    )
+    binary_name = F.coalesce(F.lower(file_name).rlike(r"\.(" + "|".join(BINARY_EXTENSIONS) + ")$"), F.lit(False))
+    is_json = m.rlike(r"(^application/(x-ndjson|json|x-jsonlines|jsonlines)|\+json)$")
+    by_type = F.when(is_binary_type(content_type) | binary_name, "binary").when(is_json, "json").when(is_html_type(content_type), "html").otherwise("text")
+    return by_type if body is None else F.when(~binary_name & body.rlike(r"^\s*[\[{]") & F.get_json_object(body, "$").isNotNull(), "json").otherwise(by_type)
+
+
+def decoded(body: Column, kind: Column) -> Column:
+    """OP-13: a body as its route reads it: JSON without white space between its signs (null if it is none; names that come twice stay), text and HTML as they
+    are, nothing of binary ones."""
+    return F.when(kind == "json", F.get_json_object(body, "$")).when(kind != "binary", body)
 
 
 def safe_file_name(path: Column, query: Column) -> Column:
@@ -220,3 +224,23 @@ def safe_file_name(path: Column, query: Column) -> Column:
 def cache_key(endpoint: Column, body: Column) -> Column:
     """OP-14: 16 hex digits that name a cached answer."""
     return F.substring(F.sha2(F.concat(endpoint, F.lit(":"), body), 256), 1, 16)
+
+
+def sorted_json(arguments: Column) -> Column:
+    """OP-14: a map of texts as JSON with its names in order, so that equal arguments have equal keys."""
+    quoted = lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)
+    pairs = F.transform(F.array_sort(F.map_entries(arguments)), lambda e: F.concat(quoted(e["key"]), F.lit(": "), quoted(e["value"])))
+    return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
+
+
+#: Fixed value: what a page has at least to be worth keeping.
+LEAST_CACHED = 1024
+
+
+def cacheable(status: Column, kind: Column, content: Column, allow_empty: bool = False) -> Column:
+    """OP-15: whether an answer is worth keeping: no recorded failure, not empty, and of HTML and Markdown no stub. Null status: none was recorded."""
+    ok = F.coalesce(status == 200, F.lit(True))
+    full = F.length(F.coalesce(content, F.lit(""))) > 0
+    stub = kind.isin("html", "markdown") & (F.length(content) < LEAST_CACHED)
+    listed = content.isin("[]", "{}")
+    return ok if allow_empty else ok & full & ~F.coalesce(stub, F.lit(False)) & ~F.coalesce(listed, F.lit(False))

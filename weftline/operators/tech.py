@@ -89,6 +89,7 @@ def parse_pattern(tech: str, signal: str, key: str, text: str) -> Pattern | None
     return Pattern(tech, signal, key.lower() if signal in ("headers", "meta") else key, regex, confidence, options.get("version", ""))
 
 
+# Fixed value: an attribute test of a selector.
 _BY_ATTRIBUTE = re.compile(r"\[(\w+)([*^$~|]?)=[\"']([^\"']*)[\"']")
 
 
@@ -266,6 +267,7 @@ def version_of(m: re.Match, template: str) -> str:
     return re.sub(r"\\\d\?[^:]*:[^\\]*", "", template).strip()
 
 
+# What scripts, styles and meta tags look like in a raw page.
 _SRC = re.compile(r"<script[^>]+src=[\"']([^\"']+)", re.I)
 _INLINE = re.compile(r"<script[^>]*>(.*?)</script>", re.I | re.S)
 _STYLE = re.compile(r"<style[^>]*>(.*?)</style>", re.I | re.S)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from weftline.functions import design as ds
 from weftline.operators import tech
 from weftline.session import spread, table
 
@@ -78,18 +77,6 @@ def tech_summaries(spark: SparkSession, folder: str) -> DataFrame:
     return tech.attached(pages, "id", "html", "content", tech.Book.of(made_fingerprints()), url="url").select("id", F.size("technologies").alias("n"), "tech_summary")
 
 
-COLOURS = [("text", "#222"), ("text", "rgb(0, 0, 0)"), ("background", "#ffffff"), ("background", "rgba(255, 255, 0, 0.5)"), ("text", "bad"), ("text", None)]
-
-
-def design_contrast(spark: SparkSession, folder: str) -> DataFrame:
-    """OP-47: all text colours against all backgrounds of one page (a handful each)."""
-    v = spark.createDataFrame(COLOURS, "role string, colour string").select("role", ds.to_hex(F.col("colour")).alias("hex")).where("hex IS NOT NULL")
-    both = v.agg(F.collect_set(F.when(F.col("role") == "text", F.col("hex"))).alias("t"), F.collect_set(F.when(F.col("role") == "background", F.col("hex"))).alias("b"))
-    pairs = both.select(F.explode("t").alias("text"), "b").select("text", F.explode("b").alias("background"))
-    r = ds.contrast(F.col("text"), F.col("background"))
-    return pairs.select("text", "background", F.round(r, 2).alias("ratio"), ds.grade(r).alias("grade"))
-
-
 def response_codes(spark: SparkSession, folder: str) -> DataFrame:
     """Classes of answers by status and size, with the hints that came along."""
     r = table(spark, folder, "responses")
@@ -105,7 +92,7 @@ def changes_between(spark: SparkSession, folder: str) -> DataFrame:
     return c.where("before IS NOT NULL").select("result_id", (F.md5("content") != F.md5("before")).alias("changed"), F.size(F.array_except(now, then)).alias("new_lines"), F.size(F.array_except(then, now)).alias("gone_lines"))
 
 
-QUERIES = {f.__name__: f for f in (tech_detect, tech_counts, tech_signals, tech_summaries, design_contrast, response_codes, changes_between)}
+QUERIES = {f.__name__: f for f in (tech_detect, tech_counts, tech_signals, tech_summaries, response_codes, changes_between)}
 _SERVER = "list_filter(map_entries(headers), lambda e: lower(e.key) = 'server')[1].value"
 _TECH = rf"""r AS (SELECT response_id, coalesce(text, '') AS t, {_SERVER} AS s FROM responses),
     d AS (SELECT response_id, 'Nginx' AS tech, 'Web servers' AS category, 100 AS confidence, nullif(regexp_extract(s, '(?i)nginx(?:/([\d.]+))?', 1), '') AS version FROM r WHERE regexp_matches(s, '(?i)nginx')
@@ -114,7 +101,6 @@ _TECH = rf"""r AS (SELECT response_id, coalesce(text, '') AS t, {_SERVER} AS s F
       UNION ALL SELECT response_id, 'Edge proxy', 'CDN', 60, NULL FROM r WHERE regexp_matches(s, '(?i)^edge$')
       UNION ALL SELECT response_id, 'Page info', 'Analytics', 100, NULL FROM r WHERE regexp_matches(t, '(?is)window\.pageInfo\s*=')
       UNION ALL SELECT response_id, 'Table layout', 'Miscellaneous', 50, NULL FROM r WHERE regexp_matches(t, '(?is)<body>\s*(?:<!--[^>]*-->\s*)*<table><tr>'))"""
-_LUM = "(0.2126 * {0} + 0.7152 * {1} + 0.0722 * {2})"
 ORACLES = {
     "tech_detect": f"WITH {_TECH} SELECT * FROM d",
     "tech_counts": f"WITH {_TECH} SELECT tech, count(*) AS pages, count(DISTINCT version) AS versions FROM d WHERE confidence >= 60 AND category <> 'Analytics' GROUP BY 1",
@@ -131,7 +117,6 @@ ORACLES = {
           UNION ALL SELECT i, 'url-' || (i * 19) % {KINDS} || ' (Ecommerce)', 6 FROM p),
         g AS (SELECT i, list(t ORDER BY o) AS ts FROM d GROUP BY 1)
         SELECT i AS id, len(ts)::INT AS n, array_to_string(ts[1:6], ' + ') || CASE WHEN len(ts) > 6 THEN ' +' || (len(ts) - 6) || ' more' ELSE '' END AS tech_summary FROM g""",
-    "design_contrast": "SELECT * FROM (VALUES ('#222222', '#ffffff', 15.91::DOUBLE, 'AAA'), ('#000000', '#ffffff', 21.0::DOUBLE, 'AAA'), ('#222222', '#ffff00', 14.82::DOUBLE, 'AAA'), ('#000000', '#ffff00', 19.56::DOUBLE, 'AAA')) t(text, background, ratio, grade)",
     "response_codes": """SELECT CASE WHEN status_code = 429 THEN 'rate_limited' WHEN status_code = 403 AND length(text) <= 512 THEN 'short_deny' WHEN status_code = 304 THEN 'unchanged' WHEN status_code IN (408, 429, 500, 502, 503, 504, 522, 524) THEN 'retry' WHEN status_code >= 400 THEN 'final' ELSE 'ok' END AS kind_seen,
         blocked, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM responses GROUP BY 1, 2""",
     "changes_between": """WITH c AS (SELECT result_id, content, lag(content) OVER (PARTITION BY frontier_seq ORDER BY result_id) AS b FROM crawl_results WHERE content IS NOT NULL),

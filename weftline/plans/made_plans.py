@@ -187,15 +187,25 @@ def design_parts_made(spark: SparkSession, folder: str) -> DataFrame:
 
 def design_difference(spark: SparkSession, folder: str) -> DataFrame:
     """OP-54, 65, 91, 165: each page's design against the next one's: variables that they share, colours that one has alone."""
-    uses = spark.range(ROWS).select((F.col("id") % 100).alias("page"), F.expr("concat('#', lpad(hex(id % 37), 6, '0'))").alias("hex"), ds.colour_role(F.expr("element_at(array('color', 'background-color', 'border-color', 'fill'), CAST(id % 4 AS INT) + 1)")).alias("role"), F.expr("1 + id % 3").alias("n"))
-    colours = uses.groupBy("page", "hex", "role").agg(F.sum("n").alias("uses"))
-    page = colours.groupBy("page").agg(F.collect_set(F.lower("hex")).alias("hexes"), F.count_if(F.col("uses") == 1).alias("orphans"), F.count_if(F.col("role") == "background").alias("backgrounds"))
+    uses = spark.range(ROWS).select(
+        (F.col("id") % 100).alias("page"), F.expr("CASE WHEN id % 2 = 0 THEN concat('#', lpad(hex(id % 37), 6, '0')) ELSE concat('rgb(0, 0, ', id % 37, ')') END").alias("colour"),
+        F.expr("element_at(array('color', 'background-color', 'border-color', 'fill'), CAST(id % 4 AS INT) + 1)").alias("name"), F.expr("1 + id % 3").alias("n"),
+    )
+    colours = ds.colour_uses(uses, ["page"], "colour", "name", "n")
+    page = colours.groupBy("page").agg(F.collect_set("hex").alias("hexes"), F.count_if("alone").alias("orphans"), F.count_if(F.col("role") == "background").alias("backgrounds"))
     page = page.withColumn("vars", F.expr("map_from_entries(transform(sequence(0, page % 6), i -> struct(concat('--v', i), 'x')))"))
     other = page.select((F.col("page") - 1).alias("page"), F.col("hexes").alias("h2"), F.col("backgrounds").alias("b2"), F.col("vars").alias("v2"))
     both = page.join(other, "page")
     return both.select("page", "orphans", "backgrounds", F.col("b2").alias("next_backgrounds"), F.size(F.array_except("hexes", "h2")).alias("own"), F.array_join(ds.shared_keys(F.col("vars"), F.col("v2")), ",").alias("shared"))
 
 
+def design_contrasts(spark: SparkSession, folder: str) -> DataFrame:
+    """OP-47, 162: grey texts against grey backgrounds."""
+    grey = lambda a: f"transform({a}, x -> concat('#', repeat(lpad(lower(hex(x)), 2, '0'), 3)))"
+    r = _rows(spark, texts=grey("array(id % 256, (id * 7) % 256)"), grounds=grey("array(255, (id * 3) % 256)"))
+    return r.select("id", F.posexplode(ds.contrasts(F.col("texts"), F.col("grounds"))).alias("pos", "c")).select("id", "pos", "c.*")
+
+
 def design_scores(spark: SparkSession, folder: str) -> DataFrame:
     """OP-69: coherence of made designs."""
     n = lambda m: (F.col("id") % m).cast("int")
@@ -209,7 +219,7 @@ def design_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (videos_made, videos_of_site, videos_responses, names_made, jars_made, bodies_made, budgets_made, recipes_made, offers_made, feeds_made, specs_made, structured_made, walls_made, headers_made, design_parts_made, design_difference, design_scores)
+    for f in (videos_made, videos_of_site, videos_responses, names_made, jars_made, bodies_made, budgets_made, recipes_made, offers_made, feeds_made, specs_made, structured_made, walls_made, headers_made, design_parts_made, design_difference, design_contrasts, design_scores)
 }
 _I = f"(SELECT unnest(range({ROWS})) AS i)"
 _LEN = "least(i % 30, 40)"
@@ -260,6 +270,10 @@ ORACLES = {
         CASE WHEN greatest(i % 700, 10) < 64 THEN 'avatar' WHEN i % 700 < 200 THEN 'thumbnail' WHEN i % 700 > 600 THEN 'hero' ELSE 'gallery' END AS image FROM {_I}""",
     "design_difference": f"""WITH u AS (SELECT i % 100 AS page, i % 37 AS h, i % 4 AS r, sum(1 + i % 3) AS uses FROM {_I} GROUP BY 1, 2, 3), p AS (SELECT page, list(DISTINCT h) AS hs, count(*) FILTER (uses = 1) AS orphans, count(*) FILTER (r = 1) AS b FROM u GROUP BY 1)
         SELECT a.page AS page, a.orphans AS orphans, a.b AS backgrounds, c.b AS next_backgrounds, len(list_filter(a.hs, lambda x: NOT list_contains(c.hs, x)))::INT AS own, array_to_string(list_transform(range(least(a.page % 6, c.page % 6) + 1), lambda x: '--v' || x), ',') AS shared FROM p a JOIN p c ON c.page = a.page + 1""",
+    "design_contrasts": f"""WITH g AS (SELECT i, [i % 256, (i * 7) % 256] AS ts, [255, (i * 3) % 256] AS bs FROM {_I}), p AS (SELECT i, k::INT AS pos, ts[k // 2 + 1] AS t, bs[k % 2 + 1] AS b FROM g, (SELECT unnest(range(4)) AS k)),
+        l AS (SELECT *, CASE WHEN t / 255 <= 0.03928 THEN t / 255 / 12.92 ELSE pow((t / 255 + 0.055) / 1.055, 2.4) END AS x, CASE WHEN b / 255 <= 0.03928 THEN b / 255 / 12.92 ELSE pow((b / 255 + 0.055) / 1.055, 2.4) END AS y FROM p),
+        r AS (SELECT *, (greatest(x, y) + 0.05) / (least(x, y) + 0.05) AS r FROM l)
+        SELECT i AS id, pos, '#' || repeat(lpad(lower(to_hex(t)), 2, '0'), 3) AS text, '#' || repeat(lpad(lower(to_hex(b)), 2, '0'), 3) AS background, round(r, 2) AS ratio, CASE WHEN r >= 7 THEN 'AAA' WHEN r >= 4.5 THEN 'AA' WHEN r >= 3 THEN 'AA-large' ELSE 'fail' END AS grade FROM r""",
     "design_scores": f"""WITH n AS (SELECT i, i % 30 + 1 AS u FROM {_I}), s AS (SELECT i,
           {_CLAMP("100 - CASE WHEN u > 20 THEN 2 * (u - 20) ELSE 0 END - 5 * (i % 4)")} AS a, {_CLAMP("100 - CASE WHEN i % 6 > 3 THEN 5 * (i % 6 - 3) ELSE 0 END - CASE WHEN i % 2 = 0 THEN 0 ELSE 10 END + CASE WHEN i % 7 >= 4 THEN 10 ELSE 0 END")} AS b,
           {_CLAMP("100 - 5 * (i % 3) + CASE WHEN i % 3 = 0 AND i % 5 > 0 THEN 10 ELSE 0 END")} AS c, {_CLAMP("100 + CASE WHEN i % 9 BETWEEN 3 AND 5 THEN 20 ELSE 0 END - CASE WHEN i % 9 > 6 THEN 10 * (i % 9 - 6) ELSE 0 END - CASE WHEN i % 9 <= 1 THEN 20 ELSE 0 END")} AS d,

@@ -89,13 +89,20 @@ def content_routes(spark: SparkSession, folder: str) -> DataFrame:
     return r.groupBy("content_type", tx.route(F.col("content_type"), name).alias("route")).agg(F.count(F.lit(1)).alias("records"), F.max(tx.is_binary_type(F.col("content_type")).cast("int")).alias("is_binary"))
 
 
+def content_decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """OP-13: responses by the decoder that they need, JSON tried first."""
+    r = table(spark, folder, "responses")
+    kind = tx.route(F.lit("text/html"), F.regexp_extract(urls.path_of(F.col("url")), r"([^/]*)$", 1), F.col("text"))
+    return r.select("response_id", kind.alias("route"), F.when(kind == "json", F.size(F.array_distinct(F.json_object_keys(tx.decoded(F.col("text"), kind))))).alias("keys"))
+
+
 def cache_keys(spark: SparkSession, folder: str) -> DataFrame:
     """OP-14, 15: key of an answer and whether it is worth caching."""
     r = table(spark, folder, "responses")
     return r.select(
         "response_id",
-        tx.cache_key(F.lit("content"), F.concat(F.lit('{"url": "'), "url", F.lit('"}'))).alias("cache_key"),
-        F.coalesce((F.col("status_code") == 200) & (F.length("text") >= 1024), F.lit(False)).alias("cacheable"),
+        tx.cache_key(F.lit("content"), tx.sorted_json(F.create_map(F.lit("url"), "url", F.lit("format"), F.lit("html")))).alias("cache_key"),
+        tx.cacheable(F.col("status_code"), F.lit("html"), F.col("text")).alias("cacheable"),
     )
 
 
@@ -121,7 +128,7 @@ _TERMS = QUERY.split()
 QUERIES = {
     "text_clean": text_clean, "text_metadata": text_metadata, "text_cut_off": text_cut_off, "text_truncated": text_truncated, "text_sections": text_sections, "text_relevant": text_relevant,
     "content_dedupe": content_dedupe, "url_canonical": url_canonical, "url_parts": url_parts, "url_fingerprints": url_fingerprints, "url_file_names": url_file_names, "url_patterns": url_patterns,
-    "job_id_valid": job_id_valid, "content_routes": content_routes, "cache_keys": cache_keys,
+    "job_id_valid": job_id_valid, "content_routes": content_routes, "content_decoded": content_decoded, "cache_keys": cache_keys,
 }
 ORACLES = {
     "text_clean": f"""SELECT result_id, {_strip(f"regexp_replace(array_to_string(list_filter(string_split(content, chr(10)), lambda l: {_LINE} = '' OR NOT (lower({_LINE}) IN ({_CRUFT}) OR (length({_LINE}) < 80 AND regexp_matches(lower({_LINE}), '{tx.CRUFT_PATTERN}')))), chr(10)), chr(10) || '{{3,}}', chr(10) || chr(10), 'g')")} AS content FROM crawl_results""",
@@ -169,5 +176,8 @@ ORACLES = {
         b AS (SELECT *, NOT ({_TEXT} OR regexp_matches(m, '\+(json|xml)$')) AND regexp_matches(m, '^(application|image|audio|video|font)/') AS bin FROM a)
         SELECT content_type, CASE WHEN bin OR regexp_matches(lower(name), '\.({'|'.join(tx.BINARY_EXTENSIONS)})$') THEN 'binary' WHEN regexp_matches(m, '(^application/(x-ndjson|json|x-jsonlines|jsonlines)|\+json)$') THEN 'json'
           WHEN regexp_matches(m, '^(text/html|application/xhtml\+xml$)') THEN 'html' ELSE 'text' END AS route, count(*) AS records, max(bin::INT) AS is_binary FROM b GROUP BY 1, 2""",
-    "cache_keys": """SELECT response_id, substring(sha256('content:{"url": "' || url || '"}'), 1, 16) AS cache_key, coalesce(status_code = 200 AND length(text) >= 1024, false) AS cacheable FROM responses""",
+    "content_decoded": rf"""WITH a AS (SELECT response_id, text, regexp_matches(lower(regexp_extract({_PATH}, '([^/]*)$', 1)), '\.({'|'.join(tx.BINARY_EXTENSIONS)})$') AS bin FROM responses),
+        b AS (SELECT *, NOT bin AND regexp_matches(text, '^\s*[\[{{]') AND json_valid(text) AS j FROM a)
+        SELECT response_id, CASE WHEN j THEN 'json' WHEN bin THEN 'binary' ELSE 'html' END AS route, CASE WHEN j THEN len(list_distinct(json_keys(text)))::INT END AS keys FROM b""",
+    "cache_keys": """SELECT response_id, substring(sha256('content:{"format": "html", "url": "' || url || '"}'), 1, 16) AS cache_key, coalesce(status_code, 200) = 200 AND length(coalesce(text, '')) >= 1024 AS cacheable FROM responses""",
 }
