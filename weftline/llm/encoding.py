@@ -212,3 +212,18 @@ def token_counts(df: DataFrame, key: str, text: str, path: str | None = None) ->
 
     rows = df.select(key, text)
     return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, n_tokens long")
+
+
+def decode(df: DataFrame, key: str, ids: str, path: str | None = None) -> DataFrame:
+    """(key, text): the way back. Null and empty lists give an empty text; ids that are not in the vocabulary raise an error; bytes that are no UTF-8 become U+FFFD."""
+    shared = share_vocabulary(df.sparkSession, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder_of(shared.value)
+        piece = {i: k for k, i in e.rank.items()}
+        for b in batches:
+            texts = [b"".join([piece[i] for i in row or ()]).decode("utf-8", "replace") for row in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[key, "text"])
+
+    rows = df.select(key, ids)
+    return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, text string")
