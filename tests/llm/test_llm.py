@@ -80,6 +80,8 @@ def test_encoding_equals_the_reference_library(spark):
     for i, x in enumerate(texts):
         assert got[i] == t.encode_ordinary(x or ""), x
         assert t.decode(got[i]) == (x or "")
+    back = {r.doc_id: r.text for r in encoding.decode(encoding.encode(df, "doc_id", "text"), "doc_id", "ids").collect()}
+    assert back == {i: x or "" for i, x in enumerate(texts)}
     counts = {r.doc_id: r.n_tokens for r in encoding.token_counts(df, "doc_id", "text").collect()}
     assert counts == {i: len(x) for i, x in got.items()}
     assert encoding.encode(df.limit(0), "doc_id", "text").count() == 0

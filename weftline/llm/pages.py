@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import ahocorasick
 
@@ -64,8 +65,8 @@ F_ = FEATURE
 _BIAS, _CONTAINER, _CODE, _HEADING, _TOP_HEADING, _QUOTE, _ALL_LINK, _SOME_LINK, _KNOWN_TITLE, _TAG_OTHER = (F_[x] for x in "bias container code heading top_heading quote all_link some_link known_title tag_other".split())
 _LEAF, _GOVERNED, _GROUP, _LINE = (EDGE[x] for x in ("leaf", "governed", "group", "line"))
 _MARK_FEATURES = (F_["heading"], F_["star"], F_["dash"], F_["numbered"], F_["quote"], F_["row"])
-_memo: dict[str, tuple[tuple[int, ...], str, int]] = {}
-#: What a line is to the lines around it (bits of the third value of ``line_features``).
+_memo: dict[str, tuple[tuple[int, ...], str]] = {}
+#: What a line is to the lines around it (bits).
 _AT_PATH, _AT_RELATED, _AT_COMMENTS, _IN_RELATED, _IN_COMMENTS, _AT_HEADING, _OF_FURNITURE = (1 << i for i in range(7))
 
 
@@ -94,8 +95,8 @@ class Trees:
         return len(self.page) - 1
 
 
-def line_features(raw: str) -> tuple[tuple[int, ...], str, int]:
-    """Features of a line by its words alone, its plain text without marks and links, and what it is to the lines around it."""
+def line_features(raw: str) -> tuple[tuple[int, ...], str]:
+    """Features of a line by its words alone, and its plain text without marks and links."""
     known = _memo.get(raw)
     if known is not None:
         return known
@@ -134,7 +135,7 @@ def line_features(raw: str) -> tuple[tuple[int, ...], str, int]:
         if menu >= 0.5 * len(menu_parts):
             out.append(F_["is_menu"])
     ends = plain.rstrip(_CLOSERS)[-1:] in _ENDS
-    stops = words > 12 and _STOPS.search(plain) is not None
+    stops = words > 12 and (". " in plain or "? " in plain or _STOPS.search(plain) is not None)
     if ends and words >= 4:
         out.append(F_["sentence"])
     if stops:
@@ -159,7 +160,7 @@ def line_features(raw: str) -> tuple[tuple[int, ...], str, int]:
         out.append(F_["date_line"])
     if not _LETTER.search(plain):
         out.append(F_["no_letters"])
-    result = (tuple(out), plain, _line_kind(frozenset(out), plain))
+    result = (tuple(out), plain)
     if n < 160:
         if len(_memo) > 100_000:
             _memo.clear()
@@ -173,12 +174,14 @@ _FURNITURE_LINE = {F_["is_" + k] for k in KINDS}
 _LINK_LIKE = {F_["title_like"], F_["tiny"], F_["all_link"]}
 
 
-def _line_kind(f: frozenset[int], plain: str) -> int:
+@lru_cache(50_000)
+def _line_kind(f: tuple[int, ...], short: bool, shorter: bool) -> int:
+    """What a line of such features is to those around it; short, shorter: it has at most 60, 40 characters."""
     furniture, sentence, heading = not _FURNITURE_LINE.isdisjoint(f), F_["sentence"] in f, F_["heading"] in f
     kind = heading * _AT_HEADING | furniture * _OF_FURNITURE | (F_["is_path"] in f) * _AT_PATH | (F_["comment_like"] in f) * _IN_COMMENTS
-    if _RELATED in f and not sentence and not heading and len(plain) <= 60:
+    if _RELATED in f and not sentence and not heading and short:
         kind |= _AT_RELATED
-    if _COMMENTS in f and not sentence and not kind & _IN_COMMENTS and len(plain) <= 40:
+    if _COMMENTS in f and not sentence and not kind & _IN_COMMENTS and shorter:
         kind |= _AT_COMMENTS
     if not furniture and _HEAD_STOP.isdisjoint(f) and not _LINK_LIKE.isdisjoint(f):
         kind |= _IN_RELATED
@@ -202,7 +205,11 @@ def add_text_page(t: Trees, page: int, text: str) -> None:
             continue
         if not _WORD.search(raw):
             continue
-        f, plain, of = ((_BIAS, _CODE), raw, 0) if fence else line_features(raw)
+        if fence:
+            f, plain, of = (_BIAS, _CODE), raw, 0
+        else:
+            f, plain = line_features(raw)
+            of = _line_kind(f, len(plain) <= 60, len(plain) <= 40)
         own = list(f)
         named = False
         if of & _AT_PATH:
@@ -332,7 +339,7 @@ def add_html_page(t: Trees, page: int, text: str) -> None:
                 if in_pre:
                     fs, plain = [_BIAS, _CODE], whole
                 else:
-                    f, plain, _ = line_features(" ".join(whole.split()))
+                    f, plain = line_features(" ".join(whole.split()))
                     fs = list(f)
                 fs.append(_TAG_FEATURE.get(leaf_tag, _TAG_OTHER))
                 if leaf_tag[:1] == "h" and leaf_tag[1:].isdigit():

@@ -46,8 +46,9 @@ _SLOT = re.compile(
     r"\{\{[^{}]{1,60}\}\}|\$\{[^{}]{1,60}\}|#\{[^{}]{1,60}\}|<%=?[^<>]{1,60}%>|__[A-Z][A-Z0-9_]*?__|@@[A-Za-z_]{2,40}@@|\*\|[A-Z0-9_:]{2,40}\|\*|%%[A-Za-z_]{2,40}%%|%[A-Z][A-Z_]{2,40}%|\[\[[^\[\]]{1,60}\]\]"
     r"|\[(?:your|insert|enter|add|my) [^\[\]]{1,50}\]|\[[A-Z][A-Z _]{2,40}\]|(?<![\w{$#])\{[A-Za-z][A-Za-z0-9_.|]{1,40}\}(?!\})|\$[A-Za-z_]{3,40}\$|«[A-Z_ ]{3,40}»|<<[A-Za-z_ ]{2,40}>>|:[a-z]+_[a-z_]+:"
 )
-#: One of these is in every placeholder.
-_SLOT_SIGNS = ("{", "[", "%", "__", "@@", "*|", "$", "«", "<<", ":")
+#: One of these is in every placeholder, or both of the next.
+_SLOT_SIGNS = ("{", "[", "%", "__", "@@", "*|", "$", "«", "<<")
+_SLOT_PAIR = (":", "_")
 _FILLER = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim mollis varius purus justo vero porta fusce proin augue risus massa cursus quam vestibulum pellentesque habitant morbi tristique malesuada egestas curabitur donec vivamus aliquam nunc felis orci tellus".split())
 #: Words of one row of keys, or without a vowel.
 _MASH = re.compile(r"[asdfghjklöä]{3,}|[qwertyuiop]{5,}|[^\W\daeiouyáéíóúäöüàèùâêîôû_]{4,}")
@@ -105,19 +106,30 @@ def notice_signs(low: str) -> tuple[int, set[str]]:
 _IS_FILLER, _IS_MASH, _IS_RUN = 1 << 24, 1 << 25, 1 << 26
 
 
-class _Words(dict):
-    """word -> its bucket and signs."""
+class _Tokens(dict):
+    """A text without white space, in lower case -> the bucket and signs of its only word; or minus the number of its entry in ``several``."""
 
-    def __missing__(self, w: str) -> int:
-        as_number = w[0] <= "9" and not (len(w) == 3 and w[0] in "45")
-        code = number("#" if as_number else w) | (w in _FILLER) * _IS_FILLER | (_MASH.fullmatch(w) is not None) * _IS_MASH | (len(w) > 4 and _LETTER_RUN.search(w) is not None) * _IS_RUN
-        if len(self) > 200_000:
-            self.clear()
-        self[w] = code
+    several: list[tuple[int, ...]] = [()]
+
+    def __missing__(self, text: str) -> int:
+        codes = tuple(word_code(w) for w in _WORDS.findall(text))
+        if len(codes) == 1:
+            code = codes[0]
+        else:  # no word at all is entry 0
+            code = -len(self.several) if codes else 0
+            if codes:
+                self.several.append(codes)
+        self[text] = code
         return code
 
 
-_words = _Words()
+_tokens_of = _Tokens()
+
+
+def word_code(w: str) -> int:
+    """The bucket of a word, and its signs."""
+    as_number = w[0] <= "9" and not (len(w) == 3 and w[0] in "45")
+    return number("#" if as_number else w) | (w in _FILLER) * _IS_FILLER | (_MASH.fullmatch(w) is not None) * _IS_MASH | (len(w) > 4 and _LETTER_RUN.search(w) is not None) * _IS_RUN
 
 
 def grade(n: int) -> int:
@@ -131,11 +143,17 @@ _SLOTS = {True: (NUMBER["<slot>"], NUMBER["<slots>"]), False: (NUMBER["<slot>"],
 
 def token_numbers(passage: str) -> tuple[list[int], int]:
     """The buckets of a passage's tokens (its words, and signs of its shape), and its number of words."""
-    filled, slots = _SLOT.subn(" ", passage) if any([c in passage for c in _SLOT_SIGNS]) else (passage, 0)
+    filled, slots = _SLOT.subn(" ", passage) if any([c in passage for c in _SLOT_SIGNS]) or all([c in passage for c in _SLOT_PAIR]) else (passage, 0)
     low = filled.lower()
-    words = _WORDS.findall(low)
-    n = len(words)
-    out = set(map(_words.__getitem__, words))
+    if len(_tokens_of) > 200_000:
+        _tokens_of.clear()
+        del _tokens_of.several[1:]
+    codes = list(map(_tokens_of.__getitem__, low.split()))
+    n, out = len(codes), set(codes)
+    if min(out, default=1) <= 0:
+        several = [_tokens_of.several[-x] for x in codes if x <= 0]
+        n += sum(map(len, several)) - len(several)
+        out = {x for x in out if x > 0}.union(*several)
     distinct = len(out)
     signed = [x for x in out if x >= BUCKETS]
     out = {x & (BUCKETS - 1) for x in out} if signed else out
@@ -191,7 +209,7 @@ def json_tokens(text: str) -> tuple[list[int], bool] | None:
     if told:
         out.add("<error keys>")
     told_of = [k for k in keys if k not in _ERROR_KEYS] + [v.lower() for _, v in pairs if isinstance(v, str)]
-    words = {_words[w] & (BUCKETS - 1) for x in told_of for w in _WORDS.findall(x)}
+    words = {word_code(w) & (BUCKETS - 1) for x in told_of for w in _WORDS.findall(x)}
     return sorted({NUMBER[x] for x in out} | words), told
 
 
