@@ -254,7 +254,8 @@ def sanitised_values(values: Column) -> Column:
 
 
 # Classes of a subscription wall.
-WALL_CLASS = r"(?i)class\s*=\s*[\"'][^\"']*(?:paywall|subscriber-only|premium-content|locked-content|metered|piano-|tp-modal|regwall)[^\"']*[\"']"
+WALL_CLASSES = "paywall|subscriber-only|premium-content|metered-content|piano-offer|regwall|locked-content|gated-content"
+WALL_CLASS = rf"(?i)<(?!(?:script|style|meta)\b)[a-z][^<>]*\sclass\s*=\s*[\"'][^\"']*(?:{WALL_CLASSES})"
 
 
 def asks_payment(html: Column) -> Column:
@@ -268,7 +269,10 @@ def asks_payment(html: Column) -> Column:
     return html.rlike(r'(?i)"isAccessibleForFree"\s*:\s*"?false') | html.rlike(WALL_CLASS) | said
 
 
-def pages_map(links: DataFrame, url: str, link: str, limit: int) -> DataFrame:
-    """OP-186: of each page its first links inside the site, each once. links: url, pos, link."""
-    inside = links.where(host_of(F.col(url)) == host_of(F.col(link))).groupBy(url, link).agg(F.min("pos").alias("pos"))
-    return inside.withColumn("place", F.row_number().over(Window.partitionBy(url).orderBy("pos"))).where(F.col("place") <= limit)
+def pages_map(links: DataFrame, key: str, url: str, link: str, limit: int, subdomains: bool = False) -> DataFrame:
+    """OP-186: of each page (key) its first links inside the site of its url, each once; with subdomains those below the site's host too. links: key, url,
+    pos, link. A page's links are one window."""
+    here, there = host_of(F.col(url)), host_of(F.col(link))
+    inside = (here == there) | there.endswith(F.concat(F.lit("."), here)) if subdomains else here == there
+    first = links.where(inside).groupBy(key, link).agg(F.min("pos").alias("pos"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).where(F.col("place") <= limit)

@@ -24,7 +24,7 @@ INJECTION = (
     r"|disregard\s+(?:all\s+)?(?:previous|prior|above)"
     r"|override\s+(?:all\s+)?(?:previous|prior|your|safety)\s*(?:protocols?|restrictions?|rules?|guidelines?|instructions?)?"
     r"|(?:system|assistant)\s*(?:prompt|message)\s*:"
-    r"|(?:admin|system|root)\s*:\s*(?:override|ignore|forget|disregard|enter|enable|disable|reveal|execute|you\s)"
+    r"|(?:ADMIN|SYSTEM|ROOT)\s*:\s*(?:override|ignore|forget|disregard|enter|enable|disable|reveal|execute|you\s)"
     r"|act\s+as\s+(?:if\s+you\s+(?:are|were)\s+)?(?:a\s+)?(?:different|new|another|unrestricted|evil|unfiltered|jailbroken)"
     r"|pretend\s+(?:you\s+are|to\s+be)\s+"
     r"|enter\s+(?:developer|debug|unrestricted|jailbreak)\s+mode"

@@ -54,9 +54,10 @@ def payment_asked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def site_maps(spark: SparkSession, folder: str) -> DataFrame:
-    r = table(spark, folder, "responses").where("text IS NOT NULL").groupBy("url").agg(F.min_by("text", "response_id").alias("text"))
-    links = r.select("url", F.posexplode(hx.links(F.col("text"), F.col("url"))).alias("pos", "link"))
-    return rc.pages_map(links, "url", "link", 5).select("url", "link", "place")
+    """OP-186: of every response its first five links inside its site."""
+    r = table(spark, folder, "responses").where("text IS NOT NULL")
+    links = r.select("response_id", "url", F.posexplode(hx.links(F.col("text"), F.col("url"))).alias("pos", "link"))
+    return rc.pages_map(links, "response_id", "url", "link", 5).select("response_id", "link", "place")
 
 
 def sessions_of_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,12 +79,11 @@ ORACLES = {
     "topics_literal": "SELECT * FROM (VALUES ('crawl', 'crawl'), ('Crawl ', 'crawl'), ('pro', 'profiles'), ('rob', 'robots'), ('e', 'profiles'), ('zzz', NULL), (NULL, NULL)) t(query, slug)",
     "values_sanitised": "SELECT response_id, array_to_string(list_sort(list_transform(map_entries(headers), lambda e: e.key || '=' || coalesce(e.value, ''))), ';') AS headers FROM responses WHERE headers IS NOT NULL",
     "payment_asked": """WITH t AS (SELECT response_id, text, lower(right(regexp_replace(text, '(?s)<script.*?</script>|<[^>]+>', ' ', 'g'), 1000)) AS e FROM responses WHERE text IS NOT NULL)
-        SELECT response_id, regexp_matches(text, '(?i)"isAccessibleForFree"\\s*:\\s*"?false') OR regexp_matches(text, '(?i)class\\s*=\\s*["''][^"'']*(?:paywall|subscriber-only|premium-content|locked-content|metered|piano-|tp-modal|regwall)[^"'']*["'']') OR regexp_matches(e, 'subscribe to read|sign in to continue|members only|subscribe to continue|already a subscriber|log in to read|create a free account|start your free trial|this content is for subscribers|unlock this article|premium subscribers|to continue reading') AS asked FROM t""",
-    "site_maps": rf"""WITH p AS (SELECT url, arg_min(text, response_id) AS text FROM responses WHERE text IS NOT NULL GROUP BY 1),
-        a AS (SELECT url, regexp_extract(url, '^[^:/?#]+://[^/?#]+', 0) AS o, list_transform(regexp_extract_all(text, '(?i)<a\b[^>]*\shref\s*=\s*"([^"]*)"', 1), lambda h: {_UN('h')}) AS hs FROM p),
-        b AS (SELECT url, unnest(ls) AS link, unnest(range(len(ls))) AS pos FROM (SELECT url, list_filter(list_transform(list_filter(hs, lambda h: h <> '' AND NOT regexp_matches(h, '^(#|(?i:javascript:|mailto:))')), lambda h: CASE WHEN starts_with(h, '/') THEN o || h ELSE h END), lambda h: regexp_matches(h, '^https?://')) AS ls FROM a)),
-        c AS (SELECT url, link, min(pos) AS pos FROM b WHERE {_HOST.format(u='url')} = {_HOST.format(u='link')} GROUP BY 1, 2)
-        SELECT url, link, place FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY pos)::INT AS place FROM c) WHERE place <= 5""",
+        SELECT response_id, regexp_matches(text, '(?i)"isAccessibleForFree"\\s*:\\s*"?false') OR regexp_matches(text, '(?i)class\\s*=\\s*["''][^"'']*(?:paywall|subscriber-only|premium-content|metered-content|piano-offer|regwall|locked-content|gated-content)[^"'']*["'']') OR regexp_matches(e, 'subscribe to read|sign in to continue|members only|subscribe to continue|already a subscriber|log in to read|create a free account|start your free trial|this content is for subscribers|unlock this article|premium subscribers|to continue reading') AS asked FROM t""",
+    "site_maps": rf"""WITH a AS (SELECT response_id, url, regexp_extract(url, '^[^:/?#]+://[^/?#]+', 0) AS o, list_transform(regexp_extract_all(text, '(?i)<a\b[^>]*\shref\s*=\s*"([^"]*)"', 1), lambda h: {_UN('h')}) AS hs FROM responses WHERE text IS NOT NULL),
+        b AS (SELECT response_id, url, unnest(ls) AS link, unnest(range(len(ls))) AS pos FROM (SELECT response_id, url, list_filter(list_transform(list_filter(hs, lambda h: h <> '' AND NOT regexp_matches(h, '^(#|(?i:javascript:|mailto:))')), lambda h: CASE WHEN starts_with(h, '/') THEN o || h ELSE h END), lambda h: regexp_matches(h, '^https?://')) AS ls FROM a)),
+        c AS (SELECT response_id, link, min(pos) AS pos FROM b WHERE {_HOST.format(u='url')} = {_HOST.format(u='link')} GROUP BY 1, 2)
+        SELECT response_id, link, place FROM (SELECT *, row_number() OVER (PARTITION BY response_id ORDER BY pos)::INT AS place FROM c) WHERE place <= 5""",
     "sessions_of_events": """WITH a AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events WHERE ts IS NOT NULL),
         b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT user_id, min(ts) AS began, count(*) AS events, round(sum(value), 4) AS value FROM b GROUP BY user_id, s""",
 }
