@@ -100,8 +100,10 @@ def prepared(df: DataFrame, key: str, html: str, options: PageOptions = PageOpti
 
 
 def distinct_pages(pages: DataFrame, key: str) -> DataFrame:
-    """OP-189: of prepared pages with equal contents the one with the least key; those without content by their HTML, those without both stay."""
+    """OP-189: of prepared pages with equal contents the one with the least key; those without content by their HTML, those without both stay. Pages are
+    prepared once."""
     of = F.coalesce(F.nullif("content", F.lit("")), F.nullif("html", F.lit("")))
+    alone = F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))
     rest = [c for c in pages.columns if c != key]
-    row = pages.where(of.isNotNull()).groupBy(F.md5(F.encode(of, "UTF-8")).alias("_h")).agg(F.min(key).alias(key), F.min_by(F.struct(*rest), key).alias("_r"))
-    return row.select(key, "_r.*").unionByName(pages.where(of.isNull()))
+    row = pages.withColumn("_h", F.coalesce(F.md5(F.encode(of, "UTF-8")), alone)).groupBy("_h").agg(F.min(key).alias(key), F.min_by(F.struct(*rest), key).alias("_r"))
+    return row.select(key, "_r.*")

@@ -35,7 +35,8 @@ def safety_contents(spark: SparkSession, folder: str) -> DataFrame:
 def safety_documents(spark: SparkSession, folder: str) -> DataFrame:
     """OP-63: places by category and action over all documents."""
     s = sf.sanitise(spread(table(spark, folder, "documents").select("doc_id", "text")), "text")
-    return s.select(F.explode("findings").alias("x")).groupBy("x.category", "x.action").agg(F.sum("x.n").cast("long").alias("places"), F.count(F.lit(1)).alias("documents"))
+    # explode_outer, as explode would have the passes run once more in a filter of its own
+    return s.select(F.explode_outer("findings").alias("x")).where("x IS NOT NULL").groupBy("x.category", "x.action").agg(F.sum("x.n").cast("long").alias("places"), F.count(F.lit(1)).alias("documents"))
 
 
 QUERIES = {"safety_literal": safety_literal, "safety_contents": safety_contents, "safety_documents": safety_documents}

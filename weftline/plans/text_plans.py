@@ -7,33 +7,33 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from weftline.functions import text as tx
 from weftline.functions import urls
 from weftline.operators.skew import lookup
-from weftline.session import table
+from weftline.session import spread, table
 
 QUERY = "budget rate report"
 
 
 def text_clean(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "crawl_results").select("result_id", tx.clean_content(F.col("content")).alias("content"))
+    return spread(table(spark, folder, "crawl_results").select("result_id", "content")).select("result_id", tx.clean_content(F.col("content")).alias("content"))
 
 
 def text_metadata(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", tx.content_metadata(F.col("text")).alias("m")).select("doc_id", "m.*")
+    return spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", tx.content_metadata(F.col("text")).alias("m")).select("doc_id", "m.*")
 
 
 def text_cut_off(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "crawl_results").select("result_id", tx.is_cut_off(F.col("content")).alias("cut_off"))
+    return spread(table(spark, folder, "crawl_results").select("result_id", "content")).select("result_id", tx.is_cut_off(F.col("content")).alias("cut_off"))
 
 
 def text_truncated(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", tx.truncate_at_line(F.col("text"), 400).alias("text"))
+    return spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", tx.truncate_at_line(F.col("text"), 400).alias("text"))
 
 
 def text_sections(spark: SparkSession, folder: str) -> DataFrame:
-    return tx.sections(table(spark, folder, "documents").where("doc_id IS NOT NULL"), "doc_id", "text").select("doc_id", F.col("no").alias("line_no"), "level", "title", "slug", "body")
+    return tx.sections(spread(table(spark, folder, "documents").where("doc_id IS NOT NULL").select("doc_id", "text")), "doc_id", "text").select("doc_id", F.col("no").alias("line_no"), "level", "title", "slug", "body")
 
 
 def text_relevant(spark: SparkSession, folder: str) -> DataFrame:
-    return tx.relevant_paragraphs(table(spark, folder, "documents"), "doc_id", "text", QUERY)
+    return tx.relevant_paragraphs(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text", QUERY)
 
 
 def content_dedupe(spark: SparkSession, folder: str) -> DataFrame:
