@@ -1,4 +1,4 @@
-"""Colours, spacing, type scales and what else makes a page's design, as expressions (OP-47, 54, 65..69, 91, 161, 162, 165)."""
+"""Colours, spacing, type scales and what else makes a page's design, as expressions (OP-47, 54, 65..69, 91, 161..163, 165)."""
 
 from __future__ import annotations
 
@@ -152,6 +152,30 @@ def semantic_hues(hex_colours: Column) -> Column:
     return F.size(F.filter(F.array_distinct(F.transform(hex_colours, lambda h: F.when(h.rlike("^#[0-9a-f]{6}$"), group(h)))), lambda x: x.isNotNull()))
 
 
+#: The names of the scores of ``coherence``, in their order.
+SCORE_NAMES = ("color", "typography", "spacing", "shadows", "radii", "accessibility", "tokenisation", "layout", "responsiveness")
+
+
+def report(site: Column, scores: Column, colours: Column) -> Column:
+    """OP-163, in part: a design as Markdown: its coherence with a bar a score, what is under 70, and its colours by role. scores: from ``coherence``;
+    colours: array of (role, hex, uses), in the order in which they are told."""
+    bar = lambda v: F.concat(F.repeat(F.lit("\u2588"), F.bround(v / 10, 0).cast("int")), F.repeat(F.lit("\u2591"), 10 - F.bround(v / 10, 0).cast("int")))
+    named = F.zip_with(F.array(*[F.lit(n) for n in SCORE_NAMES]), scores["scores"], lambda n, v: F.concat(F.rpad(n, 16, " "), F.lit(" "), bar(v), F.lit(" "), v.cast("string"), F.lit("%")))
+    issues = F.transform(scores["issues"], lambda x: F.concat(F.lit("- "), x))
+
+    def palette(role: str) -> Column:
+        own = F.filter(colours, lambda c: c["role"] == role)
+        rows = F.transform(own, lambda c: F.concat(F.lit("| `"), c["hex"], F.lit("` | "), c["uses"].cast("string"), F.lit(" |")))
+        head = F.array(F.lit(""), F.lit(f"### {role.title()}"), F.lit(""), F.lit("| Hex | Count |"), F.lit("|-----|-------|"))
+        return F.when(F.size(own) > 0, F.concat(head, rows)).otherwise(F.array().cast("array<string>"))
+
+    lines = F.concat(
+        F.array(F.concat(F.lit("# Design of "), site), F.lit(""), F.concat(F.lit("**Overall: "), scores["overall"].cast("string"), F.lit("/100 ("), scores["grade"], F.lit(")**")), F.lit("")), named,
+        F.when(F.size(issues) > 0, F.concat(F.array(F.lit(""), F.lit("### Issues"), F.lit("")), issues)).otherwise(F.array().cast("array<string>")), *[palette(r) for r in ("background", "text", "border", "accent")],
+    )
+    return F.array_join(lines, "\n")
+
+
 def coherence(t: Mapping[str, Column]) -> Column:
     """OP-69: struct of nine scores from 0 to 100, overall, grade and the names of those under 70. t: hexes (array), orphans, families, has_ratio, headings,
     outliers, spacings, shadow_tiers, radii, pairs, passing, variables, grids, gaps, widths, breakpoints (numbers, has_ratio a boolean). Halves

@@ -222,20 +222,29 @@ def design_contrasts(spark: SparkSession, folder: str) -> DataFrame:
     return r.select("id", F.posexplode(ds.contrasts(F.col("texts"), F.col("grounds"))).alias("pos", "c")).select("id", "pos", "c.*")
 
 
-def design_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """OP-69: coherence of made designs."""
+def _scored(spark: SparkSession) -> DataFrame:
     n = lambda m: (F.col("id") % m).cast("int")
     given = {
         "hexes": F.expr("transform(sequence(0, CAST(id % 30 AS INT)), i -> concat('#', lpad(lower(hex(i * 5)), 6, '0')))"), "orphans": n(4), "families": n(6), "has_ratio": F.col("id") % 2 == 0, "headings": n(7), "outliers": n(3), "spacings": n(5), "shadow_tiers": n(9), "radii": n(11),
         "pairs": n(8), "passing": F.least(n(8), n(3)), "variables": n(40), "grids": n(2), "gaps": n(5), "widths": n(8), "breakpoints": n(5),
     }
-    r = spark.range(ROWS).select("id", ds.coherence(given).alias("c"))
-    return r.select("id", F.array_join(F.transform("c.scores", lambda x: x.cast("string")), ",").alias("scores"), "c.overall", "c.grade", F.array_join("c.issues", ",").alias("issues"))
+    return spark.range(ROWS).select("id", ds.coherence(given).alias("c"))
+
+
+def design_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """OP-69: coherence of made designs."""
+    return _scored(spark).select("id", F.array_join(F.transform("c.scores", lambda x: x.cast("string")), ",").alias("scores"), "c.overall", "c.grade", F.array_join("c.issues", ",").alias("issues"))
+
+
+def design_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """OP-163, in part: their reports."""
+    colours = F.expr("CASE WHEN id % 2 = 0 THEN array(struct('text' AS role, '#000000' AS hex, id AS uses), struct('background' AS role, '#ffffff' AS hex, 9L AS uses), struct('text' AS role, '#111111' AS hex, 1L AS uses)) ELSE array() END")
+    return _scored(spark).select("id", ds.report(F.concat(F.lit("s"), F.col("id").cast("string")), F.col("c"), colours).alias("report"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (videos_made, videos_of_site, videos_responses, names_made, jars_made, bodies_made, budgets_made, recipes_made, offers_made, feeds_made, specs_made, structured_made, walls_made, values_made, payments_made, headers_made, design_parts_made, design_difference, design_contrasts, design_scores)
+    for f in (videos_made, videos_of_site, videos_responses, names_made, jars_made, bodies_made, budgets_made, recipes_made, offers_made, feeds_made, specs_made, structured_made, walls_made, values_made, payments_made, headers_made, design_parts_made, design_difference, design_contrasts, design_scores, design_reports)
 }
 _I = f"(SELECT unnest(range({ROWS})) AS i)"
 _LEN = "least(i % 30, 40)"
@@ -301,3 +310,7 @@ ORACLES = {
         SELECT i AS id, array_to_string(l, ',') AS scores, o AS overall, CASE WHEN o >= 95 THEN 'A+' WHEN o >= 90 THEN 'A' WHEN o >= 85 THEN 'A-' WHEN o >= 80 THEN 'B+' WHEN o >= 75 THEN 'B' WHEN o >= 70 THEN 'B-' WHEN o >= 65 THEN 'C+' WHEN o >= 60 THEN 'C' WHEN o >= 50 THEN 'D' ELSE 'F' END AS grade,
           array_to_string(list_transform(list_filter(range(1, 10), lambda k: l[k] < 70), lambda k: ['color', 'typography', 'spacing', 'shadows', 'radii', 'accessibility', 'tokenisation', 'layout', 'responsiveness'][k]), ',') AS issues FROM t""",
 }
+ORACLES["design_reports"] = f"""WITH r AS ({ORACLES["design_scores"]}), l AS (SELECT *, string_split(scores, ',') AS l FROM r),
+    n AS (SELECT *, list_transform(range(1, 10), lambda k: rpad({list(ds.SCORE_NAMES)}[k], 16, ' ') || ' ' || repeat('\u2588', round_even(l[k]::INT / 10, 0)::INT) || repeat('\u2591', 10 - round_even(l[k]::INT / 10, 0)::INT) || ' ' || l[k] || '%') AS bars FROM l)
+    SELECT id, array_to_string(list_concat(['# Design of s' || id, '', '**Overall: ' || overall || '/100 (' || grade || ')**', ''], bars, CASE WHEN issues = '' THEN [] ELSE list_concat(['', '### Issues', ''], list_transform(string_split(issues, ','), lambda x: '- ' || x)) END,
+      CASE WHEN id % 2 = 0 THEN ['', '### Background', '', '| Hex | Count |', '|-----|-------|', '| `#ffffff` | 9 |', '', '### Text', '', '| Hex | Count |', '|-----|-------|', '| `#000000` | ' || id || ' |', '| `#111111` | 1 |'] ELSE [] END), chr(10)) AS report FROM n"""
