@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from weftline.session import cut_lineage, cut_partitioned
+from weftline.session import cut_lineage, cut_partitioned, shuffle_width
 
 CAPACITY = 2048
 BLOCK_ITEMS = 2000
@@ -111,18 +111,18 @@ def mutate(a: Grouping, sizes: list[int], capacity: int, rng: random.Random) ->
 def evolve(people: list[Grouping], sizes: list[int], capacity: int, rng: random.Random, generations: int) -> list[Grouping]:
     """Some generations of one island, best first; stops when the least number of containers is reached."""
     least = least_containers(sizes, capacity)
-    score = lambda g: (-len(g), fitness(g, sizes, capacity))
-    people = sorted(people, key=score, reverse=True)
+    told = lambda g: (-len(g), fitness(g, sizes, capacity))
+    scored = sorted([(told(g), g) for g in people], key=lambda x: x[0], reverse=True)  # each is scored once
     for _ in range(generations):
-        if len(people[0]) <= least:
+        if len(scored[0][1]) <= least:
             break
-        a, b = rng.sample(people, 2) if len(people) > 1 else (people[0], people[0])
+        a, b = (x[1] for x in rng.sample(scored, 2)) if len(scored) > 1 else (scored[0][1], scored[0][1])
         child = cross(a, b, sizes, capacity, rng)
         if rng.random() < 0.66:
             child = mutate(child, sizes, capacity, rng)
-        people.append(child)
-        people = sorted(people, key=score, reverse=True)[:POPULATION]
-    return people
+        scored.append((told(child), child))
+        scored = sorted(scored, key=lambda x: x[0], reverse=True)[:POPULATION]
+    return [g for _, g in scored]
 
 
 def _labels(groups: Grouping, n: int) -> bytes:
@@ -181,8 +181,10 @@ def _islands(sizes: DataFrame, capacity: int, seed: int, rounds: int) -> DataFra
 
     state = cut_lineage(sizes.mapInPandas(begin, _STATE))
     ready, work = state.where("island < 0"), state.where("island >= 0")
+    # a fixed number of tasks: by the few bytes of the islands, planning would put them all into one
+    width = max(shuffle_width(sizes.sparkSession), sizes.sparkSession.sparkContext.defaultParallelism)
     for r in range(rounds):
-        work = work.groupBy("block", "island").applyInPandas(one_round(r), _STATE)
+        work = work.repartition(width, "block", "island").groupBy("block", "island").applyInPandas(one_round(r), _STATE)
     best = work.mapInPandas(containers, "block long, n int, labels binary").groupBy("block").agg(F.min_by("labels", F.struct("n", "labels")).alias("labels"))
     return ready.select("block", F.lit("greedy").alias("how"), F.element_at("people", 1).alias("labels")).unionByName(best.select("block", F.lit("evolved").alias("how"), "labels"))
 
